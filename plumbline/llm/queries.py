@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, pii, secrets, simhash
+from plumbline.llm import decontaminate, mixing, pii, secrets, simhash, suffix, tokens, topk
 from plumbline.llm.common import read
 from plumbline.llm.spans import joined
 
@@ -17,6 +17,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, radius=4)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document."""
+    return tokens.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), limit=512)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes from every document."""
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -35,6 +47,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *counts, base, spans)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for each vector whose id is divisible by 20."""
+    return topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; best_score is the highest score of its spans."""
     counts, base, spans = _digest(F.col("pii"), pii.BASE)
@@ -49,11 +66,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that stand in two places or more."""
+    return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), size=400)
+
+
 SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_tokens": op2_tokens,
     "op4_mix": op4_mix,
     "op5_secrets": op5_secrets,
+    "op7_topk": op7_topk,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_repeats": op10_repeats,
 }
