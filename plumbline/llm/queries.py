@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, pii, secrets, simhash, suffix, tokens, topk
+from plumbline.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, suffix, tokens, topk
 from plumbline.llm.common import read
 from plumbline.llm.spans import joined
 
@@ -29,6 +29,11 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), limit=512)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    return langid.detect(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes from every document."""
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -47,6 +52,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *counts, base, spans)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, and whether to keep it."""
+    return quality.classify(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors with the largest inner product for each vector whose id is divisible by 20."""
     return topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
@@ -75,8 +85,10 @@ SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
+    "op3_language": op3_language,
     "op4_mix": op4_mix,
     "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op7_topk": op7_topk,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
