@@ -37,7 +37,7 @@ def _run(own: Column, item: Column) -> Column:
 def match(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Exact phrase and proximity matches of benchmark items in documents.
 
-    Returns one row per row of docs: (id_col, n_words, n_hit, items, near_items). A window is ``window`` consecutive
+    Returns one row per row of docs: (id_col, text_hash, n_words, n_hit, items, near_items). A window is ``window`` consecutive
     words of an item; an item of fewer, but not none, is one window. n_hit counts the document's words inside any
     occurrence of a window; items are the ids, as sorted distinct strings, whose windows occur; near_items those of
     which all words of a window stand within window - 1 words around its rarest, exact or not. Null and empty texts have
@@ -87,5 +87,11 @@ def match(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "do
     met = met.where(F.col("n").isNotNull() | F.col("near"))
     out = met.groupBy("id", "h").agg(F.max("n").alias("n_words"), F.count("n").alias("rows"), F.collect_set(F.when(F.col("hit"), F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e")))).alias("runs"), F.collect_set(F.when(F.col("hit"), F.col("a.item"))).alias("items"), F.collect_set(F.when(F.col("near"), F.col("a.item"))).alias("near"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"])))))
-    out = out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("near").alias("near_items"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row"))
+    out = out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("near").alias("near_items"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row"))
     return out.drop("_row")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    hit = table(match(docs, items, window, id_col, text_col, item_col, item_text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).distinct(), "hit")
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == hit["_h"]), "left_anti")

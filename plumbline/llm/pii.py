@@ -95,3 +95,9 @@ def masked(text: Column, spans: Column) -> Column:
 
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text)))))
+
+
+def masking(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame:
+    """docs with every span of personal data replaced by its kind; texts without any, and null texts, stay as they are."""
+    found = scan(docs, text_col, near)
+    return found.withColumn(text_col, F.when(F.size("pii") > 0, masked(F.col(text_col), F.col("pii"))).otherwise(F.col(text_col))).drop("pii")

@@ -8,7 +8,6 @@ lines repeat. The scorer decides on every text, also where the labellers say not
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +28,6 @@ _SHAPE[48:58] = 48
 _SHAPE[[9, 11, 12, 13]] = 32
 _MARKS = np.zeros(256, bool)
 _MARKS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()/@+_"]] = True
-#: Insults, for the flag ``toxic``, which takes no part in the decision on quality.
-TOXIC = re.compile(r"(?i)\b(idiots?|morons?|stupid|scum|trash|pathetic|worthless|disgusting|imbeciles?|losers?|clowns?|vermin|dumb)\b")
 #: In this order; a vote is 1 (good), 0 (bad) or -1 (neither). The first seven look for a fault, the others for prose.
 LABELLERS = ("marks", "capitals", "variety", "stutter", "lines", "tables", "ends", "prose", "sentences")
 
@@ -164,35 +161,47 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE, size: int
     return prior, rates, w
 
 
+def _scores(texts: pa.Array, model: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, posterior) of each text."""
+    out = np.zeros((2, len(texts)))
+    for n, t in enumerate(texts):
+        if model is not None and (text := t.as_py()) and text.strip():
+            prior, rates, w = model
+            m = measures(text)
+            out[0, n] = sigmoid(features(text, m, len(w) - 1) @ w[:-1] + w[-1])
+            out[1, n] = posterior(np.array([votes(m)]), prior, rates)[0]
+    return out[0], out[1]
+
+
 def score(docs: DataFrame, model: tuple | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(id_col, score, keep, posterior, toxic) for every row of docs.
+    """(id_col, score, keep, posterior) for every row of docs.
 
     score is the scorer's probability that the text is good, and keep says that it reaches ``least``; posterior is what the
-    labellers alone say. toxic says that the text has one of a few insults. A text that is null or has no word scores 0
-    and is not kept, nor are any without a model. Ids may be null or repeat.
+    labellers alone say. A text that is null or has no word scores 0 and is not kept, nor is any without a model. Ids may
+    be null or repeat; other columns aren't read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, p, toxic = [], [], []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                toxic.append(bool(TOXIC.search(text)))
-                if sent.value is None or not text.strip():
-                    s.append(0.0)
-                    p.append(0.0)
-                    continue
-                prior, rates, w = sent.value
-                m = measures(text)
-                s.append(float(sigmoid(features(text, m, len(w) - 1) @ w[:-1] + w[-1])))
-                p.append(float(posterior(np.array([votes(m)]), prior, rates)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array([x >= least for x in s], pa.bool_()), pa.array(p, pa.float64()), pa.array(toxic, pa.bool_())], ["id", "score", "keep", "posterior", "toxic"])
+            s, p = _scores(batch.column(1), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= least), pa.array(p)], ["id", "score", "keep", "posterior"])
 
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, keep boolean, posterior double, toxic boolean").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, keep boolean, posterior double").withColumnRenamed("id", id_col)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, rows: int = SAMPLE) -> DataFrame:
-    """Trains on docs and scores them: (id_col, score, keep, posterior, toxic), one row per row. See ``score``."""
+    """Trains on docs and scores them: (id_col, score, keep, posterior), one row per row. See ``score``."""
     return score(docs, train(docs, text_col, rows), id_col, text_col, least)
+
+
+def kept(docs: DataFrame, model: tuple | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the model keeps."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), sent.value)[0] >= least))
+
+    return docs.mapInArrow(run, docs.schema)

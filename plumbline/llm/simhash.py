@@ -141,7 +141,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     return seen.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that ``found`` (id_col, component_id) names as the first of their group; rows of a null id stay."""
-    kept = found.where(F.col(id_col).isNull() | (F.col("component_id") == F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest id of each component; rows of a null id stay.
+
+    Where that id has several rows, one of those with the same text stays.
+    """
+    found = near_duplicates(docs, shingle, radius, id_col, text_col)
+    kept = table(found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "kept")
+    some = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col] == kept["_id"], "left_semi")
+    if not kept.where("_rows > 1").isEmpty():
+        some = some.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    return some.unionByName(docs.where(F.col(id_col).isNull()))
