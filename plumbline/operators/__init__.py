@@ -1 +1 @@
-
+"""The audit's operators: DataFrames in, DataFrames out."""
