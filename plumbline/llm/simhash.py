@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     linked = connected_components(links(distinct, radius, bucket)).withColumnRenamed("node", "fp")
     named = linked.join(distinct, "fp").groupBy("component").agg(F.min("first").alias("least"))
     other = linked.join(named, "component").select("fp", "least", F.lit(True).alias("linked"))
-    whole = distinct.join(other, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    # Written, so that the last join reads two exchanges, whose partitions Spark can split where copies are many.
+    whole = table(distinct.join(other, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")), "whole")
     return seen.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
