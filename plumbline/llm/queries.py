@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, suffix, tokens, topk
 from plumbline.llm.common import read
 from plumbline.llm.spans import joined
+from plumbline.llm.sql import SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document inside 10-word windows of benchmark items."""
     found = decontaminate.match(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), window=10)
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), size=400)
 
 
-SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
@@ -94,3 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_repeats": op10_repeats,
 }
+
+__all__ = ["QUERIES", "SQL"]

@@ -27,7 +27,7 @@ from plumbline.llm.common import groups
 from plumbline.plans.store import table
 
 #: Bytes of the first digit; places of one first digit that a task holds; bytes of a long text that are looked at once.
-DIGIT, GROUP, SEGMENT = 128, 20_000, 1 << 20
+DIGIT, GROUP, SEGMENT = 128, 20_000, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _tables: dict[int, tuple] = {}
@@ -157,7 +157,7 @@ def _runs(row: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np
     return row[first], start[first], start[np.append(first[1:] - 1, len(row) - 1)] + size
 
 
-def _sort(size: int, most: int = 8_192):
+def _sort(size: int, most: int = 2_048):
     """The repeated bytes, by places sorted by first digit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,8 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
     index = table(long.mapInArrow(_index(size, digit), "k long, t binary, pos int, s1 int, s2 int"), "index")
     mark = F.xxhash64("t", "pos")
     met = table(index.groupBy("k").agg(F.min(mark).alias("x"), F.max(mark).alias("y"), F.count("*").alias("n")).where("x != y").select("k", "n"), "met")
-    found = index.join(met.select("k"), "k").groupBy("t").agg(F.collect_set(F.struct("k", "pos", "s1", "s2")).alias("at"))
+    # Both sides of the joins on texts are read from tables, so that Spark can split a text with many copies.
+    found = table(index.join(met.select("k"), "k").groupBy("t").agg(F.collect_set(F.struct("k", "pos", "s1", "s2")).alias("at")), "found")
     contexts = table(long.join(found.hint("shuffle_hash"), "t").mapInArrow(_contexts(size), "k long, t binary, pos int, s1 int, s2 int, data binary"), "contexts")
     places, hot = contexts.where("k is not null"), met.where(F.col("n") > group)
     if hot.isEmpty():
@@ -255,7 +256,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
     # A text that several tasks came upon was cut by each of them, to the same end.
     cut = cut.drop(*[] if with_kept else ["kept"]).groupBy("t").agg(*[F.first(c).alias(c) for c in (["kept"] if with_kept else []) + ["n_removed", "n_spans", "kept_sha256"]])
     copies = rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(True).alias("copied"))
-    known = cut.join(copies, "t", "full_outer")
+    known = table(cut.join(copies, "t", "full_outer"), "known")
     n = F.octet_length("data").cast("long")
     own = rows.select("id", "t", "sha", n.alias("n_bytes"), *[F.col("data")] * with_kept).join(known, "t", "left")
     whole = F.col("copied") & (F.col("n_bytes") >= size)
