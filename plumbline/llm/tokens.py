@@ -15,13 +15,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.store import table
 
 #: Units in the broadcast table: at most so many, each of at most LONG characters.
-HEAD, LONG = 200_000, 40
+HEAD, LONG = 500_000, 40
 #: Distinct units that a task gathers before it passes them on.
 GATHER = 200_000
 #: White space other than space and line feed, what some engines take for it, and U+0000, which marks units here.
@@ -125,7 +126,8 @@ def _sum(path: str, head):
                 unit += [None, *other]
                 n += [total, *other.values()]
             at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(unit, pa.string()), pa.array(n, pa.int64())], ["id", "h", "n_bytes", "unit", "n"])
+            size = pc.if_else(pa.array([u is None for u in unit], pa.bool_()), batch.column(3).take(at), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), size, pa.array(unit, pa.string()), pa.array(n, pa.int64())], ["id", "h", "n_bytes", "unit", "n"])
 
     return run
 
@@ -144,12 +146,20 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     seen = rows.where("n_bytes > 0").select("text").mapInArrow(_gather(path), "unit string, n long")
     vocabulary = table(seen.groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(_pieces(path), "unit string, n long, pieces long"), "vocabulary")
-    top = vocabulary.where(F.char_length("unit") <= LONG + 1).orderBy(F.desc("n"), "unit").limit(head).select("unit", "pieces").toArrow()
+    # The most frequent units, down to the eighth of a power of two in their number at which they become too many.
+    short, step = vocabulary.where(F.char_length("unit") <= LONG + 1), F.floor(F.log2("n") * 8).cast("int")
+    least, many = None, 0
+    for x in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 512 rows at most
+        if (many := many + x["count"]) > head:
+            break
+        least = x["step"]
+    top = short.where(F.lit(False) if least is None else step >= least).select("unit", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     kind = dict(rows.dtypes)["id"]
     parts = table(rows.select("id", "h", "text", "n_bytes").mapInArrow(_sum(path, known), f"id {kind}, h long, n_bytes long, unit string, n long"), "parts")
     whole = parts.where("unit is null").select("id", "h", "n_bytes", "n", F.lit(1).alias("rows"))
-    rest = parts.where("unit is not null").join(vocabulary.select("unit", "pieces"), "unit").select("id", "h", "n_bytes", (F.col("n") * F.col("pieces")).alias("n"), F.lit(0).alias("rows"))
-    out = whole.unionByName(rest).groupBy("id", "h", "n_bytes").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    rest = parts.where("unit is not null").select("id", "h", "unit", F.col("n").cast("int").alias("n")).join(vocabulary.select("unit", F.col("pieces").cast("int").alias("pieces")), "unit")
+    rest = rest.select("id", "h", F.lit(None).cast("long").alias("n_bytes"), (F.col("n").cast("long") * F.col("pieces")).alias("n"), F.lit(0).alias("rows"))
+    out = whole.unionByName(rest).groupBy("id", "h").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     out = out.withColumn("n_tokens", (F.col("n") / F.col("rows")).cast("long")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
