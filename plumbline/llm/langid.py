@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.linear import sigmoid, svm
+from plumbline.llm.linear import matrix, sigmoid, svm
 
 #: Rows to learn from, features, characters of a text that are looked at once.
 SAMPLE, FEATURES, CHUNK = 2_400, 4_096, 1 << 18
@@ -57,11 +57,10 @@ def features(text: str, size: int = FEATURES) -> np.ndarray:
 
 
 class Model:
-    """Family classifiers, and language classifiers by family; weights have the intercept last."""
+    """Family classifiers, and language classifiers by family; x and the weights have the intercept last."""
 
     def __init__(self, x: np.ndarray, langs: list[str], size: int = FEATURES) -> None:
         self.size, y = size, np.array(langs, object)
-        x = np.hstack([x, np.ones((len(x), 1))])
         own = np.array([family(v) for v in langs], object)
         self.families = sorted(set(own))
         self.languages = {f: sorted(set(y[own == f])) for f in self.families}
@@ -118,7 +117,9 @@ def train(labelled: DataFrame, size: int = FEATURES, rows: int = SAMPLE) -> Mode
     got = labelled.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "x binary, lang string").orderBy("lang", "x").limit(rows).toArrow()
     if not got.num_rows:
         return None
-    return Model(np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(got.num_rows, size).astype(np.float64), got.column(1).to_pylist(), size)
+    x, langs = matrix(got.column(0), size), got.column(1).to_pylist()
+    del got
+    return Model(x, langs, size)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+
+def matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Rows of ``size`` numbers in single precision, from their bytes, and a last column of ones; filled in place."""
+    out, at = np.ones((len(column), size + 1), np.float32), 0
+    for x in column:
+        out[at, :size] = np.frombuffer(x.as_buffer(), np.float32)
+        at += 1
+    return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -12,7 +22,7 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12, seed: in
     """
     share = np.where(y > 0, (y < 0).mean(), (y > 0).mean()).clip(1e-3)
     diag = 1.0 / (2 * c * 2 * share)
-    norm = (x * x).sum(1) + diag
+    norm = np.einsum("ij,ij->i", x, x).astype(np.float64) + diag
     alpha, w = np.zeros(len(y)), np.zeros(x.shape[1], np.float64)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -29,9 +39,10 @@ def logistic(x: np.ndarray, p: np.ndarray, l2: float = 1e-4, rounds: int = 300,
     """Weights of a logistic regression on soft labels p, by gradient steps of a size for each feature; sides count alike."""
     share = p * max(1e-3, (1 - p).mean()) + (1 - p) * max(1e-3, p.mean())
     share = share / share.mean()
+    x = x.astype(np.float32, copy=False)
     w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
     for _ in range(rounds):
-        grad = ((sigmoid(x @ w) - p) * share) @ x / len(p) + l2 * w
+        grad = ((sigmoid(x @ w.astype(np.float32)) - p) * share).astype(np.float32) @ x / len(p) + l2 * w
         seen += grad * grad
         w -= rate * grad / np.sqrt(seen)
     return w

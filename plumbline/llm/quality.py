@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.linear import logistic, sigmoid
+from plumbline.llm.linear import logistic, matrix, sigmoid
 
 #: Rows to train the scorer on, its features, characters of a text that are looked at once.
 SAMPLE, FEATURES, CHUNK = 6_000, 2_048, 1 << 18
@@ -102,7 +102,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior:
     """
     n, k = patterns.shape
     v = patterns + 1
-    abstain = np.array([[(counts * (v[:, j] == 0)).sum() / counts.sum()] for j in range(k)])
+    abstain = np.array([[((counts * (v[:, j] == 0)).sum() + 1) / (counts.sum() + 3)] for j in range(k)])
     rates = np.stack([np.hstack([abstain, (1 - abstain) * 0.8, (1 - abstain) * 0.2]), np.hstack([abstain, (1 - abstain) * 0.2, (1 - abstain) * 0.8])], 1)
     for _ in range(rounds):
         p = posterior(patterns, prior, rates)
@@ -156,8 +156,9 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE, size: int
     share = min(1.0, rows / counts.sum())
     some = text.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(steps)) < int(np.ceil(share * steps)))
     got = some.mapInArrow(run, "x binary, p double").distinct().orderBy("x").limit(rows).toArrow()
-    x = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(got.num_rows, size).astype(np.float64)
-    w = logistic(np.hstack([x, np.ones((len(x), 1))]), got.column(1).to_numpy())
+    x, p = matrix(got.column(0), size), got.column(1).to_numpy()
+    del got
+    w = logistic(x, p)
     return prior, rates, w
 
 
