@@ -149,7 +149,8 @@ def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: st
     """
     found = near_duplicates(docs, shingle, radius, id_col, text_col)
     kept = table(found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "kept")
-    some = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col] == kept["_id"], "left_semi")
+    # The ids to keep grow with the documents, so they are never broadcast: the plan is the same at every size.
+    some = docs.where(F.col(id_col).isNotNull()).join(kept.hint("shuffle_hash"), docs[id_col] == kept["_id"], "left_semi")
     if not kept.where("_rows > 1").isEmpty():
         some = some.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
     return some.unionByName(docs.where(F.col(id_col).isNull()))
