@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import found, matching, ordered
+from plumbline.llm.spans import found, ordered
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
@@ -59,25 +59,23 @@ def scan(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame
     Kinds: email, ip (each part at most 255), card (12 to 19 digits that pass Luhn's check), phone (9 to 15 digits), and
     iban, which the method adds (mod 97, and no overlap with a card). Matches that fail are dropped, not tried again in
     another place. start counts code points from 0, end is exclusive. The score is the kind's own, and more if a context
-    word stands within ``near`` characters; no span is dropped for its score. A null text has none, as an empty one. A
+    word stands within ``near`` characters, up to the next match of the kind; no span is dropped for its score. A null text has none, as an empty one. A
     column of docs named ``pii`` is replaced; all others, and all rows, stay as they are.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n = lambda s: F.char_length(digits(s["text"]))
     bare = lambda p: F.ltrim(p, F.lit("0"))
     small = lambda s: F.forall(F.split(s["text"], r"\."), lambda p: (F.char_length(bare(p)) <= 3) & (F.lpad(bare(p), 3, "0") <= "255"))
-    card = F.when(text.rlike(CARD_LONG), matching(text, "card", CARD, lambda s: n(s).between(12, 19) & luhn(s["text"]))).otherwise(found(F.lit(""), "card", CARD))
-    iban = F.when(text.rlike(IBAN), matching(text, "iban", IBAN, lambda s: mod_97(s["text"]))).otherwise(found(F.lit(""), "iban", IBAN))
-    base = F.concat(found(text, "email", EMAIL), matching(text, "ip", IP, small), card, matching(text, "phone", PHONE, lambda s: n(s).between(9, 15)))
+    card = F.when(text.rlike(CARD_LONG), found(text, "card", CARD, near, lambda s: n(s).between(12, 19) & luhn(s["text"]))).otherwise(found(F.lit(""), "card", CARD))
+    iban = F.when(text.rlike(IBAN), found(text, "iban", IBAN, near, lambda s: mod_97(s["text"]))).otherwise(found(F.lit(""), "iban", IBAN))
+    base = F.concat(found(text, "email", EMAIL, near), found(text, "ip", IP, near, small), card, found(text, "phone", PHONE, near, lambda s: n(s).between(9, 15)))
     out = docs.withColumn("_base", base).withColumn("_more", iban)
     more = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["kind"] == "card") & (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
     def scored(s: Column) -> Column:
-        before = F.substr(text, F.greatest(F.lit(1), s["start"] - near + 1), F.least(s["start"], F.lit(near)))
-        around = F.concat_ws(" ", before, F.substr(text, s["end"] + 1, F.lit(near)))
         score = F.lit(0.0)
         for kind in KINDS:
-            score = F.when(s["kind"] == kind, F.lit(SCORE[kind]) + F.when(around.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)).otherwise(score)
+            score = F.when(s["kind"] == kind, F.lit(SCORE[kind]) + F.when(s["near"].rlike(CONTEXT[kind]), BONUS).otherwise(0.0)).otherwise(score)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score.alias("score"))
 
     return out.withColumn("pii", F.transform(ordered(F.concat("_base", more), KINDS), scored)).drop("_base", "_more")

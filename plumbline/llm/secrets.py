@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import found, matching, ordered
+from plumbline.llm.spans import found, ordered
 
 # The base patterns, with letters in either case spelled out, and their least sizes.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,21 +24,22 @@ BASE = ["assign", "access", "hex"]
 #: Candidates, the window, and the least bits a character of a window by character class.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-BITS = {"digit": 99.0, "hex": 3.0, "alnum": 3.7, "base64": 3.9}
+BITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: UUIDs, paths and names made of words, runs of one character, alphabets, and what stands for a secret in examples.
+#: Groups repeat possessively: Java's other loops over groups go one call deeper with every turn.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[/_=+-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([/_=+-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*$",
+    r"^[/_=+-]*+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4})(?:[/_=+-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}))*+[/_=+-]*+$",
     r"(?i)(example|placeholder|changeme|dummy|redacted|your[_-]?(key|token|secret))",
     r"(.)\1{7}",
     r"(?i)(abcdefghij|0123456789|1234567890|qwertyuiop)",
 )
 
 
-def char_class(text: Column) -> Column:
-    """digit, hex, alnum or base64: the smallest class that holds all characters."""
-    return F.when(text.rlike("^[0-9]+$"), "digit").when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(text.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
+def least_bits(text: Column) -> Column:
+    """The least bits of the smallest class that holds all characters: hex, alnum or base64."""
+    return F.when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), BITS["hex"]).when(text.rlike("^[A-Za-z0-9]+$"), BITS["alnum"]).otherwise(BITS["base64"])
 
 
 def high_windows(text: Column, bits: Column, window: int = WINDOW) -> Column:
@@ -66,12 +67,14 @@ def high_windows(text: Column, bits: Column, window: int = WINDOW) -> Column:
 
 
 def entropy_spans(text: Column, window: int = WINDOW) -> Column:
-    """Spans of kind ``entropy``: from the first to the last high window of each candidate that no allow-list knows."""
+    """Spans of kind ``entropy``: from the first to the last high window of each candidate that no allow-list knows.
+
+    Candidates of digits alone aren't secrets.
+    """
     allowed = lambda t: reduce(Column.__or__, [t.rlike(p) for p in ALLOWED])
-    bits = lambda t: reduce(lambda w, k: w.when(char_class(t) == k, BITS[k]), list(BITS)[1:], F.when(char_class(t) == "digit", BITS["digit"]))
-    seen = F.transform(matching(text, "entropy", CANDIDATE, lambda s: ~allowed(s["text"])), lambda s: F.struct(s["start"].alias("at"), s["text"].alias("text"), high_windows(s["text"], bits(s["text"]), window).alias("w")))
+    seen = F.transform(found(text, "entropy", CANDIDATE, 0, lambda s: ~(s["text"].rlike("^[0-9]+$") | allowed(s["text"]))), lambda s: F.struct(s["start"].alias("at"), s["text"].alias("text"), high_windows(s["text"], least_bits(s["text"]), window).alias("w")))
     seen = F.filter(seen, lambda s: s["w"]["last"] > 0)
-    return F.transform(seen, lambda s: F.struct(F.lit("entropy").alias("kind"), (s["at"] + s["w"]["first"] - window).alias("start"), (s["at"] + s["w"]["last"]).alias("end"), F.substr(s["text"], s["w"]["first"] - window + 1, s["w"]["last"] - s["w"]["first"] + window).alias("text")))
+    return F.transform(seen, lambda s: F.struct(F.lit("entropy").alias("kind"), (s["at"] + s["w"]["first"] - window).alias("start"), (s["at"] + s["w"]["last"]).alias("end"), F.substr(s["text"], s["w"]["first"] - window + 1, s["w"]["last"] - s["w"]["first"] + window).alias("text"), F.lit("").alias("near")))
 
 
 def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -84,7 +87,7 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataF
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     long_enough = lambda s: F.char_length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 6
-    base = F.concat(matching(text, "assign", ASSIGN, long_enough), found(text, "access", ACCESS), found(text, "hex", HEX))
+    base = F.concat(found(text, "assign", ASSIGN, 0, long_enough), found(text, "access", ACCESS), found(text, "hex", HEX))
     out = docs.withColumn("_base", base).withColumn("_more", entropy_spans(text, window))
     more = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     spans = F.transform(ordered(F.concat("_base", more), [*BASE, "entropy"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))

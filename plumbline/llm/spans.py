@@ -5,37 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONE = "array<struct<kind:string,start:int,end:int,text:string>>"
+NONE = "array<struct<kind:string,start:int,end:int,text:string,near:string>>"
 
 
-def found(text: Column, kind: str, pattern: str) -> Column:
-    """An array of (kind, start, end, text) for the leftmost non-overlapping matches; start from 0, end exclusive.
+def found(text: Column, kind: str, pattern: str, near: int = 0, keep=None) -> Column:
+    """An array of (kind, start, end, text, near) for the leftmost non-overlapping matches; start from 0, end exclusive.
 
     What is between the matches is had by splitting at them; the lengths of both, summed up, give the places. Most texts
-    have no match and are only searched once. Patterns must not match an empty string.
+    have no match and are only searched once. Patterns must not match an empty string. ``near`` is what stands within so
+    many characters on either side, up to the next match. Matches for which ``keep(span)`` is false are left out.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    around = (lambda p: F.concat_ws(" ", F.substring(p["gap"], -near, near), F.substring(p["next"], 1, near))) if near else (lambda p: F.lit(""))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("text"), around(pair).alias("near"))
+        more = F.array_append(state["spans"], span)
+        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(span), more).otherwise(state["spans"])).alias("spans"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("spans"))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("next"))
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(NONE))
 
 
-def matching(text: Column, kind: str, pattern: str, keep) -> Column:
-    """``found``, without the matches for which ``keep(span)`` is false."""
-    return F.filter(found(text, kind, pattern), keep)
-
-
 def ordered(spans: Column, kinds: list[str]) -> Column:
     """Spans by start, then by kind as listed, then by end."""
     place = lambda s: F.array_position(F.array(*map(F.lit, kinds)), s["kind"])
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), s["near"].alias("near")))
     return F.array_sort(keyed)
 
 

@@ -52,14 +52,14 @@ def test_quality_follows_the_labels(spark):
 
 def test_em_finds_the_better_labeller():
     rng = np.random.default_rng(1)
-    truth = rng.random(4000) < 0.7
-    right = np.array([0.95, 0.85, 0.6])
-    votes = np.where(rng.random((4000, 3)) < right, truth[:, None], ~truth[:, None]).astype(int)
-    votes[rng.random((4000, 3)) < 0.2] = -1
+    truth = rng.random(20000) < 0.7
+    right = np.array([0.95, 0.85, 0.8, 0.75, 0.6])
+    votes = np.where(rng.random((20000, 5)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random((20000, 5)) < 0.2] = -1
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     prior, rates = quality.estimate(patterns, counts.astype(float))
-    accuracy = [prior * rates[j, 1, 2] + (1 - prior) * rates[j, 0, 1] for j in range(3)]
-    assert prior == pytest.approx(0.7, abs=0.06) and accuracy[0] > accuracy[1] > accuracy[2]
+    accuracy = [prior * rates[j, 1, 2] / (1 - rates[j, 1, 0]) + (1 - prior) * rates[j, 0, 1] / (1 - rates[j, 0, 0]) for j in range(5)]
+    assert prior == pytest.approx(0.7, abs=0.03) and accuracy == pytest.approx(right, abs=0.03)
 
 
 def test_odd_rows_of_quality(odd, none):

