@@ -59,7 +59,7 @@ def scan(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame
     Kinds: email, ip (each part at most 255), card (12 to 19 digits that pass Luhn's check), phone (9 to 15 digits), and
     iban, which the method adds (mod 97, and no overlap with a card). Matches that fail are dropped, not tried again in
     another place. start counts code points from 0, end is exclusive. The score is the kind's own, and more if a context
-    word stands within ``near`` characters, up to the next match of the kind; no span is dropped for its score. A null text has none, as an empty one. A
+    word stands within ``near`` characters, after the span up to the second next match of the kind; no span is dropped for its score. A null text has none, as an empty one. A
     column of docs named ``pii`` is replaced; all others, and all rows, stay as they are.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -13,20 +13,21 @@ def found(text: Column, kind: str, pattern: str, near: int = 0, keep=None) -> Co
 
     What is between the matches is had by splitting at them; the lengths of both, summed up, give the places. Most texts
     have no match and are only searched once. Patterns must not match an empty string. ``near`` is what stands within so
-    many characters on either side, up to the next match. Matches for which ``keep(span)`` is false are left out.
+    many characters before, and after up to the second next match. Matches for which ``keep(span)`` is false are left out.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    around = (lambda p: F.concat_ws(" ", F.substring(p["gap"], -near, near), F.substring(p["next"], 1, near))) if near else (lambda p: F.lit(""))
+    tail = lambda *parts: F.substring(F.concat(*parts), -near, near) if near else F.lit("")
+    head = lambda p: F.substring(F.concat(p["next"], F.coalesce(p["hit2"], F.lit("")), F.coalesce(p["gap2"], F.lit(""))), 1, near) if near else F.lit("")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("text"), around(pair).alias("near"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("text"), (F.concat_ws(" ", tail(state["tail"], pair["gap"]), head(pair)) if near else F.lit("")).alias("near"))
         more = F.array_append(state["spans"], span)
-        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(span), more).otherwise(state["spans"])).alias("spans"))
+        return F.struct(end.alias("at"), tail(state["tail"], pair["gap"], pair["hit"]).alias("tail"), (more if keep is None else F.when(keep(span), more).otherwise(state["spans"])).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("spans"))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("next"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(NONE).alias("spans"))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("next"), F.slice(hits, 2, F.size(hits)).alias("hit2"), F.slice(gaps, 3, F.size(hits)).alias("gap2"))
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(NONE))
 
 
