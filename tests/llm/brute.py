@@ -120,9 +120,9 @@ def op10(docs: list[tuple], size: int = 400) -> dict:
 
 def op7(vectors: list[tuple], every: int = 20, k: int = 20) -> set:
     """(id, list) -> {(query, rank, id, score)}"""
-    ints = {i: [math.floor(64 * float(x)) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ints = {i: [math.floor(64 * float(x)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = set()
-    for q in (i for i in ints if i is not None and i % every == 0):
+    for q in (i for i in ints if i % every == 0):
         best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best[:k])}
     return out

@@ -25,6 +25,21 @@ def test_only_learned_rows_count(spark):
     assert langid.detect(docs).where("lang_pred = 'xx'").count() == 0
 
 
+def test_three_languages_of_one_family():
+    rng = np.random.default_rng(3)
+    words = {"en": "the and of that with this", "de": "der und das mit nicht ein", "nl": "het een van niet met voor", "fr": "les des que pour dans une", "ja": "これ は です の を"}
+    made = lambda lang: " ".join(rng.choice(words[lang].split(), 12))
+    texts = [(made(v), v) for v in words for _ in range(30)]
+    x = np.ones((len(texts), langid.FEATURES + 1), np.float32)
+    x[:, :-1] = [langid.features(t) for t, _ in texts]
+    model = langid.Model(x, [v for _, v in texts])
+    assert model.languages["germanic"] == ["de", "en", "nl"] and model.languages["=ja"] == ["ja"]
+    for v in words:
+        for _ in range(10):
+            found, score = model.predict(langid.features(made(v)))
+            assert found == v and 0 < score < 1
+
+
 def test_odd_rows_of_languages(odd, none):
     rows = langid.detect(odd).collect()
     assert len(rows) == odd.count()
