@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, pii, quality, simhash
+from plumbline.llm import decontaminate, jaccard, mixing, pii, quality, simhash
 from plumbline.llm.common import read
 from plumbline.plans.store import materialize
 
-#: Words of a shingle for near duplicates.
+#: Words of a shingle for near duplicates, and op1's bits, which no stage uses; the least Jaccard similarity.
 SHINGLE, RADIUS = 5, 4
+SIMILARITY = 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near duplicates."""
-    return simhash.first_of_each(docs, shingle=SHINGLE, radius=RADIUS)
+    return simhash.first_of_each(docs, found=jaccard.near_duplicates(docs, SHINGLE, SIMILARITY))
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

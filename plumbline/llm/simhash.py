@@ -142,12 +142,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     return seen.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """The rows of docs, with all their columns, of the smallest id of each component; rows of a null id stay.
 
-    Where that id has several rows, one of those with the same text stays.
+    Where that id has several rows, one of those with the same text stays. ``found`` has the components, if they are not
+    to be those of ``near_duplicates``.
     """
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
+    found = near_duplicates(docs, shingle, radius, id_col, text_col) if found is None else found
     kept = table(found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "kept")
     # The ids to keep grow with the documents, so they are never broadcast: the plan is the same at every size.
     some = docs.where(F.col(id_col).isNotNull()).join(kept.hint("shuffle_hash"), docs[id_col] == kept["_id"], "left_semi")
