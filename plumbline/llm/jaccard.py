@@ -2,8 +2,8 @@
 
 Shingles are put in one order for all texts, those that are common in a sample last. Two sets of similarity s share one
 of their first n - ceil(s n) + 1 shingles, so texts meet at these (prefix filtering); the order decides only how many
-meet in vain. Sets that meet are compared by their sizes and by 1 024 parity bits, of which no more can differ than
-shingles do; neither ever drops a pair that is similar enough. The pairs left are confirmed by exact Jaccard.
+meet in vain. Sets that meet are compared by their sizes and by parity bits, four or more a shingle, of which no more can
+differ than shingles do; neither ever drops a pair that is similar enough. The rest is confirmed by exact Jaccard.
 
 The work is on distinct sets. Members of buckets over ``SMALL`` first give a few nearest partners each, and then, where
 those links leave a bucket in several components, all the pairs across; buckets over ``BLOCK`` are compared block by
@@ -20,16 +20,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.common import groups
 from plumbline.plans.components import connected_components
 from plumbline.plans.store import table
 
 #: Members of a bucket of which all pairs are confirmed at once, partners of each in larger ones, members of a block.
-SMALL, PARTNERS, BLOCK = 64, 8, 4096
+SMALL, PARTNERS, BLOCK = 16, 4, 4096
 #: One text of so many tells which shingles are common: those in OFTEN of the sample, COMMON at most.
 SAMPLED, OFTEN, COMMON = 16, 8, 50_000
-PARITY = 1024
+#: Parity bits of a set at least and at most; marks by which texts are passed over that no pair can want.
+PARITY, MOST, MARKS = 1 << 10, 1 << 20, 1 << 22
 
 
 def shingles(text: str | None, size: int, seed: int = 42) -> np.ndarray:
@@ -45,6 +47,20 @@ def shingles(text: str | None, size: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each place, at four places a shingle or more, a power of two."""
+    size = min(MOST, max(PARITY, 1 << (4 * len(s) - 1).bit_length())) if len(s) else PARITY
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parity words as they would be at fewer places."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _common(texts: DataFrame, size: int) -> np.ndarray:
     """Shingles that many texts of a sample have, the rarest first."""
 
@@ -77,7 +93,7 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray
                 first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
                 h.append(xxhash.xxh64_intdigest(s.tobytes()))
                 n.append(len(s))
-                bits.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
+                bits.append(parity(s))
                 prefix.append(np.concatenate([s[~late], last])[:first].view(np.int64))
             made = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "n", "bits", "prefix"])
@@ -92,7 +108,12 @@ def _meet(similarity: float, partners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["token", "i", "j"]):
             token, i, j, block, h, n, component = (whole.column(c).to_numpy() for c in ("token", "i", "j", "block", "h", "n", "component"))
-            bits = np.frombuffer(b"".join(whole.column("bits").to_pylist()), np.uint64).reshape(len(h), -1)
+            raw = whole.column("bits").to_pylist()
+            words, place, bits = np.array([len(x) // 8 for x in raw]), np.zeros(len(raw), np.int64), {}
+            for w in np.unique(words).tolist():
+                of = np.flatnonzero(words == w)
+                place[of], bits[w] = np.arange(len(of)), np.frombuffer(b"".join(raw[k] for k in of), np.uint64).reshape(-1, w)
+            del raw
             cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             a, b = [], []
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
@@ -103,7 +124,12 @@ def _meet(similarity: float, partners: int):
                     if i[x] != j[x]:
                         may &= block[rest] != block[x]
                     at = np.flatnonzero(may) + x + 1
-                    far = np.bitwise_count(bits[at] ^ bits[x]).sum(1, dtype=np.int64)
+                    far = np.zeros(len(at), np.int64)
+                    own = bits[int(words[x])][place[x]]
+                    for w in np.unique(words[at]).tolist():
+                        of = np.flatnonzero(words[at] == w)
+                        least = min(w, len(own))
+                        far[of] = np.bitwise_count(folded(bits[w][place[at[of]]], least) ^ folded(own, least)).sum(1, dtype=np.int64)
                     near = far <= (n[at].astype(np.int64) + n[x]) * apart + 1e-9
                     at, far = at[near], far[near]
                     if most and len(at) > most:
@@ -132,10 +158,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, info: DataFrame, size: int, s
             for h, x in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), pa.array([shingles(x.as_py(), size).view(np.int64)], pa.list_(pa.int64()))], ["h", "s"])
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value[batch.column(0).to_numpy() & (MARKS - 1)]))
+
     ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = info.join(ends, "h").select("h", "t")
+    wanted = table(info.join(ends, "h").select("h", "t"), "wanted")
+    marks = np.zeros(MARKS, bool)
+    marks[wanted.select(F.col("t").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("m")).distinct().toArrow().column("m").to_numpy()] = True
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
     # Copies of a text are told apart by nothing; one of each is enough.
-    one = texts.select("t", "text").join(wanted.hint("shuffle_hash"), "t").dropDuplicates(["h"])
+    one = texts.select("t", "text").mapInArrow(marked, "t long, text string").join(wanted.hint("shuffle_hash"), "t").dropDuplicates(["h"])
     sets = table(one.select("h", "text").mapInArrow(run, "h long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -152,19 +185,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     seen = table(_sketches(texts, shingle, similarity, _common(texts, shingle)), "sketches")
     info = table(seen.groupBy("h").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("bits").alias("bits")), "distinct")
     keys = seen.select("h", "prefix").dropDuplicates(["h"]).select("h", F.explode("prefix").alias("token"))
-    met = keys.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")).where("members > 1")
+    shared = table(keys.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1"), "shared")
     # Shingles at which the same sets meet are as good as one of them.
-    met = table(met.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", "members"), "buckets")
-    members = table(keys.join(met, "token").join(info.select("h", "n", "bits"), "h"), "members")
+    met = shared.groupBy("token", "members").agg(F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    met = met.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token")
+    members = table(shared.join(met, "token"), "members").join(info.select("h", "n", "bits"), "h")
 
     pairs = table(_candidates(members.withColumn("component", F.col("h")), similarity, PARTNERS), "pairs")
     links = table(_confirmed(pairs, texts, info, shingle, similarity), "links")
     large = members.where(F.col("members") > SMALL)
     if not large.isEmpty():
         known = connected_components(links).withColumnRenamed("node", "h")
-        large = table(large.join(known, "h", "left").withColumn("component", F.coalesce("component", "h")), "large")
-        apart = large.groupBy("token").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("token")
-        more = table(_candidates(large.join(apart, "token"), similarity, 0).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        placed = large.select("token", "h").join(known, "h", "left").withColumn("component", F.coalesce("component", "h"))
+        apart = placed.groupBy("token").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("token")
+        across = large.join(apart, "token").join(known, "h", "left").withColumn("component", F.coalesce("component", "h"))
+        more = table(_candidates(across, similarity, 0).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = links.unionByName(_confirmed(more, texts, info, shingle, similarity))
 
