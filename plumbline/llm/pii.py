@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
-DataFrame functions alone. Patterns that repeat a group do so possessively, which gives the same matches (nothing
-follows that could take characters back) without deep recursion on long runs; those that start with a run look behind
-for its first character or the end of the last match, so that long runs are read once.
+DataFrame functions alone. Patterns that repeat a group without a bound do so possessively, which gives the same matches
+(nothing follows that could take characters back) without deep recursion on long runs; those that start with a run look
+behind for its first character or the end of the last match, so that long runs are read once. IBANs have the size of
+their country.
 """
 
 from __future__ import annotations
@@ -18,7 +19,15 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 #: Runs of fewer than 12 digits are no cards; a cheap search for more comes first.
 CARD_LONG = r"[0-9](?:[\x20-]?[0-9]){11}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Characters of an IBAN by country, from the registry; what follows one is no part of it, even if it could be.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OF_SIZE = "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, names in IBAN_SIZES.items())
+_LISTED = rf"(?:{'|'.join(' '.join(IBAN_SIZES.values()).split())})[0-9]{{2}}"
+#: Of other countries, the longest run that ends at a blank or mark and before an IBAN of those above.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OF_SIZE}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_LISTED})\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban"]
 #: Characters on either side in which context words count, the words, and the scores.

@@ -96,6 +96,20 @@ def test_iban_score_and_masks(spark):
     assert text == ["IBAN <IBAN>, please", texts[1][1], "write to <EMAIL> or <EMAIL>", "<IP> é 1.2.3.999", None]
 
 
+def test_ibans_before_words_and_numbers(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+    ends = ["", " Thanks", " Bank of", " EUR 500", " 2025-01-02", " BIC COBADEFF", " A", " 7", " GB82WEST12345698765432", "; X"]
+    texts = [(n, f"Pay {x}{e}") for n, (x, e) in enumerate((x, e) for x in ibans for e in ends)]
+    want = [[("iban", 4, 4 + len(x))] + [("iban", 5 + len(x), 27 + len(x))] * e.startswith(" GB82") for x in ibans for e in ends]
+    got = [[s for s in x if s[0] == "iban"] for x in spans(pii.scan(frame(spark, texts)).orderBy("doc_id"), "pii")]
+    assert got == want
+    # One character more or less, or another one, is no IBAN; codes of no listed country are judged by mod 97 alone.
+    none = [(0, "DE8937040044053201300"), (1, "DE893704004405320130001"), (2, "DE88370400440532013000 Thanks"), (3, "xDE89370400440532013000")]
+    assert spans(pii.scan(frame(spark, none)).select(F.filter("pii", lambda s: s["kind"] == "iban").alias("pii")), "pii") == [[]] * 4
+    code = next(f"ZZ{n:02}ABCD0000111122" for n in range(2, 99) if int("".join(str(int(c, 36)) for c in f"ABCD0000111122ZZ{n:02}")) % 97 == 1)
+    assert spans(pii.scan(frame(spark, [(0, f"to {code} Thanks")])), "pii") == [[("iban", 3, 3 + len(code))]]
+
+
 def test_long_runs_end_in_time(spark):
     texts = [(0, "1" * 200_000), (1, "a" * 200_000), (2, "1-" * 100_000), (3, "a." * 100_000), (4, "+1" * 50_000), (5, "a@" + "b." * 80_000), (6, "1." * 8_000), (7, "AKIA" * 8_000), (8, "token=" * 8_000), (9, "Ab/" * 30_000)]
     want = {5: {"email": 1}, 6: {"ip": 2000}}
