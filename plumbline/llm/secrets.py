@@ -2,8 +2,8 @@
 
 A candidate is a long run of the characters that keys are written in. A window slides over it; its Shannon entropy is
 kept up to date from counts, of which each step changes two: the character that leaves and the one that comes in.
-Windows at or above the threshold of the candidate's character class are joined to a span. Candidates that an
-allow-list knows as harmless are left out.
+Windows at or above the threshold of their own character class are joined to a span, so that a name or mark before a
+secret doesn't raise it. Candidates that an allow-list knows as harmless are left out.
 """
 
 from __future__ import annotations
@@ -37,21 +37,22 @@ ALLOWED = (
 )
 
 
-def least_bits(text: Column) -> Column:
-    """The least bits of the smallest class that holds all characters: hex, alnum or base64."""
-    return F.when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), BITS["hex"]).when(text.rlike("^[A-Za-z0-9]+$"), BITS["alnum"]).otherwise(BITS["base64"])
-
-
-def high_windows(text: Column, bits: Column, window: int = WINDOW) -> Column:
+def high_windows(text: Column, bits: Column | None = None, window: int = WINDOW) -> Column:
     """(first, last): the first and the last window, by its last character from 1, of at least ``bits``; 0 if none.
 
+    Without ``bits``, those of the smallest class that holds all characters of the window: hex, alnum or base64; windows
+    of digits alone are none. The state has where the last character outside of each class stands.
+
     The entropy of n characters is log2(n) - sum(c log2 c) / n over the counts c. The state has the count of each
     character of the alphabet, and that sum in millionths, so that it stays exact; a step changes two counts.
     """
     table = F.array(*[F.lit(round(c * math.log2(c) * 1e6) if c else 0) for c in range(window + 2)])
     codes = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    most = F.lit(round(window * math.log2(window) * 1e6)) - bits * (window * 1e6)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"), codes.alias("codes"))
+    most = lambda b: F.lit(round(window * math.log2(window) * 1e6)) - b * (window * 1e6)
+    # Places in the alphabet, from 1, of: lower-case hex, upper-case hex, letters and digits, digits.
+    digit = lambda c: c.between(53, 62)
+    classes = {"low": lambda c: c.between(27, 32) | digit(c), "up": lambda c: c.between(1, 6) | digit(c), "alnum": lambda c: c <= 62, "digit": digit} if bits is None else {}
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"), codes.alias("codes"), *[F.lit(0).alias(k) for k in classes])
 
     def step(s: Column, i: Column) -> Column:
         come, gone = F.get(s["codes"], i - 1), F.coalesce(F.get(s["codes"], F.when(i > window, i - 1 - window)), F.lit(0))
@@ -59,9 +60,15 @@ def high_windows(text: Column, bits: Column, window: int = WINDOW) -> Column:
         change = F.get(table, more + 1) - F.get(table, more) + F.coalesce(F.get(table, less - 1) - F.get(table, less), F.lit(0))
         total = s["sum"] + F.when(come == gone, F.lit(0)).otherwise(change)
         counts = F.transform(s["counts"], lambda c, j: c + F.when(j == come - 1, 1).otherwise(0) - F.when(j == gone - 1, 1).otherwise(0))
-        high = (i >= window) & (total <= most)
+        out = {k: F.when(of(come), s[k]).otherwise(i) for k, of in classes.items()}
+        if classes:
+            within = {k: i - v >= window for k, v in out.items()}
+            least = F.when(within["low"] | within["up"], most(F.lit(BITS["hex"]))).when(within["alnum"], most(F.lit(BITS["alnum"]))).otherwise(most(F.lit(BITS["base64"])))
+            high = (i >= window) & ~within["digit"] & (total <= least)
+        else:
+            high = (i >= window) & (total <= most(bits))
         first = F.when(high & (s["first"] == 0), i).otherwise(s["first"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), first.alias("first"), F.when(high, i).otherwise(s["last"]).alias("last"), s["codes"].alias("codes"))
+        return F.struct(counts.alias("counts"), total.alias("sum"), first.alias("first"), F.when(high, i).otherwise(s["last"]).alias("last"), s["codes"].alias("codes"), *[v.alias(k) for k, v in out.items()])
 
     return F.aggregate(F.sequence(F.lit(1), F.char_length(text)), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
@@ -72,7 +79,7 @@ def entropy_spans(text: Column, window: int = WINDOW) -> Column:
     Candidates of digits alone aren't secrets.
     """
     allowed = lambda t: reduce(Column.__or__, [t.rlike(p) for p in ALLOWED])
-    seen = F.transform(found(text, "entropy", CANDIDATE, 0, lambda s: ~(s["text"].rlike("^[0-9]+$") | allowed(s["text"]))), lambda s: F.struct(s["start"].alias("at"), s["text"].alias("text"), high_windows(s["text"], least_bits(s["text"]), window).alias("w")))
+    seen = F.transform(found(text, "entropy", CANDIDATE, 0, lambda s: ~(s["text"].rlike("^[0-9]+$") | allowed(s["text"]))), lambda s: F.struct(s["start"].alias("at"), s["text"].alias("text"), high_windows(s["text"], None, window).alias("w")))
     seen = F.filter(seen, lambda s: s["w"]["last"] > 0)
     return F.transform(seen, lambda s: F.struct(F.lit("entropy").alias("kind"), (s["at"] + s["w"]["first"] - window).alias("start"), (s["at"] + s["w"]["last"]).alias("end"), F.substr(s["text"], s["w"]["first"] - window + 1, s["w"]["last"] - s["w"]["first"] + window).alias("text"), F.lit("").alias("near")))
 

@@ -85,6 +85,17 @@ def test_entropy_spans_and_the_allow_list(spark):
     assert got[3] == [("assign", 0, 6 + len(key))]
 
 
+def test_entropy_after_a_name(spark):
+    r, texts = random.Random(5), []
+    for letters, size in (("0123456789ABCDEF", 32), ("0123456789abcdef", 20)):
+        for before in ("", "KEY=", "key=", "ID-", "a/b_"):
+            texts += [(len(texts) + k, before + "".join(r.choice(letters) for _ in range(size))) for k in range(40)]
+    got = spans(secrets.scan(frame(spark, texts)).orderBy("doc_id"), "secrets")
+    found = [sum(bool(x) for x in got[n : n + 40]) for n in range(0, len(got), 40)]
+    assert min(found[:5]) >= 38 and min(found[5:]) >= 0.8 * found[5] >= 24, found
+    assert spans(secrets.scan(frame(spark, [(0, "order=12345678901234567890")])), "secrets") == [[]]
+
+
 def test_iban_score_and_masks(spark):
     texts = [(0, "IBAN DE89 3704 0044 0532 0130 00, please"), (1, "IBAN DE88 3704 0044 0532 0130 00"), (2, "write to a@b.co or c@d.org"), (3, "1.2.3.4 é 1.2.3.999"), (4, None)]
     df = pii.scan(frame(spark, texts))
