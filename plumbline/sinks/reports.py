@@ -63,10 +63,10 @@ def to_csv(audit: Audit, kind: str) -> str:
     return out.getvalue()
 
 
-def to_json(audit: Audit, include_images: bool = False, most: int = 100_000) -> str:
-    """One JSON text: the summary and the tables, those of images and boxes only if asked for; tables end at ``most`` rows."""
+def to_json(audit: Audit, include_images: bool = False) -> str:
+    """One JSON text: the summary and the whole tables, those of images and boxes only if asked for."""
     skip = set() if include_images else {"images", "boxes"}
-    tables = {name: [json.loads(r[0]) for r in df.limit(most).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()] for name, df in audit.tables.items() if name not in skip}
+    tables = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()] for name, df in audit.tables.items() if name not in skip}
     return json.dumps({"audit": audit.meta, **tables}, indent=2, ensure_ascii=False)
 
 
