@@ -21,6 +21,15 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has, in any case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    made = f"_{name}"
+    while made.lower() in taken:
+        made = f"_{made}"
+    return made
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. Texts of one byte a character take the faster function, which does the same to them."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: every pair from a similarity on, found by prefixes.
-
-Shingles are put in one order for all texts, those that are common in a sample last. Two sets of similarity s share one
-of their first n - ceil(s n) + 1 shingles, so texts meet at these (prefix filtering); the order decides only how many
-meet in vain. Sets that meet are compared by their sizes and by parity bits, four or more a shingle, of which no more can
-differ than shingles do; neither ever drops a pair that is similar enough. The rest is confirmed by exact Jaccard.
-
-The work is on distinct sets. Members of buckets over ``SMALL`` first give a few nearest partners each, and then, where
-those links leave a bucket in several components, all the pairs across; buckets over ``BLOCK`` are compared block by
-block in tasks of their own. Sets count as equal if their 64-bit hashes are, and so do shingles.
+"""Operator 1 completed to a Jaccard similarity: every pair of word-shingle sets from a similarity on.
+
+Covering LSH of SimHash fingerprints links what is closest, and exact Jaccard confirms it; in large groups of near copies
+that joins nearly all. Sets as dissimilar as 0.8 differ in some 10 of 64 bits, though, which no number of masks that could
+be afforded covers. So the rest is found by prefixes: shingles are put in one order for all texts, those that are common in
+a sample last, and two sets of similarity s share one of their first n - ceil(s n) + 1 shingles. Sets that meet there, and
+that no links join yet, are compared by their sizes and by parity bits, four or more a shingle, of which no more can differ
+than shingles do; neither ever drops a pair that is similar enough. Exact Jaccard confirms what is left.
+
+The work is on distinct sets. A bucket in which all sets are in one component is done. One over ``SMALL`` first gives a
+tree of links, a member's at most, and where these, once confirmed, leave several components, all pairs across; those over
+``BLOCK`` are compared block by block in tasks of their own. Sets count as equal if their 64-bit hashes are, and so do
+shingles.
 """
 
 from __future__ import annotations
@@ -20,17 +23,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.llm.common import groups
+from plumbline.llm.simhash import links as covering_links
+from plumbline.llm.simhash import majority
 from plumbline.plans.components import connected_components
-from plumbline.plans.store import table
+from plumbline.plans.store import drop, materialize, table
 
-#: Members of a bucket of which all pairs are confirmed at once, partners of each in larger ones, members of a block.
-SMALL, PARTNERS, BLOCK = 16, 4, 4096
+#: Members of a bucket of which all pairs are confirmed at once, members of a block.
+SMALL, BLOCK = 16, 4096
 #: One text of so many tells which shingles are common: those in OFTEN of the sample, COMMON at most.
 SAMPLED, OFTEN, COMMON = 16, 8, 50_000
-#: Parity bits of a set at least and at most; marks by which texts are passed over that no pair can want.
+#: Parity bits of a set at least and at most; bits of the marks by which texts are passed over that no pair can want.
 PARITY, MOST, MARKS = 1 << 10, 1 << 20, 1 << 22
 
 
@@ -76,14 +80,14 @@ def _common(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, t, h, n, bits, prefix) of every row: t stands for the text, h for its set of n shingles."""
+    """(id, t, h, fp, n, bits, prefix) of every row: t stands for the text, h for its set of n shingles, fp is its fingerprint."""
     order = np.argsort(common)
     sent = texts.sparkSession.sparkContext.broadcast((common[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in batches:
-            h, n, bits, prefix = [], [], [], []
+            h, fp, n, bits, prefix = [], [], [], [], []
             for x in batch.column(2):
                 s = shingles(x.as_py(), size)
                 at = np.searchsorted(known, s)
@@ -92,61 +96,92 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray
                 last = s[late][np.argsort(rank[at[late]])]
                 first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
                 h.append(xxhash.xxh64_intdigest(s.tobytes()))
+                fp.append(majority(s))
                 n.append(len(s))
                 bits.append(parity(s))
                 prefix.append(np.concatenate([s[~late], last])[:first].view(np.int64))
-            made = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "n", "bits", "prefix"])
-
-    return texts.select("id", "t", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, t long, h long, n int, bits binary, prefix array<long>")
-
-
-def _meet(similarity: float, partners: int):
-    """Pairs within sorted buckets that may be similar enough, of different components; at most ``partners`` for a member, if not 0."""
-    apart = (1 - similarity) / (1 + similarity)
+            made = [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, fp)], pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "fp", "n", "bits", "prefix"])
+
+    return texts.select("id", "t", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, t long, h long, fp long, n int, bits binary, prefix array<long>")
+
+
+class _Cell:
+    """Members of one stream of cells, and which of them may be similar enough."""
+
+    def __init__(self, rows: pa.Table, similarity: float) -> None:
+        self.h, self.n, self.component = (rows.column(c).to_numpy() for c in ("h", "n", "component"))
+        self.similarity, self.apart = similarity, (1 - similarity) / (1 + similarity)
+        raw = rows.column("bits").to_pylist()
+        self.words, self.place, self.bits = np.array([len(x) // 8 for x in raw]), np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            of = np.flatnonzero(self.words == w)
+            self.place[of], self.bits[w] = np.arange(len(of)), np.frombuffer(b"".join(raw[k] for k in of), np.uint64).reshape(-1, w)
+
+    def near(self, x: int, at: np.ndarray) -> np.ndarray:
+        """Which of the members ``at`` may be similar enough to x."""
+        n = self.n[at].astype(np.int64)
+        out = np.minimum(n, self.n[x]) >= self.similarity * np.maximum(n, self.n[x]) - 1e-9
+        own = self.bits[int(self.words[x])][self.place[x]]
+        for w in np.unique(self.words[at[out]]).tolist():
+            of = np.flatnonzero(out & (self.words[at] == w))
+            least = min(w, len(own))
+            far = np.bitwise_count(folded(self.bits[w][self.place[at[of]]], least) ^ folded(own, least)).sum(1, dtype=np.int64)
+            out[of] = far <= (n[of] + self.n[x]) * self.apart + 1e-9
+        return out
+
+    def pairs(self, low: int, high: int) -> tuple[list, list]:
+        """All pairs of different components."""
+        a, b = [], []
+        for x in range(low, high - 1):
+            at = np.arange(x + 1, high)
+            at = at[self.component[at] != self.component[x]]
+            at = at[self.near(x, at)]
+            a += [self.h[x]] * len(at)
+            b += self.h[at].tolist()
+        return a, b
+
+    def tree(self, low: int, high: int) -> tuple[list, list]:
+        """Pairs that join whatever all pairs would: a breadth-first walk, in which linked members leave the rest."""
+        a, b, rest = [], [], np.arange(low, high)
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                x = queue.pop(0)
+                known = self.component[rest] == self.component[x]
+                new = np.zeros(len(rest), bool)
+                new[~known] = self.near(x, rest[~known])
+                a += [self.h[x]] * int(new.sum())
+                b += self.h[rest[new]].tolist()
+                queue += rest[known | new].tolist()
+                rest = rest[~(known | new)]
+        return a, b
+
+
+def _meet(similarity: float, trees: bool):
+    """Pairs within sorted cells that may be similar enough, of different components; with ``trees`` only a tree where a bucket is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["token", "i", "j"]):
-            token, i, j, block, h, n, component = (whole.column(c).to_numpy() for c in ("token", "i", "j", "block", "h", "n", "component"))
-            raw = whole.column("bits").to_pylist()
-            words, place, bits = np.array([len(x) // 8 for x in raw]), np.zeros(len(raw), np.int64), {}
-            for w in np.unique(words).tolist():
-                of = np.flatnonzero(words == w)
-                place[of], bits[w] = np.arange(len(of)), np.frombuffer(b"".join(raw[k] for k in of), np.uint64).reshape(-1, w)
-            del raw
+            token, i, j, members = (whole.column(c).to_numpy() for c in ("token", "i", "j", "members"))
+            cell = _Cell(whole, similarity)
             cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             a, b = [], []
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
-                most = partners if whole.column("members")[low].as_py() > SMALL else 0
-                for x in range(low, high - 1):
-                    rest = slice(x + 1, high)
-                    may = (component[rest] != component[x]) & (np.minimum(n[rest], n[x]) >= similarity * np.maximum(n[rest], n[x]) - 1e-9)
-                    if i[x] != j[x]:
-                        may &= block[rest] != block[x]
-                    at = np.flatnonzero(may) + x + 1
-                    far = np.zeros(len(at), np.int64)
-                    own = bits[int(words[x])][place[x]]
-                    for w in np.unique(words[at]).tolist():
-                        of = np.flatnonzero(words[at] == w)
-                        least = min(w, len(own))
-                        far[of] = np.bitwise_count(folded(bits[w][place[at[of]]], least) ^ folded(own, least)).sum(1, dtype=np.int64)
-                    near = far <= (n[at].astype(np.int64) + n[x]) * apart + 1e-9
-                    at, far = at[near], far[near]
-                    if most and len(at) > most:
-                        at = at[np.argpartition(far, most)[:most]]
-                    a += [h[x]] * len(at)
-                    b += h[at].tolist()
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)], strict=True):
+                x, y = (cell.tree if trees and members[low] > SMALL else cell.pairs)(low, high)
+                a += x
+                b += y
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
 
     return run
 
 
-def _candidates(members: DataFrame, similarity: float, partners: int) -> DataFrame:
+def _candidates(members: DataFrame, similarity: float, trees: bool) -> DataFrame:
     """(a, b): distinct pairs of ``members`` (token, members, h, n, bits, component) that may be similar enough."""
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = members.withColumn("block", F.pmod(F.xxhash64("h"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cells = placed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "h", "n", "bits", "component", "members")
-    found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_meet(similarity, partners), "a long, b long")
+    cells = placed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h", "n", "bits", "component", "members")
+    found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "h").mapInArrow(_meet(similarity, trees), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -158,53 +193,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, info: DataFrame, size: int, s
             for h, x in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), pa.array([shingles(x.as_py(), size).view(np.int64)], pa.list_(pa.int64()))], ["h", "s"])
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sent.value[batch.column(0).to_numpy() & (MARKS - 1)]))
-
-    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     wanted = table(info.join(ends, "h").select("h", "t"), "wanted")
-    marks = np.zeros(MARKS, bool)
-    marks[wanted.select(F.col("t").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("m")).distinct().toArrow().column("m").to_numpy()] = True
-    sent = texts.sparkSession.sparkContext.broadcast(marks)
-    # Copies of a text are told apart by nothing; one of each is enough.
-    one = texts.select("t", "text").mapInArrow(marked, "t long, text string").join(wanted.hint("shuffle_hash"), "t").dropDuplicates(["h"])
-    sets = table(one.select("h", "text").mapInArrow(run, "h long, s array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+    # One bit for each value of the hash: rows of 32768 bits, MARKS / 32768 at most, so that broadcasting them is safe.
+    mark = F.col("t").bitwiseAND(F.lit(MARKS - 1))
+    marks = wanted.groupBy(F.bitmap_bucket_number(mark).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("marks"))
+    bit = F.bitmap_bit_position(mark)
+    byte = F.conv(F.hex(F.substr("marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = texts.join(F.broadcast(marks), F.bitmap_bucket_number(mark) == F.col("row")).where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    # Copies of a text are told apart by nothing; one of each is enough, and goes before the shuffle where it can.
+    one = some.select("t", "text").distinct().join(wanted.hint("merge"), "t").dropDuplicates(["h"])
+    sets, path = materialize(one.select("h", "text").mapInArrow(run, "h long, s array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same / (F.size("x") + F.size("y") - same) >= similarity).select("a", "b")
+    links = table(both.where(same / (F.size("x") + F.size("y") - same) >= similarity).select("a", "b"), "links")
+    drop(texts.sparkSession, path)
+    return links
+
+
+def _close(info: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of sets whose fingerprints are equal or linked by covering LSH."""
+    first = table(info.groupBy("fp").agg(F.min("h").alias("r")), "fingerprints")
+    equal = info.select("h", "fp").join(first, "fp").where("h != r").select(F.col("h").alias("a"), F.col("r").alias("b"))
+    near = covering_links(first.select("fp"), radius).distinct()
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("r").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("r").alias("y")), "b")
+    return near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _placed(info: DataFrame, links: DataFrame) -> DataFrame:
+    """info with each set's component of the links."""
+    known = connected_components(links).withColumnRenamed("node", "h")
+    return info.join(known, "h", "left").withColumn("component", F.coalesce("component", "h"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's set of shingles, as a hash, and the component of its near-duplicates.
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """Each row's fingerprint and the component of its near-duplicates.
 
     Returns (id_col, fingerprint, component_id) as ``simhash.near_duplicates`` does; links are all pairs of a Jaccard
-    similarity of ``similarity`` or more. Texts without words are alike, and like no other.
+    similarity of ``similarity`` or more, and a fingerprint is that of the text's distinct shingles. ``radius`` only
+    decides how many links covering LSH finds before prefixes do. Texts without words are alike, and like no other.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    seen = table(_sketches(texts, shingle, similarity, _common(texts, shingle)), "sketches")
-    info = table(seen.groupBy("h").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("bits").alias("bits")), "distinct")
-    keys = seen.select("h", "prefix").dropDuplicates(["h"]).select("h", F.explode("prefix").alias("token"))
-    shared = table(keys.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1"), "shared")
-    # Shingles at which the same sets meet are as good as one of them.
-    met = shared.groupBy("token", "members").agg(F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
-    met = met.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token")
-    members = table(shared.join(met, "token"), "members").join(info.select("h", "n", "bits"), "h")
-
-    pairs = table(_candidates(members.withColumn("component", F.col("h")), similarity, PARTNERS), "pairs")
-    links = table(_confirmed(pairs, texts, info, shingle, similarity), "links")
+    seen, path = materialize(_sketches(texts, shingle, similarity, _common(texts, shingle)), "sketches")
+    ids = table(seen.select("id", "h", "fp"), "ids")
+    info = table(seen.groupBy("h").agg(F.min("id").alias("first"), F.first(F.struct("t", "fp", "n", "bits", "prefix")).alias("s")).select("h", "first", "s.*"), "distinct")
+    drop(spark, path)
+
+    pairs = table(_close(info, radius), "pairs")
+    links = _confirmed(pairs, texts, info, shingle, similarity)
+    placed, path = materialize(_placed(info.drop("first", "t", "fp"), links), "placed")
+    keys = placed.select("h", "component", F.explode("prefix").alias("token"))
+    # Shingles at which the same sets meet are as good as one of them; those of one component need no comparison.
+    met = keys.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    met = table(met.where("c != d").groupBy("members", "x", "y").agg(F.min("token").alias("token"), F.min("a").alias("a"), F.min("b").alias("b")), "met")
+    two = met.where("members = 2").select("token", "members", F.explode(F.array("a", "b")).alias("h"))
+    more = keys.join(met.where("members > 2").select("token", "members"), "token").select("token", "members", "h")
+    members = table(two.unionByName(more), "members")
+
+    known = placed.select("h", "n", "bits", "component")
+    pairs = pairs.unionByName(table(_candidates(members.join(known, "h"), similarity, True).join(pairs, ["a", "b"], "left_anti"), "pairs"))
+    links = links.unionByName(_confirmed(pairs, texts, info, shingle, similarity))
     large = members.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        known = connected_components(links).withColumnRenamed("node", "h")
-        placed = large.select("token", "h").join(known, "h", "left").withColumn("component", F.coalesce("component", "h"))
-        apart = placed.groupBy("token").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("token")
-        across = large.join(apart, "token").join(known, "h", "left").withColumn("component", F.coalesce("component", "h"))
-        more = table(_candidates(across, similarity, 0).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(_confirmed(more, texts, info, shingle, similarity))
+        known = _placed(known.drop("component"), links)
+        large = large.join(known, "h")
+        apart = large.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("token")
+        rest = table(_candidates(large.join(apart, "token"), similarity, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            links = links.unionByName(_confirmed(rest, texts, info, shingle, similarity))
 
     linked = connected_components(links).withColumnRenamed("node", "h")
     named = linked.join(info, "h").groupBy("component").agg(F.min("first").alias("least"))
     other = linked.join(named, "component").select("h", "least", F.lit(True).alias("linked"))
     whole = table(info.select("h", "first").join(other, "h", "left").select("h", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")), "whole")
-    return seen.select("id", "h").join(whole, "h").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id")
+    drop(spark, path)
+    return ids.join(whole, "h").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

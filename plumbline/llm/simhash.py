@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import groups
+from plumbline.llm.common import free, groups
 from plumbline.plans.components import connected_components
 from plumbline.plans.store import table
 
@@ -41,10 +41,14 @@ def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: len(words) - shingle + 1]
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], ">u8")
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -149,9 +153,10 @@ def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: st
     to be those of ``near_duplicates``.
     """
     found = near_duplicates(docs, shingle, radius, id_col, text_col) if found is None else found
-    kept = table(found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "kept")
+    at, n, own = free("id", docs), free("rows", docs), free("text", docs)
+    kept = table(found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias(at)).agg(F.count("*").alias(n)), "kept")
     # The ids to keep grow with the documents, so they are never broadcast: the plan is the same at every size.
-    some = docs.where(F.col(id_col).isNotNull()).join(kept.hint("shuffle_hash"), docs[id_col] == kept["_id"], "left_semi")
-    if not kept.where("_rows > 1").isEmpty():
-        some = some.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    some = docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), docs[id_col] == kept[at], "left_semi")
+    if not kept.where(F.col(n) > 1).isEmpty():
+        some = some.withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, own]).drop(own)
     return some.unionByName(docs.where(F.col(id_col).isNull()))

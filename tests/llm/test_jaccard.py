@@ -50,15 +50,32 @@ def test_the_stage_keeps_the_first_of_all_pairs_of_similar_shingles(spark, small
     assert len(got) < len({c for _, c in brute.op1(texts, pipeline.SHINGLE, pipeline.RADIUS).values()})
 
 
-@pytest.mark.parametrize(("limits", "groups", "copies"), [((64, 8, 4096), 40, 8), ((3, 1, 5), 12, 20)])
+@pytest.mark.parametrize(("limits", "groups", "copies"), [((64, 4096), 40, 8), ((3, 5), 12, 20)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, limits, groups, copies):
-    for name, value in zip(("SMALL", "PARTNERS", "BLOCK"), limits, strict=True):
+    for name, value in zip(("SMALL", "BLOCK"), limits, strict=True):
         monkeypatch.setattr(jaccard, name, value)
     rows = edited(groups, groups, copies)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == firsts(rows)
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_a_large_group_of_near_copies_and_what_shares_only_a_passage_with_it(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    r = random.Random(5)
+    base = [f"b{n}" for n in range(120)]
+    texts = []
+    for n in range(150):
+        w = list(base)
+        for _ in range(n % 4):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*base[:30], *(f"y{n}-{k}" for k in range(60))]) for n in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs).collect()} == firsts(rows)
+
+
 def test_odd_rows(odd, none):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(odd).collect()}
     assert got[2] == got[3] == got[4] == 2 and got[12] == 1 and got[6] == got[7] == got[8] == 6 and got[None] in (2, 6)

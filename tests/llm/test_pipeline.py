@@ -7,6 +7,7 @@ from plumbline.llm import decontaminate, mixing, pii, quality, simhash
 from plumbline.llm.common import read
 from plumbline.plans.store import table
 from tests.llm import brute
+from tests.llm.test_jaccard import firsts
 
 
 def test_each_stage_decides_on_what_the_last_one_kept(spark, small, documents):
@@ -24,8 +25,7 @@ def test_each_stage_decides_on_what_the_last_one_kept(spark, small, documents):
     assert set(after) == good and all(after[i] == before[i] for i in after)
 
     before, after = (rows(x) for x in steps["near_duplicates"])
-    found = brute.op1(list(before.items()), pipeline.SHINGLE, pipeline.RADIUS)
-    assert set(after) == {c for _, c in found.values()}
+    assert set(after) == set(firsts(list(before.items())).values())
 
     before, after = (rows(x) for x in steps["decontamination"])
     items = [(r.item_id, r.text) for r in read(spark, small, "benchmark").collect()]
