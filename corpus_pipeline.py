@@ -15,9 +15,8 @@ from plumbline.llm import decontaminate, jaccard, mixing, pii, quality, simhash
 from plumbline.llm.common import read
 from plumbline.plans.store import materialize
 
-#: Words of a shingle for near duplicates, and op1's bits, which no stage uses; the least Jaccard similarity.
-SHINGLE, RADIUS = 5, 4
-SIMILARITY = 0.8
+#: Words of a shingle, bits that fingerprints of links by covering LSH differ in at most, least Jaccard similarity.
+SHINGLE, RADIUS, SIMILARITY = 5, 4, 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +26,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near duplicates."""
-    return simhash.first_of_each(docs, found=jaccard.near_duplicates(docs, SHINGLE, SIMILARITY))
+    return simhash.first_of_each(docs, found=jaccard.near_duplicates(docs, SHINGLE, SIMILARITY, radius=RADIUS))
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
