@@ -14,10 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.linear import matrix, sigmoid, svm
+from plumbline.llm.common import free
+from plumbline.llm.linear import matrix, packed, sigmoid, svm
 
 #: Rows to learn from, features, characters of a text that are looked at once.
 SAMPLE, FEATURES, CHUNK = 2_400, 4_096, 1 << 18
@@ -37,7 +39,8 @@ FAMILIES = {
     "austronesian": "id ms tl jv su",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's letters, and no other word characters (such as superscript digits).
+_LETTER = regex.compile(r"\p{L}")
 _NOT = re.compile(r"[\W\d_]+")
 
 
@@ -101,27 +104,33 @@ class Model:
 def sample(docs: DataFrame, keep: Column, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> DataFrame:
     """(text, lang) of at most ``rows`` labelled rows, the same number of each language as far as it has them.
 
-    Rows are taken in the order of a hash of their id. Only ids are ranked, in parts of each task first, and the texts
-    are found by the ids' hashes; both are as many as ``rows`` at most.
+    Rows are taken in the order of a hash of their id and text; repeated rows count once. Counts of the languages, of
+    which at most ``rows`` are learned (those with the most rows), give a bound below which the hashes of about twice
+    as many rows as are needed fall, whatever the size of the table; only those are ranked, and only their texts move.
     """
-    labelled = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("_h", F.xxhash64(F.lit("sample"), F.col(id_col)))
-    langs = labelled.select(lang_col).distinct().count()
-    each = max(1, rows // max(1, langs))
-    order = Window.partitionBy(lang_col).orderBy("_h")
-    first = labelled.select(F.col(lang_col).alias("_lang"), "_h").withColumn("_n", F.row_number().over(order.partitionBy("_lang"))).where(F.col("_n") <= each)
-    ids = first.orderBy("_n", "_lang").limit(rows).select("_lang", "_h").distinct()
-    return labelled.join(F.broadcast(ids), (labelled[lang_col] == ids["_lang"]) & (labelled["_h"] == ids["_h"]), "left_semi").select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-
-
-def train(labelled: DataFrame, size: int = FEATURES, rows: int = SAMPLE) -> Model | None:
-    """The model of (text, lang) rows; None if there are none."""
+    at, n, own = free("hash", docs), free("place", docs), free("lang", docs)
+    labelled = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).withColumn(at, F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)))
+    # Distinct rows are counted by a sketch, so that no language's rows meet in one task.
+    langs = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(at).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    each = max(1, rows // max(1, len(langs)))
+    top = 1 << 63
+    bounds = [(r.lang, min(top - 1, int(-top + 2 * top * min(1.0, (2 * each + 40) / r.n)))) for r in langs]
+    known = docs.sparkSession.createDataFrame(bounds, f"{own} {dict(docs.select(lang_col).dtypes)[lang_col]}, bound long")
+    some = labelled.join(F.broadcast(known), labelled[lang_col] == known[own]).where(F.col(at) <= F.col("bound"))
+    some = some.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(at).alias(at)).dropDuplicates([at])
+    ranked = some.withColumn(n, F.row_number().over(Window.partitionBy("lang").orderBy(at))).where(F.col(n) <= each)
+    return ranked.select("text", "lang")
+
+
+def train(labelled: DataFrame, size: int = FEATURES) -> Model | None:
+    """The model of the (text, lang) rows of ``sample``; None if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x.as_py(), size).astype(np.float32).tobytes() for x in batch.column(0)]
+            found = [packed(features(x.as_py(), size)) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "lang"])
 
-    got = labelled.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "x binary, lang string").orderBy("lang", "x").limit(rows).toArrow()
+    got = labelled.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "x binary, lang string").orderBy("lang", "x").toArrow()
     if not got.num_rows:
         return None
     x, langs = matrix(got.column(0), size), got.column(1).to_pylist()
@@ -164,5 +173,5 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     every prediction is ``und``.
     """
     keep = ~held_out(id_col) & F.col(id_col).isNotNull()
-    model = train(sample(docs.select(id_col, text_col, lang_col), keep, id_col, text_col, lang_col, rows), rows=rows)
+    model = train(sample(docs.select(id_col, text_col, lang_col), keep, id_col, text_col, lang_col, rows))
     return identify(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

@@ -6,12 +6,27 @@ import numpy as np
 import pyarrow as pa
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector's numbers that are not zero, in single precision, and their places: a small part of it, where it is sparse."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float32).tobytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, places, numbers) of all rows of ``packed`` bytes, one after another; first has the end too."""
+    raw = [x.as_buffer() for x in column]
+    n = np.array([len(x) // 6 for x in raw], np.int64)
+    places = [np.frombuffer(x, np.uint16, k) for x, k in zip(raw, n, strict=True)]
+    numbers = [np.frombuffer(x, np.float32, k, 2 * k) for x, k in zip(raw, n, strict=True)]
+    return np.concatenate([[0], np.cumsum(n)]), np.concatenate([np.zeros(0, np.uint16), *places]), np.concatenate([np.zeros(0, np.float32), *numbers])
+
+
 def matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    """Rows of ``size`` numbers in single precision, from their bytes, and a last column of ones; filled in place."""
-    out, at = np.ones((len(column), size + 1), np.float32), 0
-    for x in column:
-        out[at, :size] = np.frombuffer(x.as_buffer(), np.float32)
-        at += 1
+    """Rows of ``size`` numbers in single precision, from ``packed`` bytes, and a last column of ones."""
+    first, places, numbers = unpacked(column)
+    out = np.zeros((len(column), size + 1), np.float32)
+    out[:, size] = 1
+    out[np.repeat(np.arange(len(column)), np.diff(first)), places] = numbers
     return out
 
 
@@ -35,14 +50,20 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12, seed: in
     return w
 
 
-def logistic(x: np.ndarray, p: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression on soft labels p, by gradient steps of a size for each feature; sides count alike."""
+def logistic(column: pa.ChunkedArray, size: int, p: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression on soft labels p, by gradient steps of a size for each feature; sides count alike.
+
+    The rows are ``packed`` bytes and stay sparse; the last weight is the intercept.
+    """
+    first, places, numbers = unpacked(column)
+    row, numbers = np.repeat(np.arange(len(p)), np.diff(first)), numbers.astype(np.float64)
     share = p * max(1e-3, (1 - p).mean()) + (1 - p) * max(1e-3, p.mean())
     share = share / share.mean()
-    x = x.astype(np.float32, copy=False)
-    w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    w, seen = np.zeros(size + 1), np.full(size + 1, 1e-8)
     for _ in range(rounds):
-        grad = ((sigmoid(x @ w.astype(np.float32)) - p) * share).astype(np.float32) @ x / len(p) + l2 * w
+        z = np.bincount(row, numbers * w[places], len(p)) + w[size]
+        off = (sigmoid(z) - p) * share / len(p)
+        grad = np.append(np.bincount(places, numbers * off[row], size), off.sum()) + l2 * w
         seen += grad * grad
         w -= rate * grad / np.sqrt(seen)
     return w

@@ -1,9 +1,10 @@
 """A quality classifier from weak labels.
 
-Labellers are heuristics that call a text good, bad or neither; they overlap and err. Expectation-maximisation over the
-counts of their joint votes estimates how often each is right, and with that the probability that a text is good. Those
-posteriors train a linear scorer on hashed features: the text's n-grams of character shapes, and what its words and
-lines repeat. The scorer decides on every text, also where the labellers say nothing.
+Labellers are heuristics that call a text good or bad, or say nothing where it is too short to judge; they overlap and
+err. Expectation-maximisation over the counts of their joint votes estimates how often each is right, and with that the
+probability that a text is good; a labeller that says nothing is left out of both steps. Those posteriors train a linear
+scorer on hashed features: the text's n-grams of character shapes, and what its words and lines repeat. The scorer
+decides on every text, also where the labellers say nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.linear import logistic, matrix, sigmoid
+from plumbline.llm.linear import logistic, packed, sigmoid
 
 #: Rows to train the scorer on, its features, characters of a text that are looked at once.
 SAMPLE, FEATURES, CHUNK = 6_000, 2_048, 1 << 18
@@ -28,7 +29,7 @@ _SHAPE[48:58] = 48
 _SHAPE[[9, 11, 12, 13]] = 32
 _MARKS = np.zeros(256, bool)
 _MARKS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()/@+_"]] = True
-#: In this order; a vote is 1 (good), 0 (bad) or -1 (neither). The first seven look for a fault, the others for prose.
+#: In this order; a vote is 1 (good), 0 (bad) or -1 (nothing). The first seven look for a fault, the others for prose.
 LABELLERS = ("marks", "capitals", "variety", "stutter", "lines", "tables", "ends", "prose", "sentences")
 
 
@@ -59,18 +60,19 @@ def measures(text: str) -> np.ndarray:
 
 
 def votes(m: np.ndarray) -> list[int]:
-    """The labellers' votes on measures; comparisons with nan are false."""
+    """The labellers' votes on measures; nothing where one that a labeller needs is nan."""
     marks, capitals, variety, stutter, lines, tables, ends, stops = m.tolist()
+    vote = lambda good, *needed: -1 if any(x != x for x in needed) else int(good)
     return [
-        0 if marks > 0.05 else -1,
-        0 if capitals > 0.5 else -1,
-        0 if variety < 0.2 else -1,
-        0 if stutter > 0.15 else -1,
-        0 if lines > 0.3 else -1,
-        0 if tables > 0.15 else -1,
-        0 if ends > 0.25 else -1,
-        1 if marks < 0.03 and capitals < 0.3 and stutter < 0.05 else -1,
-        1 if 0.01 < stops < 0.4 and tables < 0.05 and ends < 0.1 else -1,
+        vote(marks <= 0.05, marks),
+        vote(capitals <= 0.5, capitals),
+        vote(variety >= 0.2, variety),
+        vote(stutter <= 0.15, stutter),
+        vote(lines <= 0.3, lines),
+        vote(tables <= 0.15, tables),
+        vote(ends <= 0.25, ends),
+        vote(marks < 0.03 and capitals < 0.3 and stutter < 0.05, marks, capitals, stutter),
+        vote(0.01 < stops < 0.4 and tables < 0.05 and ends < 0.1, stops, tables, ends),
     ]
 
 
@@ -97,32 +99,29 @@ def features(text: str, m: np.ndarray, size: int = FEATURES) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8) -> tuple[float, np.ndarray]:
     """(share of good texts, rates[labeller, truth, vote + 1]) by EM over vote patterns and how often each occurs.
 
-    Labellers are taken as independent given the truth. The start says that each is right with 0.8, so that good means
-    good; one observation more for each outcome keeps rates off 0 and 1.
+    Labellers are taken as independent given the truth, and whether one says nothing as independent of the truth: rates
+    are among those that vote, with 0 for nothing. The start says that each is right with 0.8, so that good means good; one
+    observation more for each vote keeps rates off 0 and 1.
     """
-    n, k = patterns.shape
-    v = patterns + 1
-    abstain = np.array([[((counts * (v[:, j] == 0)).sum() + 1) / (counts.sum() + 3)] for j in range(k)])
-    rates = np.stack([np.hstack([abstain, (1 - abstain) * 0.8, (1 - abstain) * 0.2]), np.hstack([abstain, (1 - abstain) * 0.2, (1 - abstain) * 0.8])], 1)
+    k = patterns.shape[1]
+    rates = np.tile([[0.0, 0.8, 0.2], [0.0, 0.2, 0.8]], (k, 1, 1))
     for _ in range(rounds):
         p = posterior(patterns, prior, rates)
         prior = float((counts * p).sum() / counts.sum())
-        new = np.empty_like(rates)
+        new = np.zeros_like(rates)
         for j in range(k):
-            for vote in range(3):
-                on = counts * (v[:, j] == vote)
-                new[j, 1, vote], new[j, 0, vote] = (on * p).sum() + 1, (on * (1 - p)).sum() + 1
+            for vote in (0, 1):
+                on = counts * (patterns[:, j] == vote)
+                new[j, 1, vote + 1], new[j, 0, vote + 1] = (on * p).sum() + 1, (on * (1 - p)).sum() + 1
         rates = new / new.sum(2, keepdims=True)
     return prior, rates
 
 
 def posterior(patterns: np.ndarray, prior: float, rates: np.ndarray) -> np.ndarray:
-    """The probability of good for each pattern; votes of neither say nothing."""
+    """The probability of good for each pattern."""
     odds = np.full(len(patterns), np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     for j in range(patterns.shape[1]):
-        own = np.log(rates[j, 1] / rates[j, 0])
-        own[0] = 0.0
-        odds += own[patterns[:, j] + 1]
+        odds += np.append(np.log(rates[j, 1, 1:] / rates[j, 0, 1:]), 0.0)[patterns[:, j]]
     return sigmoid(odds)
 
 
@@ -135,8 +134,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE, size: int = FEATURES) -> tuple[float, np.ndarray, np.ndarray] | None:
     """(share of good, the labellers' rates, the scorer's weights with the intercept last); None without any row.
 
-    The rates come from the votes on all rows, of which the driver gets one count for each of at most 2**9 joint votes.
-    The scorer is trained on at most ``rows`` texts, chosen by hash: the bound of its sample.
+    The rates come from the votes on all rows, of which the driver gets one count for each of at most 3**9 joint votes.
+    The scorer is trained on at most ``rows`` distinct texts, chosen by hash: the bound of its sample. Its share of the
+    table follows from a sketch of how many distinct texts there are, so copies don't thin it out.
     """
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = text.mapInArrow(_votes, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toArrow()
@@ -147,19 +147,18 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = [measures(x.as_py()) for x in batch.column(0)]
-            x = [features(t.as_py(), own, size).astype(np.float32).tobytes() for t, own in zip(batch.column(0), m, strict=True)]
+            m = [measures(x.as_py()) for x in batch.column(1)]
+            x = [packed(features(t.as_py(), own, size)) for t, own in zip(batch.column(1), m, strict=True)]
             p = posterior(np.array([votes(own) for own in m]).reshape(len(m), -1), prior, rates)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(p, pa.float64())], ["x", "p"])
-
-    steps = 1 << 20
-    share = min(1.0, rows / counts.sum())
-    some = text.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(steps)) < int(np.ceil(share * steps)))
-    got = some.mapInArrow(run, "x binary, p double").distinct().orderBy("x").limit(rows).toArrow()
-    x, p = matrix(got.column(0), size), got.column(1).to_numpy()
-    del got
-    w = logistic(x, p)
-    return prior, rates, w
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(p, pa.float64())], ["h", "x", "p"])
+
+    hashed = text.withColumn("h", F.xxhash64(F.lit("sample"), "text"))
+    n = max(1, hashed.agg(F.approx_count_distinct("h")).first()[0])
+    # A quarter more than needed, for the sketch's error; the smallest hashes of those stay.
+    bound = min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, 1.25 * rows / n)))
+    some = hashed.where(F.col("h") <= bound).distinct().select("h", "text")
+    got = some.mapInArrow(run, "h long, x binary, p double").orderBy("h").limit(rows).toArrow()
+    return prior, rates, logistic(got.column(1), size, got.column(2).to_numpy())
 
 
 def _scores(texts: pa.Array, model: tuple | None) -> tuple[np.ndarray, np.ndarray]:

@@ -77,6 +77,62 @@ def test_em_finds_the_better_labeller():
     assert prior == pytest.approx(0.7, abs=0.03) and accuracy == pytest.approx(right, abs=0.03)
 
 
+def test_em_equals_steps_written_out():
+    """Two labellers, one of which says nothing at times: each step as sums over single texts."""
+    votes = [(1, 1)] * 6 + [(0, 0)] * 3 + [(1, 0)] * 2 + [(0, -1)] * 2 + [(1, -1)] * 4 + [(-1, -1)]
+    prior, right = 0.8, [[0.8, 0.8], [0.8, 0.8]]  # right[labeller][truth]
+    for _ in range(3):
+        p = []
+        for v in votes:
+            like = [1 - prior, prior]
+            for truth in (0, 1):
+                for j, x in enumerate(v):
+                    if x != -1:
+                        like[truth] *= right[j][truth] if x == truth else 1 - right[j][truth]
+            p.append(like[1] / sum(like))
+        prior = sum(p) / len(p)
+        for j in range(2):
+            for truth in (0, 1):
+                weight = [(x if truth else 1 - x) for x in p]
+                agree = sum(w for w, v in zip(weight, votes, strict=True) if v[j] == truth)
+                differ = sum(w for w, v in zip(weight, votes, strict=True) if v[j] == 1 - truth)
+                right[j][truth] = (agree + 1) / (agree + differ + 2)
+    patterns, counts = np.unique(np.array(votes), axis=0, return_counts=True)
+    got, rates = quality.estimate(patterns, counts.astype(float), rounds=3)
+    assert got == pytest.approx(prior)
+    assert [[rates[j, 0, 1], rates[j, 1, 2]] for j in range(2)] == [pytest.approx(x) for x in right]
+
+
+def test_the_sample_keeps_its_size_among_copies(spark):
+    good = [(f"The {n}th house stands by the river, and people walk past it every day.",) for n in range(60)]
+    bad = [("#### %%%% " + "$ " * (20 + n),) for n in range(20)]
+    docs = spark.createDataFrame(good + bad, "text string").union(spark.range(30000).selectExpr("'one text with many copies, and nothing else in it.' as text"))
+    prior, rates, w = quality.train(docs, rows=40)
+    assert np.isfinite(w).all() and np.abs(w).max() > 0
+
+
+def test_predictions_follow_the_weights():
+    """Families by the largest margin, then pairs of languages: written out for given weights."""
+    model = langid.Model.__new__(langid.Model)
+    model.families, model.languages = ["germanic", "romance"], {"germanic": ["de", "en", "nl"], "romance": ["fr"]}
+    model.by_family = np.array([[1.0, 0.0, 0.5], [0.0, 1.0, 0.0]])
+    model.pairs = {"germanic": [(0, 1), (0, 2), (1, 2)], "romance": []}
+    model.by_pair = {"germanic": [np.array([1.0, 0.0, -1.0]), np.array([0.0, 1.0, 0.25]), np.array([2.0, 0.0, -1.0])], "romance": []}
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    # x = (2, 0): germanic 2.5 to 0; de over en by 1, de over nl by 0.25, en over nl by 3: de wins twice, its least margin 0.25.
+    assert model.predict(np.array([2.0, 0.0])) == ("de", pytest.approx(sig(5.0) * sig(0.5)))
+    # x = (0, 0): germanic 0.5; en over de by 1, de over nl by 0.25, nl over en by 1: one each; sums de -0.75, en 0, nl 0.75.
+    assert model.predict(np.array([0.0, 0.0])) == ("nl", pytest.approx(sig(1.0) * sig(-0.5)))
+    assert model.predict(np.array([0.0, 3.0])) == ("fr", pytest.approx(sig(6.0)))
+
+
+@pytest.mark.parametrize("text", ["²½ ①② 12", "_ _ 4", "…", "٣٤"])
+def test_only_letters_make_a_language(spark, text):
+    docs = spark.createDataFrame([(n, f"the house {n} and the river", "en") for n in range(8)] + [(100, text, None)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r for r in langid.detect(docs).collect()}
+    assert (by[100].lang_pred, by[100].score) == ("und", 0.0) and by[1].lang_pred == "en"
+
+
 def test_odd_rows_of_quality(odd, none):
     model = quality.train(odd)
     rows = quality.score(odd, model).collect()
