@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import found, ordered
+from plumbline.llm.spans import CHUNK, NONE, before, bound, found, ordered
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
@@ -62,24 +62,16 @@ def mod_97(text: Column) -> Column:
     return F.char_length(plain).between(15, 34) & (rest == 1)
 
 
-def scan(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame:
-    """docs with a column ``pii``: an array of (kind, start, end, text, score), by start and kind.
-
-    Kinds: email, ip (each part at most 255), card (12 to 19 digits that pass Luhn's check), phone (9 to 15 digits), and
-    iban, which the method adds (mod 97, and no overlap with a card). Matches that fail are dropped, not tried again in
-    another place. start counts code points from 0, end is exclusive. The score is the kind's own, and more if a context
-    word stands within ``near`` characters, after the span up to the second next match of the kind; no span is dropped for its score. A null text has none, as an empty one. A
-    column of docs named ``pii`` is replaced; all others, and all rows, stay as they are.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _spans(text: Column, near: int) -> Column:
+    """The spans of a text, as ``scan`` describes them."""
     n = lambda s: F.char_length(digits(s["text"]))
     bare = lambda p: F.ltrim(p, F.lit("0"))
     small = lambda s: F.forall(F.split(s["text"], r"\."), lambda p: (F.char_length(bare(p)) <= 3) & (F.lpad(bare(p), 3, "0") <= "255"))
-    card = F.when(text.rlike(CARD_LONG), found(text, "card", CARD, near, lambda s: n(s).between(12, 19) & luhn(s["text"]))).otherwise(found(F.lit(""), "card", CARD))
-    iban = F.when(text.rlike(IBAN), found(text, "iban", IBAN, near, lambda s: mod_97(s["text"]))).otherwise(found(F.lit(""), "iban", IBAN))
-    base = F.concat(found(text, "email", EMAIL, near), found(text, "ip", IP, near, small), card, found(text, "phone", PHONE, near, lambda s: n(s).between(9, 15)))
-    out = docs.withColumn("_base", base).withColumn("_more", iban)
-    more = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["kind"] == "card") & (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    none = F.array().cast(NONE)
+    card = F.when(text.rlike(CARD_LONG), found(text, "card", CARD, near, lambda s: n(s).between(12, 19) & luhn(s["text"]))).otherwise(none)
+    iban = F.when(text.rlike(IBAN), found(text, "iban", IBAN, near, lambda s: mod_97(s["text"]))).otherwise(none)
+    more = lambda cards: F.filter(iban, lambda m: ~F.exists(cards, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    rest = F.concat(found(text, "email", EMAIL, near), found(text, "ip", IP, near, small), found(text, "phone", PHONE, near, lambda s: n(s).between(9, 15)))
 
     def scored(s: Column) -> Column:
         score = F.lit(0.0)
@@ -87,24 +79,45 @@ def scan(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame
             score = F.when(s["kind"] == kind, F.lit(SCORE[kind]) + F.when(s["near"].rlike(CONTEXT[kind]), BONUS).otherwise(0.0)).otherwise(score)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score.alias("score"))
 
-    return out.withColumn("pii", F.transform(ordered(F.concat("_base", more), KINDS), scored)).drop("_base", "_more")
+    return F.transform(ordered(bound(card, lambda cards: F.concat(rest, cards, more(cards))), KINDS), scored)
+
+
+def scan(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame:
+    """docs with a column ``pii``: an array of (kind, start, end, text, score), by start and kind.
+
+    Kinds: email, ip (each part at most 255), card (12 to 19 digits that pass Luhn's check), phone (9 to 15 digits), and
+    iban, which the method adds (mod 97, and no overlap with a card). Matches that fail are dropped, not tried again in
+    another place. start counts code points from 0, end is exclusive. The score is the kind's own, and more if a context
+    word stands within ``near`` characters, after the span up to the second next match of the kind; no span is dropped for its score. A null text has none, as an empty one. A
+    column of docs named ``pii`` is replaced; all others, and all rows, stay as they are.
+    """
+    return docs.withColumn("pii", _spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), near))
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; a span within or across an earlier one goes with it."""
-    text = F.coalesce(text, F.lit(""))
+    """The text with each span replaced by its kind in angle brackets; a span within or across an earlier one goes with it.
+
+    What stands between is cut from stretches of ``CHUNK`` spans, as finding a place in a long text reads all before it.
+    """
+
+    def of(s: Column) -> Column:
+        ends = F.transform(s, lambda x: x["end"])
+        upto = before(ends, F.lit(0), lambda a, e: F.greatest(a, e))
+        runs = F.filter(F.zip_with(s, upto, lambda x, a: F.struct(a.alias("a"), x["start"].alias("b"), x["kind"].alias("kind"))), lambda r: r["a"] <= r["b"])
+        parts = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda k: bound(F.slice(r, k * CHUNK + 1, CHUNK), stretch))
+        return F.concat(F.array_join(bound(runs, parts), ""), F.substr(text, F.array_max(ends) + 1, F.char_length(text)))
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        new = F.struct(F.concat(state["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["end"].alias("at"))
-        wider = F.struct(state["out"].alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= state["at"], new).otherwise(wider)
+    def stretch(r: Column) -> Column:
+        low, high = F.get(r, F.lit(0))["a"], F.get(r, F.size(r) - 1)["b"]
+        own = F.struct(low.alias("low"), F.substr(text, low + 1, high - low).alias("text"))
+        return bound(own, lambda o: F.array_join(F.transform(r, lambda x: F.concat(F.substr(o["text"], x["a"] - o["low"] + 1, x["b"] - x["a"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))), ""))
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text)))))
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(spans, of))
 
 
 def masking(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame:
     """docs with every span of personal data replaced by its kind; texts without any, and null texts, stay as they are."""
-    found = scan(docs, text_col, near)
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, masked(F.col(text_col), F.col("pii"))).otherwise(F.col(text_col))).drop("pii")
+    text = F.col(text_col).cast("string")
+    new = bound(_spans(F.coalesce(text, F.lit("")), near), lambda s: F.when(F.size(s) > 0, masked(text, s)).otherwise(text))
+    return docs.withColumn(text_col, new)

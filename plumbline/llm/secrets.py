@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import found, ordered
+from plumbline.llm.spans import bound, found, ordered
 
 # The base patterns, with letters in either case spelled out, and their least sizes.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -95,7 +95,6 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataF
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     long_enough = lambda s: F.char_length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 6
     base = F.concat(found(text, "assign", ASSIGN, 0, long_enough), found(text, "access", ACCESS), found(text, "hex", HEX))
-    out = docs.withColumn("_base", base).withColumn("_more", entropy_spans(text, window))
-    more = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    spans = F.transform(ordered(F.concat("_base", more), [*BASE, "entropy"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-    return out.withColumn("secrets", spans).drop("_base", "_more")
+    more = lambda b: F.filter(entropy_spans(text, window), lambda m: ~F.exists(b, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    spans = bound(base, lambda b: ordered(F.concat(b, more(b)), [*BASE, "entropy"]))
+    return docs.withColumn("secrets", F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))

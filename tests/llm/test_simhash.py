@@ -73,3 +73,11 @@ def test_one_of_each_stays(odd):
     twice = odd.where("doc_id = 12")
     assert simhash.first_of_each(twice).count() == 1
     assert simhash.first_of_each(twice).columns == odd.columns
+
+
+def test_the_first_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x", "y", 1, 2), (1, "a b c d e f", "x", "y", 1, 2), (2, "a b c d e f", "x", "y", 1, 2), (None, "z", "x", "y", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _id string, _rows int, __id int")
+    out = simhash.first_of_each(df)
+    assert out.columns == df.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1]
+    assert {tuple(r) for r in out.select("_text", "_id", "_rows", "__id").collect()} == {("x", "y", 1, 2)}

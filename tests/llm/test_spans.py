@@ -131,6 +131,40 @@ def test_long_runs_end_in_time(spark):
         assert Counter(s.kind for s in r.secrets) == want.get(r.doc_id, {})
 
 
+def test_texts_of_very_many_spans(spark):
+    """Places and masks of 50 000 matches, which a fold that appends to its result would be hours at."""
+    mails = "".join(f"m{n}@é{'x' * (n % 3)}.a{n}.org, " for n in range(50_000))
+    mails = mails.replace("@é", "@")
+    addresses = [f"m{n}@{'x' * (n % 3)}.a{n}.org" for n in range(50_000)]
+    want, at = [], 0
+    for a in addresses:
+        if "@." not in a:
+            want.append(("email", at, at + len(a)))
+        at += len(a) + 2
+    df = frame(spark, [(0, mails)])
+    assert [s for s in spans(pii.scan(df), "pii")[0] if s[0] == "email"] == want
+    out = pii.masking(df).first().text
+    assert out == "".join((a if "@." in a else "<EMAIL>") + ", " for a in addresses)
+    keys = " ".join(f"{n:024x}" for n in range(50_000))
+    assert spans(secrets.scan(frame(spark, [(0, keys)])), "secrets")[0] == [("hex", 25 * n, 25 * n + 24) for n in range(50_000)]
+
+
+def test_context_over_many_short_matches(spark):
+    text = "phone " + "+123456789 " * 3 + "x" * 40 + " +123456789"
+    rows = pii.scan(frame(spark, [(0, text)])).first().pii
+    assert [s.score for s in rows] == [0.7, 0.7, 0.7, 0.5]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "write to a@b.co, password=hunter22", 5, "b", "m", "p", "t", "i")], "doc_id long, text string, n int, _base string, _more string, pii string, _text string, _id string")
+    out = secrets.scan(df)
+    assert out.columns == [*df.columns, "secrets"] and out.drop("secrets").first() == df.first()
+    out = pii.masking(df)
+    assert out.columns == df.columns and out.first().pii == "p" and out.first().text == "write to <EMAIL>, password=hunter22"
+    out = pii.scan(df)
+    assert out.columns == df.columns and len(out.first().pii) == 1 and out.first()._base == "b"
+
+
 def test_odd_rows(odd, none):
     for df, column in ((pii.scan(odd), "pii"), (secrets.scan(odd), "secrets")):
         assert df.columns == [*odd.columns, column] and df.count() == odd.count()
