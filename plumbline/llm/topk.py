@@ -1,30 +1,31 @@
 """Exact top-k search by a vector-approximation file.
 
-Vectors become integers. Their approximation keeps each component's cell of ``2**shift`` values, in one byte where it
-fits. A scan of the cells gives bounds of the inner product with each query: the product with the cells' lower ends, and
-to it what the components can add within their cells, which depends on the query alone. The k-th best lower bound rules
-out most vectors; the exact ones of the rest are read in order of their upper bounds until the k-th exact score exceeds
-every bound that is left.
-
-Queries and vectors are dealt into blocks, and a task scans one block of vectors for one block of queries; each query's
-best of every block meet at the end. Vectors of another length than the query's are no candidates.
+Vectors become integers. Their approximation has one byte a component: its cell of 2**t values, with the least t for a
+vector with which all its cells fit. The product of a query with the cells, and what the components can add within their
+cells, bound the inner product from both sides.
+
+1. Cells are scanned, a block of them for a block of queries in a task; the first block gives each query a bound that its
+   k-th best score reaches, and all blocks give the vectors whose upper bound reaches that. No exact vector moves.
+2. Exact vectors are read for those alone, in the order of their bounds: 2k of a query first, and then only those whose
+   upper bound reaches the k-th exact score of these.
+
+Equal vectors count as one with its k + 1 smallest ids, as no query can want more of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors and of queries.
+from plumbline.plans.store import table
+
+#: Rows of a block of cells and of queries; the least bits that cells leave out.
 BLOCK, QUERY_BLOCK = 8_192, 1_024
-SHIFT = 3
-#: Integers up to this size have exact inner products in doubles, at up to 2**11 dimensions.
-EXACT = 1 << 20
+SHIFT = 0
 
 
 def integers(vector: Column, scale: int = 64) -> Column:
@@ -33,51 +34,66 @@ def integers(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & finite, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def search_block(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, shift: int = SHIFT, step: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the (places, scores) of its k best vectors; those with the query's own id are left out."""
-    exact = np.abs(vectors).max(initial=0) < EXACT and np.abs(queries).max(initial=0) < EXACT and vectors.shape[1] <= 2048
-    kind = np.float64 if exact else object
-    q, cells = queries.astype(kind), (vectors >> shift).astype(np.int8 if np.abs(vectors >> shift).max(initial=0) < 128 else np.int64)
-    low = q @ (cells.astype(kind).T * (1 << shift))
-    wide = (1 << shift) - 1
-    up, down = np.maximum(q, 0).sum(1) * wide, np.minimum(q, 0).sum(1) * wide
+def cells(v: Column, shift: int = SHIFT) -> tuple[Column, Column]:
+    """(t, cells): how many bits the cells of a vector leave out, and each component's cell, in one byte."""
+    most = F.greatest(F.array_max(v), F.lit(-1) - F.array_min(v))
+    t = F.greatest(F.lit(shift), F.length(F.bin(most)) - 7)
+    return t, F.transform(v, lambda x: F.call_function("shiftright", x, t).cast("tinyint"))
+
+
+def bounds(q: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, up): bounds of each query's inner product with each vector of cells; exact integers, whatever their type."""
+    most = max(1, int(np.abs(q).max(initial=0))) * 256 * c.shape[1]
+    kind = np.float32 if most < 1 << 24 else np.float64
+    if most << int(t.max(initial=0)) >= 1 << 52:
+        kind = object
+    base = q.astype(kind) @ c.T.astype(kind)
+    base = base.astype(object if kind is object else np.float64)
+    step = np.array([1 << int(x) for x in t], base.dtype)
+    up, down = (f(q.astype(base.dtype), 0).sum(1) for f in (np.maximum, np.minimum))
+    return base * step + np.outer(down, step - 1), base * step + np.outer(up, step - 1)
+
+
+def survivors(q: np.ndarray, own: np.ndarray, least: np.ndarray, c: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """For each query the (places, low, up) of the vectors that can be among its k best: those that k others don't surely beat.
+
+    Others beat a vector if their lower bounds exceed its upper bound, or equal it and their ids are smaller. ``least``
+    is a bound that the k-th best score is known to reach.
+    """
+    low, up = bounds(q, c, t)
     out = []
     for n in range(len(q)):
-        base = low[n]
         other = np.flatnonzero(ids != own[n])
-        if not len(other):
-            out.append((other, other))
-            continue
-        want = min(k, len(other))
-        floor = np.partition(base[other], len(other) - want)[len(other) - want] + down[n]
-        left = other[base[other] + up[n] >= floor]
-        left = left[np.argsort(-base[left], kind="stable")]
-        at, score = left[:0], np.zeros(0, kind)
-        for s in range(0, len(left), step):
-            if len(score) >= want and base[left[s]] + up[n] < score[want - 1]:
-                break
-            part = left[s : s + step]
-            at, score = np.concatenate([at, part]), np.concatenate([score, vectors[part].astype(kind) @ q[n]])
-            best = np.lexsort((ids[at], (-score).astype(np.int64)))[:want]
-            at, score = at[best], score[best]
-        out.append((at, score.astype(np.int64)))
+        if len(other) > k:
+            floor = np.partition(low[n][other], len(other) - k)[len(other) - k]
+            top = other[low[n][other] >= floor]
+            last = top[np.lexsort((ids[top], -low[n][top]))[k - 1]]
+            other = other[(up[n][other] > floor) | ((up[n][other] == floor) & (ids[other] <= ids[last]))]
+        other = other[up[n][other] >= least[n]]
+        out.append((other, low[n][other], up[n][other]))
     return out
 
 
-def _search(k: int, shift: int):
-    def unpack(rows: pa.RecordBatch | pa.Table, side: int) -> tuple[np.ndarray, np.ndarray]:
-        own = rows.filter(pa.array(rows.column("side").to_numpy(zero_copy_only=False) == side))
-        flat = own.column("v").combine_chunks() if isinstance(own.column("v"), pa.ChunkedArray) else own.column("v")
-        return own.column("id").to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else np.zeros((0, 0), np.int64)
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def _scan(k: int):
+    def flat(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
     def run(key: tuple, whole: pa.Table) -> pa.Table:
-        own, queries = unpack(whole, 0)
-        ids, vectors = unpack(whole, 1)
-        found = search_block(queries, vectors, own, ids, k, shift) if len(own) and len(ids) else []
-        n = [len(at) for at, _ in found]
-        empty = np.zeros(0, np.int64)
-        columns = [np.repeat(own[: len(n)], n), np.concatenate([empty, *[ids[at] for at, _ in found]]), np.concatenate([empty, *[s for _, s in found]])]
-        return pa.table([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
+        asks = whole.column("asks").to_numpy()
+        queries, known = whole.filter(pa.array(asks)), whole.filter(pa.array(~asks))
+        columns = [np.zeros(0, np.int64)] * 4
+        if len(queries) and len(known):
+            least = np.array([_LONG[0] if x is None else x for x in queries.column("least").to_pylist()], object)
+            ids, t = known.column("id").to_numpy(), known.column("t").to_numpy()
+            found = survivors(flat(queries.column("v"), len(queries)), queries.column("id").to_numpy(), least, flat(known.column("c"), len(known)), t, ids, k)
+            n = [len(x[0]) for x in found]
+            row = known.column("row").to_numpy()
+            clipped = lambda x: [min(max(int(y), _LONG[0]), _LONG[1]) for y in x]
+            columns = [np.repeat(queries.column("row").to_numpy(), n), np.concatenate([row[x[0]] for x in found]), *[np.concatenate([np.array(clipped(x[i]), np.int64) for x in found]) for i in (1, 2)]]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], ["q", "row", "low", "up"])
 
     return run
 
@@ -89,18 +105,47 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     have its id; with fewer than k it gets all. Rows with a null id, a null vector or a component that is null or not
     finite take no part, nor do empty vectors; only vectors of the query's length are candidates. Where several rows
     have a query's id, its smallest vector is the query; as candidates such rows all stand. Other columns aren't read.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Scores beyond 64 bits are an error.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
-    rows = rows.where("id is not null and v is not null and size(v) > 0").withColumn("d", F.size("v"))
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    # Blocks are by hash, so their number follows from the rows; each side is copied to the other's blocks.
-    n, m = rows.count(), asked.count()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("id is not null and v is not null and size(v) > 0")
+    # A row for each id and vector, with its number of copies; of equal vectors the smallest ids alone can be wanted.
+    rows = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"), F.max("asks").alias("asks"))
+    t, c = cells(F.col("v"), shift)
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    asked = table(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("d"), F.monotonically_increasing_id().alias("row")), "queries")
+    file = table(rows.withColumn("place", place).where(F.col("place") <= k + 1).select("id", "v", "copies", F.size("v").alias("d"), t.alias("t"), c.alias("c"), F.monotonically_increasing_id().alias("row")), "cells")
+
+    # Blocks are by hash, so their number follows from the rows; each side is copied to the other's blocks, as bytes.
+    n, m = file.count(), asked.count()
     blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(m / query_block))
-    deal = lambda df, parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
+    deal = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = asked.select("d", deal(asked, query_blocks).alias("i"), every(blocks).alias("j"), F.lit(0).alias("side"), "id", "v")
-    right = rows.select("d", every(query_blocks).alias("i"), deal(rows, blocks).alias("j"), F.lit(1).alias("side"), "id", "v")
-    best = left.unionByName(right).groupBy("d", "i", "j").applyInArrow(_search(k, shift), "query_id long, vec_id long, score long")
+    none = lambda kind: F.lit(None).cast(kind)
+    right = file.select("d", every(query_blocks).alias("i"), deal(blocks).alias("j"), F.lit(False).alias("asks"), "row", "id", none("array<long>").alias("v"), none("long").alias("least"), "t", "c")
+
+    def scanned(queries: DataFrame, own: DataFrame, j: Column) -> DataFrame:
+        left = queries.select("d", deal(query_blocks).alias("i"), j.alias("j"), F.lit(True).alias("asks"), "row", "id", "v", "least", F.lit(0).alias("t"), none("array<tinyint>").alias("c"))
+        return left.unionByName(own).groupBy("d", "i", "j").applyInArrow(_scan(k), "q long, row long, low long, up long")
+
+    ranked = lambda df, by, most: df.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*by))).where(F.col("n") <= most)
+    kth = lambda df, value: ranked(df, [F.desc(value)], k).groupBy("q").agg(F.when(F.count("*") >= k, F.min(value)).alias("least"))
+    first = asked.withColumn("least", none("long"))
+    if blocks > 1:
+        # Query blocks meet one block each, and not all the same.
+        some = right.where(F.col("j") == F.pmod("i", F.lit(blocks)))
+        reached = kth(scanned(first, some, F.pmod(deal(query_blocks), F.lit(blocks))), "low")
+        first = asked.join(reached, asked["row"] == reached["q"], "left").select("row", "id", "v", "d", "least")
+    seen = table(scanned(first, right, every(blocks)), "survivors")
+
+    exact, query = file.select("row", F.col("id").alias("vec_id"), "v", "copies"), asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w"))
+    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    scored = lambda df: df.join(exact, "row").join(query, "q").select("q", "query_id", "vec_id", "copies", product.alias("score"))
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("up"), F.desc("low"), "row"))
+    reached = kth(seen, "low")
+    seen = seen.join(reached, "q").where("least is null or up >= least").drop("least").withColumn("n", order)
+    near = table(scored(seen.where(F.col("n") <= 2 * k)), "scored")
+    reached = kth(near, "score")
+    rest = scored(seen.where(F.col("n") > 2 * k).join(reached, "q").where("least is null or up >= least"))
+    best = near.unionByName(rest).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

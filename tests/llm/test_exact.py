@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,32 @@ def test_top_k_in_blocks_with_ties(spark, blocks):
     assert top(spark, rows, block=blocks[0], query_block=blocks[1]) == brute.op7(rows)
 
 
+def test_a_vector_that_most_rows_have_and_repeated_rows(spark):
+    r = random.Random(4)
+    rows = [(i, [1.5, -2.0, 0.25, 3.0] if i % 3 else [r.gauss(0, 40) for _ in range(4)]) for i in range(900)]
+    assert top(spark, rows, block=64, query_block=7) == brute.op7(rows)
+    assert top(spark, rows, block=64, query_block=7, shift=4) == brute.op7(rows)
+    some = [(1, [1.0, 1.0])] * 5 + [(20, [1.0, 0.0])] + [(2, [1.0, 1.0])] * 30 + [(3, [9.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, 1) for i, v in some], VECTORS)
+    got = [tuple(x) for x in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(20, 1, 3, 64 * 64 * 9)] + [(20, n, 1 if n < 7 else 2, 64 * 64) for n in range(2, 21)]
+
+
+def test_cells_bound_the_products():
+    r = random.Random(6)
+    for size in (1, 200, 5000, 1 << 40):
+        v = np.array([[r.randrange(-size, size + 1) for _ in range(8)] for _ in range(30)], object)
+        t = np.array([max(0, int(max(max(x), -1 - min(x))).bit_length() - 7) for x in v])
+        c = np.array([[int(x) >> int(b) for x in row] for row, b in zip(v, t, strict=True)], np.int64)
+        assert c.min() >= -128 and c.max() <= 127
+        q = np.array([[r.randrange(-size, size + 1) for _ in range(8)] for _ in range(5)], np.int64)
+        low, up = topk.bounds(q, c.astype(np.int8), t)
+        exact = q.astype(object) @ v.T
+        assert (low <= exact).all() and (exact <= up).all()
+        if not t.any():
+            assert (low == exact).all() and (up == exact).all()
+
+
 @pytest.mark.parametrize("shift", [0, 3, 6])
 def test_cells_of_any_width_give_the_same(spark, shift):
     r = random.Random(shift)
