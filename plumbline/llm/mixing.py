@@ -51,12 +51,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words (0 for a null text). taken counts the words of all repeats, at most ``repeats`` times the size; the document
     at which a source's target or the budget ends gives its first words only. epochs is how often the document is started, first_at the place
     in words where the mix first takes it (null: never). Weights are 1, 2, 3, repeating over the sources by code point,
-    null last: rows of a null source are a source of their own. The shuffle is by the MD5 of seed and id, so reruns
-    agree; rows with one id (or null) are told apart by size, and those that agree in that too are alike. An empty
+    null last: rows of a null source are a source of their own. The shuffle is by the MD5 of seed and id, or text where
+    the id is null, so reruns agree; rows alike in that are told apart by size, and those that agree in that too are alike. An empty
     table gives an empty result, and a mix of empty texts takes nothing. Other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("1"), F.col(source_col).cast("string")), F.lit("2")).alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = table(rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "sizes")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("1"), F.col(source_col).cast("string")), F.lit("2")).alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(text_col).cast("string").alias("text"))
+    rows = table(rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?"), "text"), F.lit(""))))).drop("text"), "sizes")
     ranges = min(MOST_RANGES, 1 << math.ceil(math.log2(max(1, rows.count() / range_rows))))
     known = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aim = targets(known, (F.col("rank") - 1) % 3 + 1, repeats)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MIX = r"""WITH r AS (SELECT doc_id, coalesce(concat('1', source), '2') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+MIX = r"""WITH r AS (SELECT doc_id, coalesce(concat('1', source), '2') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), '?' || text, ''))) AS h FROM documents),
 s AS (SELECT CASE WHEN source IS NULL THEN '2' ELSE source END AS source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
 w AS (SELECT *, (row_number() OVER (ORDER BY source) - 1) % 3 + 1 AS w FROM s), n AS (SELECT *, 3 * source_size AS most, CAST(3 * source_size AS DOUBLE) / w AS need FROM w),
 l AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER b, 0) AS DOUBLE) / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY need, source) AS k
