@@ -12,14 +12,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import ascii_lower
+from plumbline.llm.common import ascii_lower, free
 from plumbline.plans.store import table
 
 #: What stands between words.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The lookup tables are broadcast up to so many benchmark words, at about 200 bytes each; joins shuffle beyond.
-BROADCAST_WORDS = 200_000
+#: Lookup tables are broadcast up to so many bytes, as measured; beyond, tokens that may be in them are shuffled.
+BROADCAST_BYTES = 16 << 20
+#: Bits of the marks by which tokens are passed over that no lookup table has.
+MARKS = 1 << 22
 
 
 def words(text: Column) -> Column:
@@ -34,7 +37,7 @@ def _run(own: Column, item: Column) -> Column:
     return F.when(stop > 0, stop - 1).otherwise(F.size(same))
 
 
-def match(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def match(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact phrase and proximity matches of benchmark items in documents.
 
     Returns one row per row of docs: (id_col, text_hash, n_words, n_hit, items, near_items). A window is ``window`` consecutive
@@ -44,46 +47,52 @@ def match(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "do
     no words and match nothing, as have items with a null id. Rows of docs that agree in id and text are told apart only
     by their number; null ids are kept. Other columns aren't read.
     """
-    w, join = window - 1, (lambda df: F.broadcast(df))
+    w = window - 1
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), words(F.col(text_col)).alias("words"))
     bench = table(items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct(), "items")
-    total = bench.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    if total > broadcast_words:
-        join = lambda df: df
 
     # How often the benchmark's terms stand in the documents.
-    terms = bench.select(F.explode("words").alias("term")).distinct()
-    counts = rows.select(F.explode("words").alias("term")).join(join(terms), "term").groupBy("term").count()
+    terms = table(bench.select(F.explode("words").alias("term")).distinct(), "terms")
+    every = rows.select(F.explode("words").alias("term"))
+    if _bytes(terms) <= broadcast_bytes:
+        counts = every.join(F.broadcast(terms), "term").groupBy("term").count()
+    else:
+        counts = _marked(every, terms).groupBy("term").count().join(terms, "term")
     known = table(counts, "counts")
 
-    # The rarest place of each window; windows with a term that never occurs can't.
-    places = bench.select("item", "words", F.posexplode("words").alias("p", "term")).join(known, "term", "left")
+    # The rarest place of each window, with the words around it; windows with a term that never occurs can't.
+    places = bench.select("item", F.xxhash64("words").alias("of"), "words", F.posexplode("words").alias("p", "term"))
     first = F.greatest(F.lit(0), F.col("p") - w)
     starts = F.sequence(first, F.greatest(F.lit(0), F.least(F.col("p"), F.size("words") - window)))
     starts = F.when(F.size("words") <= window, F.array(F.lit(0))).otherwise(F.filter(starts, lambda s: (s <= F.col("p")) & (s + window <= F.size("words"))))
-    seen = places.withColumn("s", F.explode(starts))
-    of = Window.partitionBy("item", "words", "s").orderBy(F.coalesce("count", F.lit(0)), "p")
-    rare = seen.withColumn("k", F.row_number().over(of)).where((F.col("k") == 1) & F.col("count").isNotNull())
     ahead = F.slice(F.concat(F.col("words"), F.array_repeat(F.lit("\x01"), w)), F.col("p") + 2, w)
     back = F.reverse(F.slice(F.concat(F.array_repeat(F.lit("\x01"), w), F.col("words")), F.col("p") + 1, w))
-    anchors = rare.groupBy("term", "item", "words", "p").agg(F.collect_set("s").alias("s"))
-    anchors = anchors.select("term", "item", back.alias("back"), ahead.alias("ahead"), F.least(F.lit(window), F.size("words")).alias("need"), F.transform("s", lambda s: F.array_distinct(F.slice("words", s + 1, window))).alias("sets"))
-    anchors = anchors.groupBy("term").agg(F.collect_list(F.struct("item", "back", "ahead", "need", "sets")).alias("at"))
-    # A mark that each document has as its first element, so that documents without a match come through too.
-    mark = bench.sparkSession.range(1).select(F.lit("\x00").alias("term"), F.array().cast(dict(anchors.dtypes)["at"]).alias("at"))
-    anchors = table(anchors.unionByName(mark), "anchors")
-
-    every = F.posexplode(F.concat(F.array(F.lit("\x00")), F.col("words")))
-    posted = rows.select("id", "h", "words", every.alias("pos", "term")).join(join(anchors), "term")
+    places = places.select("item", "of", "p", "term", starts.alias("starts"), back.alias("back"), ahead.alias("ahead"), F.least(F.lit(window), F.size("words")).alias("need"))
+    seen = places.join(known, "term", "left").withColumn("s", F.explode("starts"))
+    order = Window.partitionBy("item", "of", "s").orderBy(F.coalesce("count", F.lit(0)), "p")
+    rare = seen.withColumn("k", F.row_number().over(order)).where((F.col("k") == 1) & F.col("count").isNotNull())
+    line = F.concat(F.reverse("back"), F.array("term"), F.col("ahead"))
+    rare = rare.withColumn("set", F.array_distinct(F.array_remove(F.slice(line, F.col("s") - F.col("p") + w + 1, window), "\x01")))
+    anchors = table(rare.groupBy("term", "item", "of", "p", "back", "ahead", "need").agg(F.collect_set("set").alias("sets")).drop("of", "p"), "anchors")
+
+    # Postings of the documents, and for each document a mark (at 0), so that those without a match come through too.
     size = F.size("words")
     left = F.reverse(F.slice("words", F.greatest(F.lit(1), F.col("pos") - w), F.least(F.lit(w), F.greatest(F.lit(0), F.col("pos") - 1))))
     right = F.slice("words", F.col("pos") + 1, w)
-    posted = posted.select("id", "h", "pos", "at", "term", F.when(F.col("pos") == 0, size).alias("n"), F.when(F.col("pos") > 0, left).alias("left"), F.when(F.col("pos") > 0, right).alias("right"))
-    met = posted.select("id", "h", "pos", "n", "left", "right", "term", F.explode_outer("at").alias("a"))
+    around = [F.when(F.col("pos") == 0, size).alias("n"), F.when(F.col("pos") > 0, left).alias("left"), F.when(F.col("pos") > 0, right).alias("right")]
+    every = rows.select("id", "h", "words", F.posexplode(F.concat(F.array(F.lit("\x00")), F.col("words"))).alias("pos", "term"))
+    mark = bench.sparkSession.range(1).select(F.lit("\x00").alias("term"))
+    if _bytes(anchors) <= broadcast_bytes:
+        met = every.join(F.broadcast(anchors.unionByName(mark, True)), "term").select("id", "h", "pos", "term", *around, "item", "back", "ahead", "need", "sets")
+    else:
+        # The words around go along before the shuffle, and only with terms that may be looked up; marks stay out of it.
+        posted = table(_marked(every, anchors.select("term").distinct().unionByName(mark)).select("id", "h", "pos", "term", *around), "postings")
+        met = posted.where("pos > 0").join(anchors, "term").unionByName(posted.where("pos = 0"), True)
+    # Generating each row anew keeps the comparisons, which have lambdas, apart from the code that still has all words.
+    met = met.select("id", "h", "pos", "term", "n", "left", "right", F.explode(F.array(F.struct("item", "back", "ahead", "need", "sets"))).alias("a"))
     met = met.withColumn("l", _run(F.col("left"), F.col("a.back"))).withColumn("r", _run(F.col("right"), F.col("a.ahead")))
-    around = F.concat(F.col("left"), F.array("term"), F.col("right"))
     met = met.withColumn("hit", F.col("l") + F.col("r") + 1 >= F.col("a.need"))
-    met = met.withColumn("near", F.col("hit") | F.exists("a.sets", lambda s: F.size(F.array_except(s, around)) == 0))
+    met = met.withColumn("near", F.col("hit") | F.exists("a.sets", lambda s: F.size(F.array_except(s, F.concat(F.col("left"), F.array("term"), F.col("right")))) == 0))
     met = met.where(F.col("n").isNotNull() | F.col("near"))
     out = met.groupBy("id", "h").agg(F.max("n").alias("n_words"), F.count("n").alias("rows"), F.collect_set(F.when(F.col("hit"), F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e")))).alias("runs"), F.collect_set(F.when(F.col("hit"), F.col("a.item"))).alias("items"), F.collect_set(F.when(F.col("near"), F.col("a.item"))).alias("near"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"])))))
@@ -91,7 +100,29 @@ def match(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "do
     return out.drop("_row")
 
 
+def _bytes(df: DataFrame) -> int:
+    """About how much memory the rows of a table of strings and their lists take: their text, and 64 bytes a string and row."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(c, F.lit(64), lambda a, x: a + of(x, kind.elementType)), F.lit(0))
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 64 if isinstance(kind, T.StringType) else F.lit(8)
+
+    return df.agg(F.sum(sum((of(F.col(f.name), f.dataType) for f in df.schema), F.lit(64)).cast("long"))).first()[0] or 0
+
+
+def _marked(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of tokens whose term may be one of the terms: the bits of their hashes, in at most MARKS / 32768 + 1 rows, are broadcast."""
+    mark = F.xxhash64("term").bitwiseAND(F.lit(MARKS - 1))
+    bit = F.bitmap_bit_position(mark)
+    marks = terms.groupBy(F.bitmap_bucket_number(mark).alias("_of")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    byte = F.conv(F.hex(F.substr("_marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = tokens.join(F.broadcast(marks), F.bitmap_bucket_number(mark) == F.col("_of"))
+    return some.where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_of", "_marks")
+
+
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which no window of an item occurs."""
-    hit = table(match(docs, items, window, id_col, text_col, item_col, item_text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).distinct(), "hit")
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == hit["_h"]), "left_anti")
+    one, other = free("id", docs), free("hash", docs)
+    hit = table(match(docs, items, window, id_col, text_col, item_col, item_text_col).where("n_hit > 0").select(F.col(id_col).alias(one), F.col("text_hash").alias(other)).distinct(), "hit")
+    return docs.join(hit, docs[id_col].eqNullSafe(hit[one]) & (F.xxhash64(docs[text_col].cast("string")) == hit[other]), "left_anti")

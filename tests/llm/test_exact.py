@@ -97,7 +97,17 @@ def test_decontamination_of_made_texts(spark, limit):
             text[at:at] = w[a : a + r.choice([9, 10, 12, 30])]
         docs.append((n, r.choice([" ", ", ", "\n"]).join(text)))
     docs += [(200, None), (201, ""), (202, "--")]
-    got = {x.doc_id: (x.n_words, x.n_hit, len(x["items"]), brute.sha(",".join(x["items"]))) for x in matched(spark, docs, items, broadcast_words=limit)}
+    got = {x.doc_id: (x.n_words, x.n_hit, len(x["items"]), brute.sha(",".join(x["items"]))) for x in matched(spark, docs, items, broadcast_bytes=limit)}
+    assert got == brute.op9(docs, items)
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_long_texts_and_a_term_that_all_have(spark, limit):
+    r = random.Random(9)
+    item = [f"k{n}" for n in range(40)]
+    items = [(1, " ".join(item)), (2, " ".join(["the"] * 12)), (3, "the k3 the"), (4, None)]
+    docs = [(n, " ".join(["the"] * 2000 + [f"u{r.randrange(50)}" for _ in range(3000)] + item[n % 30 : n % 30 + 11])) for n in range(12)] + [(50, "k3 the"), (51, "x the k3 the y")]
+    got = {x.doc_id: (x.n_words, x.n_hit, len(x["items"]), brute.sha(",".join(x["items"]))) for x in matched(spark, docs, items, broadcast_bytes=limit)}
     assert got == brute.op9(docs, items)
 
 
