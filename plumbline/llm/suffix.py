@@ -7,10 +7,12 @@ bytes gives some 2n / (size - digit) first digits, each with the range of window
 
 1. the first digit; one that has a single place in all texts drops out with all its windows;
 2. the rest of the window, for those that are left: tasks get whole groups of equal first digits with the bytes around
-   them, and order their windows by a hash of all ``size`` bytes. Groups of equal windows are the repeats.
+   them, and order their windows by a 64-bit hash of all ``size`` bytes. The bytes of windows with equal hashes are then
+   compared, stretch by stretch; where any differ, the windows at hand are ordered anew by passes over digits of 8 bytes,
+   most significant first, in which windows that are alone in their group drop out. Groups of equal windows are the repeats.
 
-A first digit with over ``GROUP`` places isn't brought together: its windows are shuffled one by one instead, and counted.
-Equal texts are taken as one, and are repeats from end to end.
+A first digit with over ``GROUP`` places isn't brought together: its windows are shuffled one by one instead, by a digest of
+128 bits, and counted. Equal texts are taken as one, and are repeats from end to end.
 """
 
 from __future__ import annotations
@@ -136,16 +138,78 @@ def _contexts(size: int):
     return run
 
 
-def _windows(rows: pa.Table | pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, hash) of all windows of rows with contexts."""
+def _windows(rows: pa.Table | pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
+    """(data, row, start, place in data) of all windows of rows with contexts."""
     s1, s2 = rows.column("s1").to_numpy(), rows.column("s2").to_numpy()
     n = (s2 - s1 + 1).astype(np.int64)
     data = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8)
     row = np.repeat(np.arange(len(n)), n)
-    first = np.cumsum(n) - n
-    step = np.arange(len(row)) - first[row]
+    step = np.arange(len(row)) - (np.cumsum(n) - n)[row]
     base = np.cumsum(n + size - 1) - (n + size - 1)
-    return row, s1[row] + step, hashes(data, size, base[row] + step)
+    return data, row, s1[row] + step, base[row] + step
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place, as numbers; zeros follow the data."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), np.uint64, padded.data, strides=(1,))
+
+
+def _same_bytes(data: np.ndarray, at: np.ndarray, order: np.ndarray, same: np.ndarray, size: int) -> bool:
+    """Whether neighbours in the order that are said to be the same have the same bytes; those of windows that go on in step are compared once."""
+    x, y = at[order[:-1][same]], at[order[1:][same]]
+    own = np.lexsort((x, y - x))
+    x, y = x[own], y[own]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] - x[:-1] > size) | (y[1:] - y[:-1] != x[1:] - x[:-1])
+    first = np.flatnonzero(new)
+    length = x[np.append(first[1:] - 1, len(x) - 1)] - x[first] + size if len(x) else first
+    eights = _eights(data)
+    for n in range(0, len(first), 1 << 12):
+        a, b, size_of = x[first[n : n + (1 << 12)]], y[first[n : n + (1 << 12)]], length[n : n + (1 << 12)]
+        steps = np.maximum(1, -(-size_of // 8))
+        of = np.repeat(np.arange(len(a)), steps)
+        # The last digit ends where the stretch ends, and may begin within the one before it.
+        step = np.minimum((np.arange(len(of)) - (np.cumsum(steps) - steps)[of]) * 8, np.maximum(0, size_of[of] - 8))
+        differ = eights[a[of] + step] ^ eights[b[of] + step]
+        short = size_of[of] < 8
+        differ[short] &= (np.uint64(1) << (size_of[of][short] * 8).astype(np.uint64)) - np.uint64(1)
+        if differ.any():
+            return False
+    return True
+
+
+def radix_groups(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Which windows of ``size`` bytes, from the places ``at``, equal another, by passes over digits, most significant first."""
+    digits = [(d, 8) for d in range(0, size - 7, 8)]
+    digits += [(size - size % 8, size % 8)] if size % 8 else []
+    eights, left, group = _eights(data), np.arange(len(at)), np.zeros(len(at), np.int64)
+    for d, width in digits:
+        v = eights[at[left] + d]
+        if width < 8:
+            v &= np.uint64((1 << 8 * width) - 1)
+        order = np.lexsort((v, group))
+        left, group, v = left[order], group[order], v[order]
+        new = np.ones(len(left) + 1, bool)
+        new[1:-1] = (group[1:] != group[:-1]) | (v[1:] != v[:-1])
+        alone = new[1:] & new[:-1]
+        left, group = left[~alone], np.cumsum(new[:-1])[~alone]
+    again = np.zeros(len(at), bool)
+    again[left] = True
+    return again
+
+
+def repeated(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Which windows equal another: by their hashes, and if these are wrong, by ``radix_groups``."""
+    h = hashes(data, size, at)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if not _same_bytes(data, at, order, same, size):
+        return radix_groups(data, at, size)
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = same
+    again[order[:-1]] |= same
+    return again
 
 
 def _runs(row: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,12 +236,8 @@ def _sort(size: int, most: int = 2_048):
                 t = rows.column("t").to_pylist()
                 key = list(zip(t, rows.column("pos").to_pylist(), rows.column("s1").to_pylist(), strict=True))
                 rows = rows.filter(pa.array([i == 0 or key[i] != key[i - 1] for i in range(len(key))]))
-                row, start, h = _windows(rows, size)
-                order = np.argsort(h, kind="stable")
-                same = h[order][1:] == h[order][:-1]
-                again = np.zeros(len(h), bool)
-                again[order[1:]] = same
-                again[order[:-1]] |= same
+                data, row, start, place = _windows(rows, size)
+                again = repeated(data, place, size)
                 own, a, b = _runs(row[again], start[again], size)
                 yield pa.RecordBatch.from_arrays([rows.column("t").combine_chunks().take(pa.array(own)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["t", "a", "b"])
 
@@ -185,14 +245,16 @@ def _sort(size: int, most: int = 2_048):
 
 
 def _each(size: int):
-    """(w, t, s): every window of places whose first digit has too many."""
+    """(w, t, s): every window, as a digest of its bytes, of places whose first digit has too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                rows = batch.slice(i, 1024)
-                row, start, h = _windows(rows, size)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), rows.column("t").take(pa.array(row)), pa.array(start.astype(np.int32))], ["w", "t", "s"])
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                data, row, start, place = _windows(rows, size)
+                view = memoryview(data)
+                w = [hashlib.blake2b(view[x : x + size], digest_size=16).digest() for x in place.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), rows.column("t").take(pa.array(row)), pa.array(start.astype(np.int32))], ["w", "t", "s"])
 
     return run
 
@@ -229,7 +291,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
     null text counts as empty; texts shorter than ``size`` have no such strings. Rows with equal texts are repeats of
     each other. Ids may be null or repeat; other columns aren't read. ``digit`` must be less than ``size``.
 
-    Windows count as equal if their 64-bit hashes are, among windows whose first digits' hashes are equal too.
+    Windows count as equal if their bytes are; of first digits with over ``group`` places, if their 128-bit digests are.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.encode("text", "utf-8").alias("data")).withColumn("sha", F.sha2("data", 256)).withColumn("t", F.unhex(F.substr("sha", F.lit(1), F.lit(32))))
@@ -244,7 +306,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
     if hot.isEmpty():
         spans = None
     else:
-        windows = places.join(hot.select("k"), "k", "left_semi").mapInArrow(_each(size), "w long, t binary, s int")
+        windows = places.join(hot.select("k"), "k", "left_semi").mapInArrow(_each(size), "w binary, t binary, s int")
         mark = F.xxhash64("t", "s")
         again = windows.groupBy("w").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x != y").select("w")
         spans = windows.join(again, "w").select("t", F.col("s").alias("a"), (F.col("s") + size).alias("b")).distinct()

@@ -141,6 +141,38 @@ def test_repeats_of_made_texts(spark, size, digit, group):
     assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in rows)
 
 
+def thue_morse(order: int, flip: bool) -> str:
+    s = [flip]
+    while len(s) < 1 << order:
+        s += [not x for x in s]
+    return "".join("ab"[x] for x in s)
+
+
+def test_equal_hashes_of_different_bytes(spark):
+    """Thue-Morse strings and their opposites agree in the low bits of any polynomial modulo 2**64, all 64 of them if long enough."""
+    x, y = thue_morse(11, False), thue_morse(11, True)
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    h = suffix.hashes(data, 2048, np.array([0, 2048]))
+    assert x != y and h[0] == h[1]
+    assert not suffix.repeated(data, np.array([0, 2048]), 2048).any()
+    assert suffix.repeated(np.append(data, data), np.array([0, 2048, 4096, 6144]), 2048).all()
+    docs = [(1, x + "1"), (2, y + "2"), (3, "3" + x), (4, "4" * 30 + y + "5")]
+    df = spark.createDataFrame(docs[:2] + [docs[3]], "doc_id long, text string")
+    for group in (20_000, 1):
+        rows = suffix.remove_repeats(df, size=2048, group=group).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.op10([docs[0], docs[1], docs[3]], 2048)
+
+
+@pytest.mark.parametrize("size", [3, 8, 13, 24])
+def test_radix_passes_and_comparisons_agree(size):
+    r = random.Random(size)
+    data = np.array([r.randrange(2) for _ in range(700)] + [0] * 60, np.uint8)
+    at = np.arange(len(data) - size + 1)
+    windows = [data[i : i + size].tobytes() for i in at]
+    want = [windows.count(w) > 1 for w in windows]
+    assert suffix.radix_groups(data, at, size).tolist() == want == suffix.repeated(data, at, size).tolist()
+
+
 def test_long_texts_are_looked_at_in_segments(spark, monkeypatch):
     r = random.Random(1)
     text = "".join(r.choice("abcdefgh") for _ in range(5000))
