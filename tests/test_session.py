@@ -170,6 +170,33 @@ def test_layouts(tmp_path):
         yolo.discover(tmp_path / "train" / "labels")
 
 
+def test_splits_by_any_name_and_files_of_other_kinds(tmp_path):
+    image = demo.png(demo.scene(1))
+    for name in ("images/Train/a.png", "images/VALIDATION/b.PNG", "images/extra/c.png", "images/Train/d.gif", "images/Train/e.xyz", "images/Train/f.json", "images/Train/.g.png", "images/Train/Thumbs.db", "images/Train/sub/h.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(image)
+    (tmp_path / "labels").mkdir()
+    found = yolo.discover(tmp_path)
+    assert [(f[0], f[1], f[3]) for f in found.files] == [("images/Train/a.png", "train", False), ("images/Train/d.gif", "train", True), ("images/Train/e.xyz", "train", True), ("images/Train/sub/h.jpg", "train", False), ("images/VALIDATION/b.PNG", "val", False)]
+    assert found.files[0][2] == "labels/Train/a.txt" and found.files[0][4] == len(image)
+
+
+def test_lists_of_images_and_entries_above_the_root(tmp_path):
+    root, outside = tmp_path / "set", tmp_path / "x.png"
+    outside.write_bytes(b"x")
+    for n in range(3):
+        for kind, end in (("images", "png"), ("labels", "txt")):
+            (root / kind).mkdir(parents=True, exist_ok=True)
+            (root / kind / f"{n}.{end}").write_bytes(b"0 0.5 0.5 0.1 0.1")
+    (root / "images" / "out.png").symlink_to(outside)
+    (root / "lists").mkdir()
+    (root / "lists" / "train.txt").write_text(f"../images/0.png\nimages/1.png\n\n{root}/images/2.png\n{outside}\nimages/none.png\n")
+    (root / "data.yaml").write_text("names: [a]\ntrain: lists/train.txt\nval: ../images\ntest: ['..\\images', data.yaml]\n")
+    found = yolo.discover(root)
+    assert [f[:2] for f in found.files] == [(f"images/{n}.png", "train") for n in range(3)]
+    assert found.labels == [(f"labels/{n}.txt", 17) for n in range(3)] and found.notes == []
+
+
 def test_pixels():
     img = demo.scene(5)
     a = pixels.measure(img.astype(np.uint8)[..., ::-1], 1024)
