@@ -6,11 +6,12 @@ is a Column expression; duplicate boxes are an equi-join on image and class with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Annotations
 from plumbline.functions.columns import iou
+from plumbline.plans import ranks
 
 #: Line ends and white space (fixed values: those of Unicode text lines).
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
@@ -160,4 +161,4 @@ def validate(files: DataFrame, labels: DataFrame, class_count: int, cfg: Annotat
 
 def numbered(issues: DataFrame) -> DataFrame:
     """Issues with ``seq``: those of images by path and line, then orphans by path."""
-    return issues.withColumn("seq", F.row_number().over(Window.orderBy(F.col("image_path").asc_nulls_last(), "label_path", F.col("line").asc_nulls_first(), "code")))
+    return ranks.numbered(issues, "seq", F.col("image_path").asc_nulls_last(), F.col("label_path"), F.col("line").asc_nulls_first(), F.col("code"))

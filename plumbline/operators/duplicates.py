@@ -1,12 +1,18 @@
 """Exact and near duplicates, and their leakage across splits.
 
-Near duplicates come from hashes in parts: two 64-bit hashes that differ in at most 7 bits agree in one of 8 parts of 8
-bits, so an equi-join on (part, value) finds every pair. A pair that meets in several parts counts in its first one
-only, which needs no further shuffle. Content is made distinct first.
+Near duplicates come from hashes in parts: the bits are dealt in turn to d + r parts, and two hashes that differ in at most
+d bits agree in r of these, so an equi-join on each choice of r parts finds every pair, however many there are. With
+more rows r grows, and with it the bits that meet, so that buckets stay small; none is left out. A pair that meets in
+several choices counts in its first one only, which needs no further shuffle. Content is made distinct first, and so are
+hashes.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ from plumbline.functions.columns import hamming, split_rank
 from plumbline.plans.components import connected_components
 
 PARTS = 8
+#: Members of a group whose ids are gathered to name it.
+NAMED = 100_000
 
 
 def firsts(images: DataFrame, key: str = "sha256", order: str = "path") -> DataFrame:
@@ -27,30 +35,47 @@ def _part(hash: Column, n: int) -> Column:
     return F.shiftrightunsigned(hash, 8 * n).bitwiseAND(F.lit(255))
 
 
+def choices(distance: int, rows: int, most: int = 5) -> list[tuple[int, tuple[int, ...]]]:
+    """(mask, parts) of each choice of r parts of d + r, with the least r by which a choice has as many bits as ``rows`` needs."""
+    r = next((r for r in range(1, most) if 64 * r / (distance + r) >= math.log2(max(2, rows))), most)
+    n = distance + r
+    part = [sum(1 << i for i in range(64) if i % n == p) for p in range(n)]
+    made = [(sum(part[p] for p in c), c) for c in combinations(range(n), r)]
+    return [(m - (1 << 64) if m >> 63 else m, c) for m, c in made]
+
+
 def similar_pairs(rows: DataFrame, hash: str, distance: int, key: str = "id", second: str | None = None, second_distance: int = 0, max_bucket: int | None = None) -> DataFrame:
     """(a, b, distance): pairs of rows, a before b by key, whose hashes differ in at most ``distance`` bits (7 or fewer).
 
-    With ``second`` the other hash has to be near too. Buckets of over ``max_bucket`` rows are left out if it is set; a pair
-    still comes up if it meets elsewhere.
+    With ``second`` the other hash has to be near too. Rows whose hash has a part of 8 bits that over ``max_bucket`` rows share
+    are not compared by that part if it is set; a pair still comes up if it meets elsewhere.
     """
     if not 0 <= distance < PARTS:
-        raise ValueError("eight parts find all pairs up to distance 7 only")
-    parts = F.array(*[F.struct(F.lit(n).cast("tinyint").alias("part"), _part(F.col(hash), n).cast("smallint").alias("value")) for n in range(PARTS)])
+        raise ValueError("pairs are found up to distance 7 only")
     cols = [F.col(key).alias("k"), F.col(hash).alias("h")] + ([F.col(second).alias("s")] if second else [])
-    cut = rows.where(F.col(hash).isNotNull()).select(*cols, F.explode(parts).alias("p")).select("*", "p.part", "p.value").drop("p")
-    if max_bucket is not None:
-        cut = cut.join(skipped_buckets(rows, hash, max_bucket).select("part", "value"), ["part", "value"], "left_anti")
+    own = rows.where(F.col(hash).isNotNull()).select(*cols)
+    made = choices(distance, own.count())
+    n = distance + len(made[0][1])
+    tables = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.lit(m).alias("m")) for v, (m, _) in enumerate(made)])
+    cut = own.select("*", F.explode(tables).alias("t")).select("*", F.col("t.v").alias("v"), F.col("h").bitwiseAND(F.col("t.m")).alias("value")).drop("t")
     a, b = cut.alias("a"), cut.alias("b")
-    pairs = a.join(b, ["part", "value"]).where((F.col("a.k") < F.col("b.k")) & (hamming(F.col("a.h"), F.col("b.h")) <= distance))
+    x = F.col("a.h").bitwiseXOR(F.col("b.h"))
+    pairs = a.join(b, ["v", "value"]).where((F.col("a.k") < F.col("b.k")) & (F.bit_count(x) <= distance))
     if second:
         pairs = pairs.where(hamming(F.col("a.s"), F.col("b.s")) <= second_distance)
-    out = pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"), "part", F.col("a.h").alias("x"), F.col("b.h").alias("y"))
+    pairs = pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(x).alias("distance"), "v", x.alias("x"), F.col("a.h").alias("h"))
+    # The first choice of a pair is that of the first parts in which it agrees: no other part before its last agrees.
+    part = [sum(1 << i for i in range(64) if i % n == p) for p in range(n)]
+    agrees = [(F.col("x").bitwiseAND(F.lit(p - (1 << 64) if p >> 63 else p)) == 0).cast("int") for p in part]
+    last = F.element_at(F.array(*[F.lit(c[-1]) for _, c in made]), F.col("v").cast("int") + 1)
+    upto = sum((F.when(F.lit(p) <= last, one).otherwise(0) for p, one in enumerate(agrees)), F.lit(0))
+    pairs = pairs.where(upto == len(made[0][1]))
     if max_bucket is not None:
-        return out.select("a", "b", "distance").distinct()
-    first = F.lit(PARTS)
-    for n in reversed(range(PARTS)):
-        first = F.when(_part(F.col("x"), n) == _part(F.col("y"), n), n).otherwise(first)
-    return out.where(F.col("part") == first).select("a", "b", "distance")
+        crowded = skipped_buckets(rows, hash, max_bucket).groupBy("part").agg(F.collect_set("value").alias("values"))
+        full = {r.part: F.array(*[F.lit(v) for v in r["values"]]) for r in crowded.collect()}
+        meets = [(_part(F.col("x"), p) == 0) & (~F.array_contains(full[p], _part(F.col("h"), p).cast("smallint")) if p in full else F.lit(True)) for p in range(PARTS)]
+        pairs = pairs.where(reduce(Column.__or__, meets))
+    return pairs.select("a", "b", "distance")
 
 
 def skipped_buckets(rows: DataFrame, hash: str, max_bucket: int) -> DataFrame:
@@ -63,7 +88,7 @@ def members(images: DataFrame, cfg: Duplicates | None = None) -> tuple[DataFrame
     """(members, edges) of the duplicate groups of images (id, path, split, status, sha256, and for near ones phash_l, dhash_l, contrast).
 
     members are (root, id, path, split, sha256); edges are the near pairs (a, b, distance) between the first images of
-    each content. Images that aren't ok or have no hash of their content take no part.
+    each content and hash, and of those of one hash with the first. Images that aren't ok or have no hash of their content take no part.
     """
     cfg = cfg or Duplicates()
     own = images.where("status = 'ok' and sha256 is not null")
@@ -73,7 +98,10 @@ def members(images: DataFrame, cfg: Duplicates | None = None) -> tuple[DataFrame
     edges = own.sparkSession.createDataFrame([], "a string, b string, distance int")
     if cfg.enabled and {"phash_l", "dhash_l", "contrast"} <= set(images.columns):
         able = first.where((F.col("contrast") >= cfg.min_hash_std) & F.col("phash_l").isNotNull() & F.col("dhash_l").isNotNull())
-        edges = similar_pairs(able, "phash_l", cfg.phash_max_distance, "id", "dhash_l", cfg.dhash_max_distance, cfg.max_bucket)
+        # Images of the same hashes are linked to the first of them, which alone is compared with others.
+        one = able.groupBy("phash_l", "dhash_l").agg(F.min("id").alias("one"))
+        same = able.select("id", "phash_l", "dhash_l").join(one, ["phash_l", "dhash_l"]).where("id != one").select(F.col("one").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+        edges = similar_pairs(one, "phash_l", cfg.phash_max_distance, "one", "dhash_l", cfg.dhash_max_distance).unionByName(same)
     roots = connected_components(star.unionByName(edges.select("a", "b")))
     found = own.select("id", "path", "split", "sha256").join(roots.withColumnRenamed("node", "id").withColumnRenamed("component", "root"), "id")
     return found.select("root", "id", "path", "split", "sha256"), edges
@@ -83,12 +111,16 @@ def with_groups(members: DataFrame, edges: DataFrame | None = None) -> tuple[Dat
     """(members with group_id, groups) from rows (root, id, path, split, sha256).
 
     groups: (group_id, kind, scope, splits, size, unique_files, max_distance, first_path). A group's id is the hash of its
-    members' ids. It is exact if all have the same content, and crosses splits if its members are in several.
+    members' ids, or in a group of over ``NAMED`` of its root and how many they are, as so long a list is gathered nowhere.
+    It is exact if all have the same content, and crosses splits if its members are in several.
     """
+    large = members.groupBy("root").count().where(F.col("count") > NAMED).select("root", F.col("count").alias("large"))
+    listed = members.join(large, "root", "left")
     near = members.select("root", "id").join(edges.select(F.col("a").alias("id"), "distance"), "id").groupBy("root").agg(F.max("distance").alias("max_distance")) if edges is not None else None
     splits = F.transform(F.array_sort(F.collect_set(F.struct(split_rank(F.col("split")).alias("r"), F.col("split").alias("s")))), lambda x: x["s"])
-    g = members.groupBy("root").agg(
-        F.concat(F.lit("g_"), F.substring(F.sha1(F.array_join(F.array_sort(F.collect_set("id")), "|")), 1, 10)).alias("group_id"),
+    ids = F.array_join(F.array_sort(F.collect_set(F.when(F.col("large").isNull(), F.col("id")))), "|")
+    g = listed.groupBy("root").agg(
+        F.concat(F.lit("g_"), F.substring(F.sha1(F.coalesce(F.concat(F.first("root").cast("string"), F.lit("|"), F.max("large").cast("string")), ids)), 1, 10)).alias("group_id"),
         F.countDistinct("sha256").alias("unique_files"), F.count("*").alias("size"), splits.alias("splits"), F.min("path").alias("first_path"),
     )
     g = g.join(near, "root", "left") if near is not None else g.withColumn("max_distance", F.lit(0))
@@ -112,8 +144,8 @@ def redundant(members: DataFrame) -> DataFrame:
 
 def leaked(members: DataFrame) -> DataFrame:
     """Members outside the first split, in the order of splits, that their group has."""
-    first = F.min(F.struct(split_rank(F.col("split")).alias("r"), F.col("split").alias("s"))).over(Window.partitionBy("group_id"))
-    return members.withColumn("_first", first["s"]).where("split != _first").drop("_first")
+    first = members.groupBy("group_id").agg(F.min(F.struct(split_rank(F.col("split")).alias("r"), F.col("split").alias("s")))["s"].alias("__first"))
+    return members.join(first, "group_id").where("split != __first").select(*members.columns)
 
 
 def leakage_totals(images: DataFrame, members: DataFrame) -> DataFrame:
@@ -128,11 +160,14 @@ def leakage_pairs(members: DataFrame, examples: int = 12) -> DataFrame:
 
     A group is exact for a pair if its two sides share any content.
     """
-    side = members.groupBy("group_id", "split").agg(F.collect_set("sha256").alias("shas"), F.collect_set("id").alias("ids"), split_rank(F.first("split")).alias("r"))
-    a, b = side.alias("a"), side.alias("b")
+    count = members.groupBy("group_id", "split").agg(F.countDistinct("id").alias("n"), split_rank(F.col("split")).alias("r"))
     before = F.struct("a.r", "a.split") < F.struct("b.r", "b.split")
-    pairs = a.join(b, "group_id").where(before).select("group_id", F.col("a.split").alias("a"), F.col("b.split").alias("b"), F.arrays_overlap("a.shas", "b.shas").alias("exact"), F.col("a.ids").alias("ia"), F.col("b.ids").alias("ib"))
-    groups = pairs.groupBy("a", "b").agg(F.count_if("exact").alias("exact_groups"), F.count_if(~F.col("exact")).alias("perceptual_groups"), F.count("*").alias("total_groups"), F.sum(F.size("ia")).cast("long").alias("images_a"), F.sum(F.size("ib")).cast("long").alias("images_b"))
+    two = lambda df, on, *more: df.alias("a").join(df.alias("b"), on).where(before).select("group_id", F.col("a.split").alias("a"), F.col("b.split").alias("b"), *more)
+    # Contents are brought down to a row for each split that has them before sides meet.
+    content = members.select("group_id", "split", "sha256", split_rank(F.col("split")).alias("r")).distinct()
+    shared = two(content, ["group_id", "sha256"]).distinct().withColumn("exact", F.lit(True))
+    pairs = two(count, "group_id", F.col("a.n").alias("na"), F.col("b.n").alias("nb")).join(shared, ["group_id", "a", "b"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    groups = pairs.groupBy("a", "b").agg(F.count_if("exact").alias("exact_groups"), F.count_if(~F.col("exact")).alias("perceptual_groups"), F.count("*").alias("total_groups"), F.sum("na").cast("long").alias("images_a"), F.sum("nb").cast("long").alias("images_b"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("group_id"))
     some = pairs.select("a", "b", "group_id").withColumn("n", rank).where(F.col("n") <= examples).groupBy("a", "b").agg(F.array_sort(F.collect_list("group_id")).alias("examples"))
     return groups.join(some, ["a", "b"])
@@ -143,8 +178,9 @@ def tags(images: DataFrame, members: DataFrame, boxes: DataFrame, cfg) -> DataFr
 
     images needs status, flags, is_grayscale, label_status and invalid_lines.
     """
-    w, by = Window.partitionBy("group_id"), Window.partitionBy("group_id", "sha256")
-    of = members.select("id", (F.count("*").over(by) > 1).alias("exact"), (F.size(F.collect_set("sha256").over(w)) > 1).alias("near"), (F.col("scope") == "cross_split").alias("cross"))
+    content = members.groupBy("group_id", "sha256").agg((F.count("*") > 1).alias("exact"))
+    several = content.groupBy("group_id").agg((F.count("*") > 1).alias("near"))
+    of = members.join(content, ["group_id", "sha256"]).join(several, "group_id").select("id", "exact", "near", (F.col("scope") == "cross_split").alias("cross"))
     odd = boxes.groupBy(F.col("image_id").alias("id")).agg(F.max(F.arrays_overlap("flags", F.array(*map(F.lit, ["tiny", "large", "out_of_bounds", "duplicate"])))).alias("odd"))
     out = images.join(of, "id", "left").join(odd, "id", "left")
     tag = lambda c, name: F.when(c, F.lit(name))

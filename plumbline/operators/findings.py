@@ -6,7 +6,7 @@ a table of texts gives them words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import SEVERITIES, Config
@@ -52,10 +52,13 @@ def severity_rank(severity: Column) -> Column:
 
 
 def _evidence(rows: DataFrame, key: str, id: str | None, example: Column, extra: list[Column] | None = None) -> DataFrame:
-    """(key, n, ids, examples, ...) by key; lists are bounded: the first by path."""
-    order = F.struct(example.alias("e"), (F.col(id) if id else F.lit(None).cast("string")).alias("i"))
-    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.min_by(example, example).alias("first"), F.slice(F.array_sort(F.collect_set(order)), 1, IDS).alias("_l"), *(extra or []))
-    return out.withColumn("ids", F.filter(F.array_distinct(F.transform("_l", lambda x: x["i"])), lambda i: i.isNotNull())).withColumn("examples", F.slice(F.transform("_l", lambda x: x["e"]), 1, EXAMPLES)).drop("_l", "first")
+    """(key, n, ids, examples, ...) by key; of what is affected, the first ``IDS`` by example are ranked before they are gathered."""
+    own = rows.groupBy(key).agg(F.count("*").alias("n"), *(extra or []))
+    each = rows.select(key, example.alias("e"), (F.col(id) if id else F.lit(None).cast("string")).alias("i")).distinct()
+    first = each.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("e", "i"))).where(F.col("k") <= IDS)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "e", "i"))).alias("l"))
+    lists = lists.select(key, F.array_compact(F.array_distinct(F.transform("l", lambda x: x["i"]))).alias("ids"), F.slice(F.transform("l", lambda x: x["e"]), 1, EXAMPLES).alias("examples"))
+    return own.join(lists, key)
 
 
 def build(images: DataFrame, issues: DataFrame, members: DataFrame | None, groups: DataFrame | None, boxes: DataFrame, classes: DataFrame, notes: list[str] | None = None, cfg: Config | None = None) -> DataFrame:

@@ -46,7 +46,9 @@ def rates(images: DataFrame, members: DataFrame | None, has_labels: bool = True)
 def components(rates: DataFrame, balance: DataFrame, cfg: Config | None = None) -> DataFrame:
     """Eight rows: (place, key, metric, applicable, score, weight, zero_at, effective_weight), in the fixed order."""
     s = (cfg or Config()).scoring
-    row = rates.crossJoin(F.broadcast(balance.select(F.col("imbalance").alias("class_balance"))))  # one row each
+    # The score goes by the ratio before rounding, where the balance has it.
+    ratio = F.col("ratio" if "ratio" in balance.columns else "imbalance")
+    row = rates.crossJoin(F.broadcast(balance.select(ratio.alias("class_balance"))))  # one row each
     parts = F.array(*[F.struct(F.lit(n).alias("place"), F.lit(k).alias("key"), F.col(k).cast("double").alias("metric"), F.lit(float(s.weights[k])).alias("weight"), F.lit(float(s.zero_at[k])).alias("zero_at")) for n, k in enumerate(COMPONENTS)])
     out = row.select(F.explode(parts).alias("c")).select("c.*")
     line = F.greatest(F.lit(0.0), F.col("metric")) / F.col("zero_at")

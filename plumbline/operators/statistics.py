@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ BAD = ["corrupted", "unsupported", "zero_byte", "too_large"]
 INF = float("inf")
 #: Histograms: edges and labels (fixed values).
 HISTOGRAMS = {
-    "aspect_ratio": ([0, 0.5, 0.75, 0.95, 1.05, 1.34, 1.6, 2, 3, INF], ["<0.5", "0.5-0.75", "0.75-0.95", "≈1:1", "1.05-1.34", "1.34-1.6", "1.6-2", "2-3", "≥3"]),
-    "blur": ([0, 25, 50, 100, 200, 500, 1000, INF], ["<25", "25-50", "50-100", "100-200", "200-500", "500-1000", "≥1000"]),
+    "aspect_ratio": ([0, 0.5, 0.75, 0.95, 1.05, 1.34, 1.6, 2, 3, INF], ["<0.5", "0.5-0.75", "0.75-0.95", "≈1:1", "1.05-1.34", "1.34-1.6", "1.6-2", "2-3", ">3"]),
+    "blur": ([0, 25, 50, 100, 200, 500, 1000, INF], ["<25", "25-50", "50-100", "100-200", "200-500", "500-1k", ">1k"]),
     "brightness": ([0, 32, 64, 96, 128, 160, 192, 224, 256.001], ["0-32", "32-64", "64-96", "96-128", "128-160", "160-192", "192-224", "224-255"]),
-    "contrast": ([0, 16, 32, 48, 64, 80, 96, 128, INF], ["<16", "16-32", "32-48", "48-64", "64-80", "80-96", "96-128", "≥128"]),
-    "megapixels": ([0, 0.1, 0.3, 0.5, 1, 2, 4, 8, INF], ["<0.1", "0.1-0.3", "0.3-0.5", "0.5-1", "1-2", "2-4", "4-8", "≥8"]),
-    "boxes_per_image": ([0, 1, 2, 3, 6, 11, 21, INF], ["0", "1", "2", "3-5", "6-10", "11-20", "≥21"]),
-    "box_area": ([0, 1e-4, 1e-3, 1e-2, 0.05, 0.1, 0.25, 0.5, 1.0001], ["<0.01%", "0.01-0.1%", "0.1-1%", "1-5%", "5-10%", "10-25%", "25-50%", "≥50%"]),
+    "contrast": ([0, 16, 32, 48, 64, 80, 96, 128, INF], ["<16", "16-32", "32-48", "48-64", "64-80", "80-96", "96-128", ">128"]),
+    "megapixels": ([0, 0.1, 0.3, 0.5, 1, 2, 4, 8, INF], ["<0.1", "0.1-0.3", "0.3-0.5", "0.5-1", "1-2", "2-4", "4-8", ">8"]),
+    "boxes_per_image": ([0, 1, 2, 3, 6, 11, 21, INF], ["0", "1", "2", "3-5", "6-10", "11-20", "21+"]),
+    "box_area": ([0, 1e-4, 1e-3, 1e-2, 0.05, 0.1, 0.25, 0.5, 1.0001], ["<0.01%", "0.01-0.1%", "0.1-1%", "1-5%", "5-10%", "10-25%", "25-50%", ">50%"]),
 }
 
 
@@ -30,9 +32,9 @@ def histogram(rows: DataFrame, value: str, edges: list[float], labels: list[str]
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
-    """One row: n, min, max, mean and the exact median; nulls if there is no value."""
+    """One row: n, min, max, mean to 3 places and the exact median; nulls if there is no value."""
     x = F.col(value)
-    return rows.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"))
+    return rows.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 3).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"))
 
 
 def totals(images: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def class_by_split(boxes: DataFrame, splits: list[str]) -> DataFrame:
 
 
 def balance(classes: DataFrame) -> DataFrame:
-    """One row: classes, used, imbalance (most by least among used), evenness (entropy by ln of all), max_class, min_class.
+    """One row: classes, used, imbalance (most by least among used, to 2 places), ratio (the same unrounded), evenness (entropy by ln of all, to 4), max_class, min_class.
 
     The two ratios need two used classes; ties go to the smaller class.
     """
@@ -92,7 +94,7 @@ def balance(classes: DataFrame) -> DataFrame:
         F.max_by("name", F.when(used, F.struct("count", -F.col("class_id")))).alias("max_class"), F.min_by("name", F.when(used, F.struct("count", "class_id"))).alias("min_class"),
     )
     able = F.col("used") >= 2
-    return out.select("classes", "used", F.when(able, F.col("_max").cast("double") / F.col("_min")).alias("imbalance"), F.when(able, F.col("_h") / F.ln(F.col("classes").cast("double"))).alias("evenness"), F.when(able, F.col("max_class")).alias("max_class"), F.when(able, F.col("min_class")).alias("min_class"))
+    return out.select("classes", "used", F.when(able, F.round(F.col("_max").cast("double") / F.col("_min"), 2)).alias("imbalance"), F.when(able, F.col("_max").cast("double") / F.col("_min")).alias("ratio"), F.when(able, F.round(F.col("_h") / F.ln(F.col("classes").cast("double")), 4)).alias("evenness"), F.when(able, F.col("max_class")).alias("max_class"), F.when(able, F.col("min_class")).alias("min_class"))
 
 
 def missing_in_splits(boxes: DataFrame, images: DataFrame) -> DataFrame:
@@ -109,6 +111,39 @@ def top_resolutions(images: DataFrame, n: int = 12) -> DataFrame:
     return images.where("status = 'ok' and width is not null").groupBy(size).agg(F.count("*").alias("count"), F.min("path").alias("_p")).orderBy(F.desc("count"), "_p").limit(n).drop("_p")
 
 
+def unique_resolutions(images: DataFrame) -> DataFrame:
+    """One row: how many different sizes valid images have."""
+    size = F.when((F.col("width") > 0) & (F.col("height") > 0), F.struct("width", "height"))
+    return images.where("status = 'ok'").agg(F.countDistinct(size).alias("unique_resolutions"))
+
+
+def formats(images: DataFrame) -> DataFrame:
+    """(format, count) of valid images; those without one are unknown."""
+    return images.where("status = 'ok'").groupBy(F.coalesce(F.nullif("format", F.lit("")), F.lit("unknown")).alias("format")).count()
+
+
+def channels(images: DataFrame) -> DataFrame:
+    """(channels, count) of valid images; none and 0 are left out."""
+    return images.where("status = 'ok' and channels > 0").groupBy("channels").count()
+
+
+def described(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(measure, n, min, max, mean, median) of what valid images measure; see ``describe``."""
+    valid, labelled = _measured(images, boxes)
+    wanted = {"width": valid, "height": valid, "aspect_ratio": valid, "blur_score": valid, "brightness": valid, "contrast": valid, "boxes_per_image": labelled}
+    parts = [describe(df.withColumn(c, F.col(c).cast("double")), c).select(F.lit(c).alias("measure"), "*") for c, df in wanted.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def counted(images: DataFrame, boxes: DataFrame, issues: DataFrame) -> DataFrame:
+    """(statistic, value, count): formats, channels, unique sizes, the most frequent sizes, and issues, tags and flags by name."""
+    parts = {
+        "format": formats(images), "channels": channels(images), "unique_resolutions": unique_resolutions(images).select(F.lit("all"), "unique_resolutions"),
+        "resolution": top_resolutions(images), "issue": value_counts(issues, "code"), "tag": value_counts(images, "tags", "tag"), "flag": flag_counts(images),
+    }
+    return reduce(DataFrame.unionByName, [df.toDF("value", "count").select(F.lit(k).alias("statistic"), F.col("value").cast("string").alias("value"), F.col("count").cast("long").alias("count")) for k, df in parts.items()])
+
+
 def flag_counts(images: DataFrame) -> DataFrame:
     """(flag, count) of quality flags, those of no image too."""
     names = images.sparkSession.createDataFrame([(f,) for f in FLAGS], "flag string")
@@ -123,10 +158,16 @@ def value_counts(rows: DataFrame, column: str, name: str | None = None) -> DataF
     return rows.select(value.alias(name or column)).groupBy(name or column).count()
 
 
-def histograms(images: DataFrame, boxes: DataFrame) -> dict[str, DataFrame]:
-    """All histograms by name."""
+def _measured(images: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid images with aspect ratio and megapixels, and the number of boxes of those that can have labels."""
     valid = images.where("status = 'ok'").withColumn("aspect_ratio", F.try_divide(F.col("width").cast("double"), F.col("height"))).withColumn("megapixels", F.col("width").cast("double") * F.col("height") / 1e6)
     per = boxes.groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("n"))
     labelled = images.where("status = 'ok' and label_status not in ('missing', 'n/a')").join(per, "id", "left").select(F.coalesce("n", F.lit(0)).alias("boxes_per_image"))
+    return valid, labelled
+
+
+def histograms(images: DataFrame, boxes: DataFrame) -> dict[str, DataFrame]:
+    """All histograms by name."""
+    valid, labelled = _measured(images, boxes)
     rows = {"blur": (valid, "blur_score"), "boxes_per_image": (labelled, "boxes_per_image"), "box_area": (boxes, "area")}
     return {k: histogram(*rows.get(k, (valid, k)), *v) for k, v in HISTOGRAMS.items()}

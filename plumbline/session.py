@@ -27,7 +27,7 @@ from plumbline.sources.paths import dataset_path
 
 STAGES = ("discover", "images", "annotations", "duplicates", "leakage", "statistics", "scoring", "findings")
 #: The tables of an audit, each a Parquet folder where it is stored.
-TABLES = ("images", "boxes", "issues", "classes", "dup_members", "dup_groups", "leakage_pairs", "leakage_totals", "totals", "splits", "balance", "histograms", "health_components", "health_overall", "findings")
+TABLES = ("images", "boxes", "issues", "classes", "dup_members", "dup_groups", "leakage_pairs", "leakage_totals", "totals", "splits", "balance", "histograms", "described", "counted", "health_components", "health_overall", "findings")
 AUDIT_ID = re.compile(r"^[A-Za-z0-9_-]{4,64}$")
 
 
@@ -91,9 +91,6 @@ class AuditSession:
         if full:
             rows, edges = du.members(images, cfg.duplicates)
             members, groups = (table(x, "dup") for x in du.with_groups(rows, edges))
-            able = du.firsts(images.where("status = 'ok' and sha256 is not null")).where("hash_reliable")
-            if cfg.duplicates.enabled and (skipped := du.skipped_buckets(able, "phash_l", cfg.duplicates.max_bucket).count()):
-                notes.append(f"{skipped} parts of hashes have over {cfg.duplicates.max_bucket} images; pairs that only meet there weren't compared")
         else:
             empty = "group_id string, id string, path string, split string, sha256 string, kind string, scope string"
             members = spark.createDataFrame([], empty)
@@ -111,7 +108,7 @@ class AuditSession:
         hist = bins[0]
         for b in bins[1:]:
             hist = hist.unionByName(b)
-        t |= {"classes": classes, "balance": balance, "totals": st.totals(images, boxes), "splits": st.by_split(images, boxes), "histograms": hist}
+        t |= {"classes": classes, "balance": balance, "totals": st.totals(images, boxes), "splits": st.by_split(images, boxes), "histograms": hist, "described": st.described(images, boxes), "counted": st.counted(images, boxes, issues)}
         stage("scoring")
         t["health_components"] = he.components(he.rates(images, members if full else None, has_labels), balance, cfg)
         t["health_overall"] = he.overall(t["health_components"])

@@ -101,3 +101,11 @@ def test_images_with_too_many_boxes_are_left_out(spark):
     b = spark.createDataFrame(rows, "image_id string, line int, class_id int, cx double, cy double, w double, h double")
     got = an.duplicate_boxes(b, Annotations(max_boxes_for_iou=3)).select("image_id", "line", "of_line", F.round("iou", 3)).collect()
     assert [tuple(r) for r in got] == [("b", 1, 0, 1.0)]
+
+
+def test_issues_are_numbered_across_ranges(spark):
+    rows = [(f"i{n % 40:02d}" if n % 7 else None, f"l{n:04d}", n % 5 if n % 3 else None, "tiny_box") for n in range(600)]
+    issues = spark.createDataFrame(rows, "image_path string, label_path string, line int, code string").repartition(7)
+    got = [(r.image_path, r.label_path, r.line, r.code) for r in an.numbered(issues).orderBy("seq").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2] is not None, r[2] or 0, r[3]))
+    assert sorted(r.seq for r in an.numbered(issues).collect()) == list(range(1, 601))

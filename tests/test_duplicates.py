@@ -27,6 +27,35 @@ def test_pairs_are_those_of_all_comparisons(spark, distance):
     assert {tuple(r) for r in du.similar_pairs(df, "h", distance, max_bucket=10_000).collect()} == want
 
 
+@pytest.mark.parametrize(("distance", "rows", "parts"), [(0, 10**9, 1), (7, 2, 1), (7, 15_000, 2), (7, 10**6, 4), (7, 10**12, 5), (6, 10**6, 3)])
+def test_choices_of_parts_have_the_bits_that_rows_need(distance, rows, parts):
+    made = du.choices(distance, rows)
+    assert {len(c) for _, c in made} == {parts} and len({c for _, c in made}) == len(made)
+    assert all((m & ((1 << 64) - 1)).bit_count() >= 64 * parts // (distance + parts) - parts for m, _ in made)
+
+
+def test_a_crowded_part_loses_no_pair(spark):
+    """All hashes agree in 24 bits, and over 5 000 rows with them: the audit still finds every near pair."""
+    r = random.Random(1)
+    hashes = [r.getrandbits(40) for _ in range(5200)]
+    for n in range(0, 400, 2):
+        hashes[n + 1] = hashes[n] ^ (1 << r.randrange(40)) ^ (1 << r.randrange(40))
+    rows = [(f"i{n:05d}", f"p/{n:05d}", "train", "ok", f"s{n}", h, 5, 50.0) for n, h in enumerate(hashes)]
+    members, edges = du.members(spark.createDataFrame(rows, IMAGE), Duplicates())
+    want = {frozenset((f"i{n:05d}", f"i{n + 1:05d}")) for n in range(0, 400, 2)}
+    assert want <= {frozenset((e.a, e.b)) for e in edges.collect()}
+    assert members.count() >= 400
+
+
+def test_large_groups_are_named_without_a_list(spark, monkeypatch):
+    monkeypatch.setattr(du, "NAMED", 3)
+    rows = [("r", f"i{n}", f"p{n}", "train" if n < 4 else "test", "s") for n in range(5)] + [("q", f"j{n}", f"q{n}", "val", "t") for n in range(2)]
+    members, groups = du.with_groups(spark.createDataFrame(rows, "root string, id string, path string, split string, sha256 string"))
+    got = {g.first_path: g for g in groups.collect()}
+    assert got["p0"]["size"] == 5 and got["p0"].splits == ["train", "test"] and got["p0"].group_id != got["q0"].group_id
+    assert {r.id for r in du.leaked(members).collect()} == {"i4"}
+
+
 def test_distance_eight_is_refused(spark):
     with pytest.raises(ValueError):
         du.similar_pairs(spark.createDataFrame([("a", 1)], "id string, h long"), "h", 8)
