@@ -540,3 +540,6 @@ def labelled_by_split(spark, d):
     """Annotated images by split and language."""
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     return docs.join(labels, "doc_id", "left_semi").groupBy(F.expr(SPLIT).alias("split"), F.col("lang").alias("class_id")).agg(F.count("*").alias("n"))
+
+
+from plumbline import file_queries  # noqa: E402, F401  it registers its queries here
