@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard, mixing, pii, quality, simhash
 from plumbline.llm.common import read
-from plumbline.plans.store import materialize
+from plumbline.plans.store import materialize, scope
 
 #: Words of a shingle, bits that fingerprints of links by covering LSH differ in at most, least Jaccard similarity.
 SHINGLE, RADIUS, SIMILARITY = 5, 4, 0.8
@@ -57,8 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder. What a stage wrote on its way goes when it is done, and its input too."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark) as written:
+            docs, path = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            written.remove(path)
+            if before:
+                written.append(before)
+            before = path
     return docs

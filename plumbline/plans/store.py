@@ -7,12 +7,16 @@ the stage that was running.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,8 @@ def materialize(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder; returns the table read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    if open_ := getattr(_scopes, "open", None):
+        open_[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -50,3 +56,19 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     fs, at = _filesystem(spark, path)
     fs.delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that this thread writes within, once what was asked of them is written itself.
+
+    It gives the list of their paths: those taken off it stay. Lazy results of what is deleted can't be read afterwards.
+    """
+    own: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), own]
+    try:
+        yield own
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for path in own:
+            drop(spark, path)

@@ -47,3 +47,16 @@ def test_nulls_loops_repeats_and_nothing(spark):
 
 def test_strings(spark):
     assert run(spark, [("b", "a"), ("c", "b"), ("y", "z")], "string") == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+
+
+def test_a_scope_leaves_only_what_is_taken_off_it(spark):
+    from pathlib import Path
+
+    from plumbline.plans import store
+
+    with store.scope(spark) as written:
+        a, kept = store.materialize(spark.range(3), "kept")
+        _, gone = store.materialize(a, "gone")
+        written.remove(kept)
+    there = lambda p: Path(p.removeprefix("file://")).exists()
+    assert there(kept) and not there(gone) and a.count() == 3
