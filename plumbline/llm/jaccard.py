@@ -86,22 +86,26 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
-        for batch in batches:
-            h, fp, n, bits, prefix = [], [], [], [], []
-            for x in batch.column(2):
-                s = shingles(x.as_py(), size)
-                at = np.searchsorted(known, s)
-                late = np.zeros(len(s), bool)
-                late[at < len(known)] = known[at[at < len(known)]] == s[at < len(known)]
-                last = s[late][np.argsort(rank[at[late]])]
-                first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
-                h.append(xxhash.xxh64_intdigest(s.tobytes()))
-                fp.append(majority(s))
-                n.append(len(s))
-                bits.append(parity(s))
-                prefix.append(np.concatenate([s[~late], last])[:first].view(np.int64))
-            made = [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, fp)], pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "fp", "n", "bits", "prefix"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                yield sketched(whole.slice(at, 1024), known, rank)
+
+    def sketched(batch: pa.RecordBatch, known: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        h, fp, n, bits, prefix = [], [], [], [], []
+        for x in batch.column(2):
+            s = shingles(x.as_py(), size)
+            at = np.searchsorted(known, s)
+            late = np.zeros(len(s), bool)
+            late[at < len(known)] = known[at[at < len(known)]] == s[at < len(known)]
+            last = s[late][np.argsort(rank[at[late]])]
+            first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
+            h.append(xxhash.xxh64_intdigest(s.tobytes()))
+            fp.append(majority(s))
+            n.append(len(s))
+            bits.append(parity(s))
+            prefix.append(np.concatenate([s[~late], last])[:first].view(np.int64))
+        made = [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, fp)], pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "fp", "n", "bits", "prefix"])
 
     return texts.select("id", "t", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, t long, h long, fp long, n int, bits binary, prefix array<long>")
 
