@@ -21,6 +21,17 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+#: Rows that go to and from a Python worker at once, where they carry whole texts.
+BATCH = 1_024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH`` rows, if they are larger: both sides of a worker hold whole batches, often twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """A column name like ``name`` that none of the frames has, in any case of its letters."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import groups
+from plumbline.llm.common import groups, small_batches
 from plumbline.llm.simhash import links as covering_links
 from plumbline.llm.simhash import majority
 from plumbline.plans.components import connected_components
@@ -85,10 +85,8 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray
     sent = texts.sparkSession.sparkContext.broadcast((common[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                yield sketched(whole.slice(at, 1024), known, rank)
+            yield sketched(whole, *sent.value)
 
     def sketched(batch: pa.RecordBatch, known: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
         h, fp, n, bits, prefix = [], [], [], [], []
@@ -238,6 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     decides how many links covering LSH finds before prefixes do. Texts without words are alike, and like no other.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     seen, path = materialize(_sketches(texts, shingle, similarity, _common(texts, shingle)), "sketches")
     ids = table(seen.select("id", "h", "fp"), "ids")

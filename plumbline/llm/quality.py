@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import small_batches
 from plumbline.llm.linear import logistic, packed, sigmoid
 
 #: Rows to train the scorer on, its features, characters of a text that are looked at once.
@@ -138,6 +139,7 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE, size: int
     The scorer is trained on at most ``rows`` distinct texts, chosen by hash: the bound of its sample. Its share of the
     table follows from a sketch of how many distinct texts there are, so copies don't thin it out.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = text.mapInArrow(_votes, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toArrow()
     if not got.num_rows:
@@ -180,6 +182,7 @@ def score(docs: DataFrame, model: tuple | None, id_col: str = "doc_id", text_col
     labellers alone say. A text that is null or has no word scores 0 and is not kept, nor is any without a model. Ids may
     be null or repeat; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +201,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def kept(docs: DataFrame, model: tuple | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text the model keeps."""
+    small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
