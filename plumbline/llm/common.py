@@ -21,15 +21,17 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-#: Rows that go to and from a Python worker at once, where they carry whole texts.
-BATCH = 1_024
+#: Rows that go to and from a Python worker at once, where they carry whole texts, and bytes of them but for the last row.
+BATCH, BYTES = 1_024, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to ``BATCH`` rows, if they are larger: both sides of a worker hold whole batches, often twice."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
-        spark.conf.set(key, str(BATCH))
+    """Sets the session's Arrow batches to ``BATCH`` rows and ``BYTES`` bytes, if they are larger: both sides of a worker hold whole batches, often twice."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH:
+        spark.conf.set(rows, str(BATCH))
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) <= BYTES:
+        spark.conf.set(size, str(BYTES))
 
 
 def free(name: str, *frames: DataFrame) -> str:

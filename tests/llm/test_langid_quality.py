@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, quality
+from plumbline.llm import common, langid, quality
 from plumbline.llm.queries import op3_language, op6_quality
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -141,3 +142,25 @@ def test_odd_rows_of_quality(odd, none):
     assert quality.kept(odd, model).columns == odd.columns
     assert quality.train(none) is None and quality.classify(none).count() == 0
     assert quality.score(odd, None).where("keep").count() == 0
+
+
+def test_batches_are_bounded_in_rows_and_bytes(spark):
+    """Long texts make batches of fewer rows; settings that are smaller already stay."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("10000", "64m"), strict=True):
+            spark.conf.set(k, v)
+        common.small_batches(spark)
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"]) for b in batches)
+        long = spark.range(200, numPartitions=1).select(F.repeat(F.lit("abcdefghij"), 20_000).alias("t"))
+        got = long.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 200 and max(r.bytes for r in got) < common.BYTES + 300_000
+        assert max(r.n for r in spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long, bytes long").collect()) == common.BATCH
+        for k, v in zip(keys, ("100", "1m"), strict=True):
+            spark.conf.set(k, v)
+        common.small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["100", "1m"]
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
