@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, suffix, tokens, topk
+from plumbline.llm import decontaminate, langid, mixing, pii, quality, rules, secrets, simhash, suffix, tokens, topk
 from plumbline.llm.common import read
 from plumbline.llm.spans import joined
 from plumbline.llm.sql import SQL
@@ -82,6 +82,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), size=400)
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, whether it fails the two base rules, and whether it breaks none of the table's."""
+    r = F.col("rules")
+    measured = [r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    base = F.arrays_overlap(r["failed"], F.array(*[F.lit(x.name) for x in rules.BASE]))
+    found = rules.judged(read(spark, sf_dir, "documents", "doc_id", "text"), rules.RULES)
+    return found.select("doc_id", *measured, base.alias("base_failed"), r["kept"].alias("kept"), F.array_join(r["failed"], ",").alias("failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_repeats": op10_repeats,
+    "op11_rules": op11_rules,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.llm.rules import STOP_WORDS
+
 MIX = r"""WITH r AS (SELECT doc_id, coalesce(concat('1', source), '2') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), '?' || text, ''))) AS h FROM documents),
 s AS (SELECT CASE WHEN source IS NULL THEN '2' ELSE source END AS source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
 w AS (SELECT *, (row_number() OVER (ORDER BY source) - 1) % 3 + 1 AS w FROM s), n AS (SELECT *, 3 * source_size AS most, CAST(3 * source_size AS DOUBLE) / w AS need FROM w),
@@ -41,4 +43,14 @@ r AS (SELECT row, min(s) AS f, max(s) + 400 AS t FROM g GROUP BY row, run), q AS
 k AS (SELECT b.row, count(*) AS n_spans, CAST(sum(t - f) AS BIGINT) AS n_removed, concat(string_agg(substring(x, 2 * after + 1, 2 * (f - after)), '' ORDER BY f), substring(any_value(x), 2 * max(t) + 1)) AS kept FROM b JOIN q ON b.row = q.row GROUP BY b.row)
 SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM b LEFT JOIN k ON b.row = k.row"""
 
-SQL = {"op4_mix": MIX, "op7_topk": TOPK, "op9_decontaminate": DECONTAMINATE, "op10_repeats": REPEATS}
+_QUOTED = "'" + "', '".join(sorted(set(" ".join(STOP_WORDS.values()).split()))) + "'"
+RULES = rf"""WITH r AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+t AS (SELECT row, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS t FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM r WHERE len(w) >= 3)),
+a AS (SELECT row, i FROM t QUALIFY count(*) OVER (PARTITION BY row, t) > 1), c AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM a) GROUP BY row),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(text) - len(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()')) IN ({_QUOTED}))) AS n_stop, len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_plain, len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) AS n_broken FROM r LEFT JOIN c ON r.row = c.row),
+f AS (SELECT *, list_filter([CASE WHEN n_words < 50 THEN 'few_words' END, CASE WHEN n_repeat_words * 1000 > 500 * n_words THEN 'repeated_words' END, CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words) THEN 'word_length' END, CASE WHEN n_symbols * 1000 > 100 * n_words AND n_words > 0 THEN 'symbols' END,
+  CASE WHEN n_plain * 1000 > 300 * n_words THEN 'no_letters' END, CASE WHEN n_stop * 1000 < 10 * n_words THEN 'few_stop_words' END, CASE WHEN n_dup_lines * 1000 > 500 * n_lines THEN 'repeated_lines' END, CASE WHEN n_bullets * 1000 > 900 * n_lines THEN 'bullets' END, CASE WHEN n_broken * 1000 > 300 * n_lines THEN 'broken_off' END], lambda x: x IS NOT NULL) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, list_has_any(failed, ['few_words', 'repeated_words']) AS base_failed, len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed FROM f"""
+
+SQL = {"op4_mix": MIX, "op7_topk": TOPK, "op9_decontaminate": DECONTAMINATE, "op10_repeats": REPEATS, "op11_rules": RULES}

@@ -126,3 +126,16 @@ def op7(vectors: list[tuple], every: int = 20, k: int = 20) -> set:
         best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best[:k])}
     return out
+
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def op11(text: str | None) -> tuple:
+    text = text or ""
+    words, lines, seen = WORDS.findall(text), [x for x in text.split("\n") if WORDS.search(x)], set()
+    dup = sum(x in seen or seen.add(x) is not None for x in lines)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    repeat = len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)})
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, repeat, len(words) < 50 or 100 * repeat > 50 * len(words)
