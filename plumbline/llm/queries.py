@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, mixing, pii, quality, rules, secrets, simhash, suffix, tokens, topk
+from plumbline.llm import decontaminate, langid, mixing, pii, quality, rules, secrets, simhash, suffix, tokens, topk, variants
 from plumbline.llm.common import read
 from plumbline.llm.spans import joined
 from plumbline.llm.sql import SQL
@@ -91,6 +91,11 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *measured, base.alias("base_failed"), r["kept"].alias("kept"), F.array_join(r["failed"], ",").alias("failed"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling variants among the words of all documents, some of which lose a letter first."""
+    return variants.variants(read(spark, sf_dir, "documents", "doc_id", "text"), least=6, count=5, ratio=5, every=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_repeats": op10_repeats,
     "op11_rules": op11_rules,
+    "op12_variants": op12_variants,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -53,4 +53,19 @@ f AS (SELECT *, list_filter([CASE WHEN n_words < 50 THEN 'few_words' END, CASE W
   CASE WHEN n_plain * 1000 > 300 * n_words THEN 'no_letters' END, CASE WHEN n_stop * 1000 < 10 * n_words THEN 'few_stop_words' END, CASE WHEN n_dup_lines * 1000 > 500 * n_lines THEN 'repeated_lines' END, CASE WHEN n_bullets * 1000 > 900 * n_lines THEN 'bullets' END, CASE WHEN n_broken * 1000 > 300 * n_lines THEN 'broken_off' END], lambda x: x IS NOT NULL) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, list_has_any(failed, ['few_words', 'repeated_words']) AS base_failed, len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed FROM f"""
 
-SQL = {"op4_mix": MIX, "op7_topk": TOPK, "op9_decontaminate": DECONTAMINATE, "op10_repeats": REPEATS, "op11_rules": RULES}
+# CRC-32 is folded over the bytes of a run's UTF-8 form with a table of 256 entries that is made first.
+VARIANTS = r"""WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2),
+b AS (SELECT run, n, flatten(list_transform(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS bytes FROM k),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab.t[CAST((xor(c, x) & 255) + 1 AS INT)]))) AS h FROM b, tab),
+l AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substring(run, 1, CAST(h % len(run) AS INT)), substring(run, CAST(h % len(run) AS INT) + 2)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM l WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, i, concat(substring(word, 1, i - 1), substring(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+near AS (SELECT word, count(*) AS n_near, arg_min(other, row(-n, other)) AS other, max(n) AS most FROM p GROUP BY word),
+f AS (SELECT w.word, CASE WHEN most >= 5 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN most END AS form_n FROM w LEFT JOIN near ON w.word = near.word),
+g AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, g.root FROM f JOIN g ON f.form = g.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON f.word = g.word"""
+
+SQL = {"op4_mix": MIX, "op7_topk": TOPK, "op9_decontaminate": DECONTAMINATE, "op10_repeats": REPEATS, "op11_rules": RULES, "op12_variants": VARIANTS}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -139,3 +140,36 @@ def op11(text: str | None) -> tuple:
     often = Counter(windows)
     repeat = len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)})
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, repeat, len(words) < 50 or 100 * repeat > 50 * len(words)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one inserted, deleted or replaced character leads from a to b."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def grouped(counts: dict[str, int], ratio: int = 5) -> set[tuple]:
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, x in near.items():
+        best = min(x, key=lambda y: (-counts[y], y), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * counts[w] else None
+
+    def root(w: str) -> str:
+        return w if form[w] is None else root(form[w])
+
+    return {(w, form[w], root(w), n, len(near[w]), None if form[w] is None else counts[form[w]]) for w, n in counts.items()}
+
+
+def op12(docs: list[tuple], least: int = 6, count: int = 5, every: int = 199) -> set[tuple]:
+    seen: Counter = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            seen[run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run] += 1
+    return grouped({w: n for w, n in seen.items() if len(w) >= least and n >= count})
