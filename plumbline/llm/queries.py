@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, mixing, pii, quality, rules, secrets, simhash, suffix, tokens, topk, variants
+from plumbline.llm import decontaminate, interactions, langid, mixing, pii, quality, rules, secrets, simhash, suffix, tokens, topk, variants
 from plumbline.llm.common import read
 from plumbline.llm.spans import joined
 from plumbline.llm.sql import SQL
@@ -96,6 +96,12 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(read(spark, sf_dir, "documents", "doc_id", "text"), least=6, count=5, ratio=5, every=199)
 
 
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of every source, by order and step."""
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return interactions.audit(read(spark, sf_dir, "documents", "doc_id", "text", "source"), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
     "op11_rules": op11_rules,
     "op12_variants": op12_variants,
+    "op13_interactions": op13_interactions,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -68,4 +68,15 @@ f AS (SELECT w.word, CASE WHEN most >= 5 * n THEN other END AS form, n, coalesce
 g AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, g.root FROM f JOIN g ON f.form = g.word)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON f.word = g.word"""
 
-SQL = {"op4_mix": MIX, "op7_topk": TOPK, "op9_decontaminate": DECONTAMINATE, "op10_repeats": REPEATS, "op11_rules": RULES, "op12_variants": VARIANTS}
+INTERACTIONS = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, good, toxic, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * (len(d.text) - len(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * len(d.text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > first THEN 16 ELSE 0 END AS mask FROM d JOIN e ON d.text = e.text LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, CAST(1 << (ascii(filter_order[step]) - 65) AS INT) AS b, CAST(coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda y: CASE WHEN y = '' THEN 0 ELSE 1 << (ascii(y) - 65) END)), 0) AS INT) AS e FROM (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM o)),
+r AS (SELECT part, filter_order, step, b, CAST(coalesce(sum(n) FILTER (mask & (b | e) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & b > 0 AND mask & e = 0), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (mask & b > 0 AND mask & e > 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (mask = b), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (mask & b > 0 AND mask & e = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & b > 0 AND mask & e = 0), 0) AS BIGINT) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r"""
+
+SQL = {"op4_mix": MIX, "op7_topk": TOPK, "op9_decontaminate": DECONTAMINATE, "op10_repeats": REPEATS, "op11_rules": RULES, "op12_variants": VARIANTS, "op13_interactions": INTERACTIONS}

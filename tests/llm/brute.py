@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import xxhash
 
@@ -173,3 +174,28 @@ def op12(docs: list[tuple], least: int = 6, count: int = 5, every: int = 199) ->
             h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
             seen[run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run] += 1
     return grouped({w: n for w, n in seen.items() if len(w) >= least and n >= count})
+
+
+def op13(docs: list[tuple], labels: list[tuple]) -> set[tuple]:
+    """(id, text, source) and (id, quality, toxic), by going through every order document by document."""
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
+    first: dict = {}
+    for i, text, _ in docs:
+        if i is not None:
+            first[text or ""] = min(first.get(text or "", i), i)
+    parts = defaultdict(list)
+    for i, text, source in docs:
+        t = text or ""
+        w = WORDS.findall(t)
+        fails = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t), "D": any(c in "#$%&*|" for c in t), "E": i is not None and i > first[t]}
+        parts[source or ""].append((i, {f for f, x in fails.items() if x}))
+    out, sums = [], Counter()
+    for part, rows in parts.items():
+        for order in map("".join, permutations("ABCDE")):
+            left = rows
+            for k, f in enumerate(order):
+                gone = [x for x in left if f in x[1]]
+                left = [x for x in left if f not in x[1]]
+                sums[part, f] += len(gone)
+                out.append((part, order, k + 1, len(left), len(gone), sum(f in s and bool(s & set(order[:k])) for _, s in rows), sum(s == {f} for _, s in rows), sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone)))
+    return {(*x, sums[x[0], x[1][x[2] - 1]]) for x in out}
