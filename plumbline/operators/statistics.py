@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import histogram_bin, split_rank
+from plumbline.plans import selection
 
 FLAGS = ["low_resolution", "extreme_aspect", "blurry", "dark", "bright", "low_contrast"]
 BAD = ["corrupted", "unsupported", "zero_byte", "too_large"]
@@ -31,10 +32,17 @@ def histogram(rows: DataFrame, value: str, edges: list[float], labels: list[str]
     return F.broadcast(names).join(counts, "bin", "left").select("bin", "label", F.coalesce("count", F.lit(0)).alias("count"))  # a row for each label
 
 
+def summaries(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, n, min, max, mean to 3 places, exact median) for each of a few groups with values; a group of null is one too."""
+    return selection.described(rows, value, by).select(by, "n", "min", "max", F.round("mean", 3).alias("mean"), F.col("at").alias("median"))
+
+
 def describe(rows: DataFrame, value: str) -> DataFrame:
     """One row: n, min, max, mean to 3 places and the exact median; nulls if there is no value."""
-    x = F.col(value)
-    return rows.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 3).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"))
+    kind = dict(rows.dtypes)[value]
+    found = summaries(rows.select(F.lit(0).alias("g"), F.col(value).alias("v")), "v", "g").drop("g")
+    one = lambda c: F.max(c).cast(kind if c in ("min", "max") else "double").alias(c)
+    return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *map(one, ("min", "max", "mean", "median")))
 
 
 def totals(images: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -128,11 +136,13 @@ def channels(images: DataFrame) -> DataFrame:
 
 
 def described(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(measure, n, min, max, mean, median) of what valid images measure; see ``describe``."""
+    """(measure, n, min, max, mean, median) of what valid images measure, all measures at once; see ``describe``."""
     valid, labelled = _measured(images, boxes)
-    wanted = {"width": valid, "height": valid, "aspect_ratio": valid, "blur_score": valid, "brightness": valid, "contrast": valid, "boxes_per_image": labelled}
-    parts = [describe(df.withColumn(c, F.col(c).cast("double")), c).select(F.lit(c).alias("measure"), "*") for c, df in wanted.items()]
-    return reduce(DataFrame.unionByName, parts)
+    own = ["width", "height", "aspect_ratio", "blur_score", "brightness", "contrast"]
+    long = lambda df, names: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in names])).alias("m")).select("m.*")
+    found = summaries(long(valid, own).unionByName(long(labelled, ["boxes_per_image"])), "v", "measure")
+    names = images.sparkSession.createDataFrame([(c,) for c in [*own, "boxes_per_image"]], "measure string")
+    return F.broadcast(names).join(found, "measure", "left").select("measure", F.coalesce("n", F.lit(0)).alias("n"), "min", "max", "mean", "median")  # a row for each measure
 
 
 def counted(images: DataFrame, boxes: DataFrame, issues: DataFrame) -> DataFrame:
