@@ -1,24 +1,20 @@
 """Exact and near duplicates, and their leakage across splits.
 
-Near duplicates come from hashes in parts: the bits are dealt in turn to d + r parts, and two hashes that differ in at most
-d bits agree in r of these, so an equi-join on each choice of r parts finds every pair, however many there are. With
-more rows r grows, and with it the bits that meet, so that buckets stay small; none is left out. A pair that meets in
-several choices counts in its first one only, which needs no further shuffle. Content is made distinct first, and so are
-hashes.
+Near duplicates come from covering masks: two hashes that differ in at most 7 bits agree under one of 255 masks, so an
+equi-join by mask and masked hash finds every pair, at any size and with the same copies of a row. A pair that meets under
+several masks counts under its first one, which needs no further shuffle. Content is made distinct first, and so are hashes.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Duplicates
-from plumbline.functions.columns import hamming, split_rank
+from plumbline.functions.columns import split_rank
+from plumbline.plans import covering
 from plumbline.plans.components import connected_components
+from plumbline.plans.store import table
 
 PARTS = 8
 #: Members of a group whose ids are gathered to name it.
@@ -35,51 +31,26 @@ def _part(hash: Column, n: int) -> Column:
     return F.shiftrightunsigned(hash, 8 * n).bitwiseAND(F.lit(255))
 
 
-def choices(distance: int, rows: int, most: int = 5) -> list[tuple[int, tuple[int, ...]]]:
-    """(mask, parts) of each choice of r parts of d + r, with the least r by which a choice has as many bits as ``rows`` needs."""
-    r = next((r for r in range(1, most) if 64 * r / (distance + r) >= math.log2(max(2, rows))), most)
-    n = distance + r
-    part = [sum(1 << i for i in range(64) if i % n == p) for p in range(n)]
-    made = [(sum(part[p] for p in c), c) for c in combinations(range(n), r)]
-    return [(m - (1 << 64) if m >> 63 else m, c) for m, c in made]
-
-
-def similar_pairs(rows: DataFrame, hash: str, distance: int, key: str = "id", second: str | None = None, second_distance: int = 0, max_bucket: int | None = None) -> DataFrame:
+def similar_pairs(rows: DataFrame, hash: str, distance: int, key: str = "id", second: str | None = None, second_distance: int = 0) -> DataFrame:
     """(a, b, distance): pairs of rows, a before b by key, whose hashes differ in at most ``distance`` bits (7 or fewer).
 
-    With ``second`` the other hash has to be near too. Rows whose hash has a part of 8 bits that over ``max_bucket`` rows share
-    are not compared by that part if it is set; a pair still comes up if it meets elsewhere.
+    With ``second`` the other hash has to be near too. Null hashes take no part.
     """
     if not 0 <= distance < PARTS:
         raise ValueError("pairs are found up to distance 7 only")
     cols = [F.col(key).alias("k"), F.col(hash).alias("h")] + ([F.col(second).alias("s")] if second else [])
-    own = rows.where(F.col(hash).isNotNull()).select(*cols)
-    made = choices(distance, own.count())
-    n = distance + len(made[0][1])
-    tables = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.lit(m).alias("m")) for v, (m, _) in enumerate(made)])
-    cut = own.select("*", F.explode(tables).alias("t")).select("*", F.col("t.v").alias("v"), F.col("h").bitwiseAND(F.col("t.m")).alias("value")).drop("t")
+    cut = covering.masked(rows.where(F.col(hash).isNotNull()).select(*cols), "h", distance)
     a, b = cut.alias("a"), cut.alias("b")
     x = F.col("a.h").bitwiseXOR(F.col("b.h"))
-    pairs = a.join(b, ["v", "value"]).where((F.col("a.k") < F.col("b.k")) & (F.bit_count(x) <= distance))
+    near = (F.col("a.k") < F.col("b.k")) & (F.bit_count(x) <= distance)
     if second:
-        pairs = pairs.where(hamming(F.col("a.s"), F.col("b.s")) <= second_distance)
-    pairs = pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(x).alias("distance"), "v", x.alias("x"), F.col("a.h").alias("h"))
-    # The first choice of a pair is that of the first parts in which it agrees: no other part before its last agrees.
-    part = [sum(1 << i for i in range(64) if i % n == p) for p in range(n)]
-    agrees = [(F.col("x").bitwiseAND(F.lit(p - (1 << 64) if p >> 63 else p)) == 0).cast("int") for p in part]
-    last = F.element_at(F.array(*[F.lit(c[-1]) for _, c in made]), F.col("v").cast("int") + 1)
-    upto = sum((F.when(F.lit(p) <= last, one).otherwise(0) for p, one in enumerate(agrees)), F.lit(0))
-    pairs = pairs.where(upto == len(made[0][1]))
-    if max_bucket is not None:
-        crowded = skipped_buckets(rows, hash, max_bucket).groupBy("part").agg(F.collect_set("value").alias("values"))
-        full = {r.part: F.array(*[F.lit(v) for v in r["values"]]) for r in crowded.collect()}
-        meets = [(_part(F.col("x"), p) == 0) & (~F.array_contains(full[p], _part(F.col("h"), p).cast("smallint")) if p in full else F.lit(True)) for p in range(PARTS)]
-        pairs = pairs.where(reduce(Column.__or__, meets))
-    return pairs.select("a", "b", "distance")
+        near &= F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))) <= second_distance
+    pairs = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.value") == F.col("b.value")) & near)
+    return pairs.where(covering.first_meeting(x, distance) == F.col("a.v")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(x).alias("distance"))
 
 
 def skipped_buckets(rows: DataFrame, hash: str, max_bucket: int) -> DataFrame:
-    """(part, value, count) of the buckets with over ``max_bucket`` rows."""
+    """(part, value, count): the values that over ``max_bucket`` rows have in a part of 8 bits of their hash."""
     parts = F.array(*[F.struct(F.lit(n).cast("tinyint").alias("part"), _part(F.col(hash), n).cast("smallint").alias("value")) for n in range(PARTS)])
     return rows.where(F.col(hash).isNotNull()).select(F.explode(parts).alias("p")).groupBy("p.part", "p.value").count().where(F.col("count") > max_bucket)
 
@@ -160,17 +131,22 @@ def leakage_pairs(members: DataFrame, examples: int = 12) -> DataFrame:
 
     A group is exact for a pair if its two sides share any content.
     """
-    count = members.groupBy("group_id", "split").agg(F.countDistinct("id").alias("n"), split_rank(F.col("split")).alias("r"))
-    before = F.struct("a.r", "a.split") < F.struct("b.r", "b.split")
-    two = lambda df, on, *more: df.alias("a").join(df.alias("b"), on).where(before).select("group_id", F.col("a.split").alias("a"), F.col("b.split").alias("b"), *more)
-    # Contents are brought down to a row for each split that has them before sides meet.
-    content = members.select("group_id", "split", "sha256", split_rank(F.col("split")).alias("r")).distinct()
-    shared = two(content, ["group_id", "sha256"]).distinct().withColumn("exact", F.lit(True))
-    pairs = two(count, "group_id", F.col("a.n").alias("na"), F.col("b.n").alias("nb")).join(shared, ["group_id", "a", "b"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
-    groups = pairs.groupBy("a", "b").agg(F.count_if("exact").alias("exact_groups"), F.count_if(~F.col("exact")).alias("perceptual_groups"), F.count("*").alias("total_groups"), F.sum("na").cast("long").alias("images_a"), F.sum("nb").cast("long").alias("images_b"))
+    # An image has one content, so a split's images are those of its contents, and each list has a row for each split at most.
+    own = members.groupBy("group_id", "sha256", "split").agg(F.countDistinct("id").alias("n"), F.first(split_rank(F.col("split"))).alias("r"))
+    content = own.groupBy("group_id", "sha256").agg(F.array_sort(F.collect_list(F.struct("r", "split", "n"))).alias("splits"))
+    named = lambda **c: F.named_struct(*[x for k, v in c.items() for x in (F.lit(k), v)])
+    pair = lambda s, k: F.transform(F.slice(s, k + 2, 1 << 30), lambda y: named(a=F.get(s, k)["split"], b=y["split"], na=F.get(s, k)["n"], nb=y["n"]))
+    pairs_of = lambda s: F.flatten(F.transform(s, lambda _, k: pair(s, k)))
+    bare = lambda p: F.transform(p, lambda x: named(a=x["a"], b=x["b"]))
+    several = content.select("group_id", F.explode_outer("splits").alias("s"), bare(pairs_of(F.col("splits"))).alias("same"))
+    sides = several.groupBy("group_id", "s.split", "s.r").agg(F.sum("s.n").alias("n"), F.array_distinct(F.flatten(F.collect_set("same"))).alias("same"))
+    groups = sides.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("r", "split", "n"))).alias("splits"), F.array_distinct(F.flatten(F.collect_set("same"))).alias("same"))
+    pairs = groups.select("group_id", "same", F.explode(pairs_of(F.col("splits"))).alias("p")).select("group_id", "p.*", F.array_contains("same", F.struct("p.a", "p.b")).alias("exact"))
+    pairs = table(pairs, "leaks")
+    counts = pairs.groupBy("a", "b").agg(F.count_if("exact").alias("exact_groups"), F.count_if(~F.col("exact")).alias("perceptual_groups"), F.count("*").alias("total_groups"), F.sum("na").cast("long").alias("images_a"), F.sum("nb").cast("long").alias("images_b"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("group_id"))
     some = pairs.select("a", "b", "group_id").withColumn("n", rank).where(F.col("n") <= examples).groupBy("a", "b").agg(F.array_sort(F.collect_list("group_id")).alias("examples"))
-    return groups.join(some, ["a", "b"])
+    return counts.join(some, ["a", "b"])
 
 
 def tags(images: DataFrame, members: DataFrame, boxes: DataFrame, cfg) -> DataFrame:

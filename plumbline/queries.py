@@ -21,6 +21,7 @@ from plumbline.operators import gate as ga
 from plumbline.operators import health as he
 from plumbline.operators import pages as pg
 from plumbline.operators import statistics as st
+from plumbline.plans.store import table
 
 SPLIT = "CASE WHEN doc_id % 5 = 3 THEN 'val' WHEN doc_id % 5 = 4 THEN 'test' ELSE 'train' END"
 # A document as an image: sizes and measures are made of its numbers.
@@ -69,18 +70,20 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, BOXES, lines=LINES)
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of which there are copies; a group is a content."""
-    own = images(spark, sf_dir).where("status = 'ok'").select("id", "path", "split", "sha256")
+def copies(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, groups), written once, of images of which there are copies; a group is a content."""
+    own = images.where("status = 'ok'").select("id", "path", "split", "sha256")
     many = own.groupBy("sha256").count().where("count > 1").select("sha256")
-    rows = own.join(many, "sha256").withColumn("root", F.col("sha256"))
-    return du.with_groups(rows)[0]
+    found, groups = du.with_groups(table(own.join(many, "sha256").withColumn("root", F.col("sha256")), "copies"))
+    return table(found, "members"), table(groups, "groups")
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(images(spark, sf_dir))[0]
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = images(spark, sf_dir).where("status = 'ok'").select("id", "path", "split", "sha256")
-    many = own.groupBy("sha256").count().where("count > 1").select("sha256")
-    return du.with_groups(own.join(many, "sha256").withColumn("root", F.col("sha256")))[1]
+    return copies(images(spark, sf_dir))[1]
 
 
 CLASSES = [(n, f"kind_{n}") for n in range(10)]
@@ -140,7 +143,7 @@ def duplicate_members_ranked(spark, d):
 SELECT count(*) AS groups, count(*) AS exact, 0::BIGINT AS perceptual, count(*) FILTER (n_splits = 1) AS within_split, count(*) FILTER (n_splits > 1) AS cross_split, CAST(sum(size) AS BIGINT) AS images_in_groups, (SELECT CAST(sum(n) AS BIGINT) FROM r) AS redundant_within_split FROM g""")
 def duplicate_summary(spark, d):
     """Counts of duplicate groups."""
-    return du.summary(members(spark, d), groups(spark, d))
+    return du.summary(*copies(images(spark, d)))
 
 
 @query(f"WITH {Q_MEMBERS} SELECT split, CAST(sum(n) AS BIGINT) AS redundant FROM (SELECT group_id, split, count(*) - 1 AS n FROM members GROUP BY 1, 2) GROUP BY split")
@@ -161,7 +164,8 @@ def leakage_pairs(spark, d):
 SELECT l.n AS leaked_images, e.n AS eval_images, CAST(l.n AS DOUBLE) / e.n AS leakage_rate, applicable FROM l, e""")
 def leakage_totals(spark, d):
     """How many images of val and test have a copy in an earlier split."""
-    return du.leakage_totals(images(spark, d), members(spark, d))
+    own = table(images(spark, d), "images")
+    return du.leakage_totals(own, copies(own)[0])
 
 
 @query(f"WITH {Q_MEMBERS} SELECT id, path, split, group_id FROM members WHERE {RANK('split')} <> first_rank")
@@ -207,9 +211,9 @@ SELECT f.id, array_to_string(list_concat(CASE WHEN status <> 'ok' THEN [status]
   CASE WHEN m.id IS NOT NULL THEN ['exact_duplicate'] ELSE [] END, CASE WHEN m.cross_split = 1 THEN ['cross_split_leak'] ELSE [] END), ';') AS tags FROM flagged f LEFT JOIN m ON f.id = m.id LEFT JOIN b ON f.id = b.id""")
 def tag_assignment(spark, d):
     """The tags of every image."""
-    own = images(spark, d)
+    own = table(images(spark, d), "images")
     big = _view(spark, d, "SELECT image_id, w * h AS area FROM lines WHERE w * h > 0.95e0", lines=LINES).join(own.select("doc_id", "id"), F.col("image_id") == F.col("doc_id")).select(F.col("id").alias("image_id"), F.array(F.lit("large")).alias("flags"))
-    return du.tags(own, members(spark, d), big, Config()).select("id", F.array_join("tags", ";").alias("tags"))
+    return du.tags(own, copies(own)[0], big, Config()).select("id", F.array_join("tags", ";").alias("tags"))
 
 
 def _validated(spark, d, images: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -367,6 +371,14 @@ def describe_numeric(spark, d):
     return st.describe(spark.read.parquet(f"{d}/documents.parquet"), "n_chars")
 
 
+@query("SELECT lang AS grp, count(n_chars) AS n, CAST(min(n_chars) AS DOUBLE) AS min, CAST(max(n_chars) AS DOUBLE) AS max, round(CAST(CAST(sum(n_chars) AS BIGINT) AS DOUBLE) / count(n_chars), 3) AS mean, median(n_chars) AS median FROM documents GROUP BY 1 UNION ALL SELECT 'odd', count(*), min(l_extendedprice), max(l_extendedprice), round(avg(l_extendedprice), 3), median(l_extendedprice) FROM lineitem WHERE l_orderkey <> 1 OR l_linenumber > 1 UNION ALL SELECT 'even', count(*), 0, 3, round(CAST(sum(l_orderkey % 4) AS DOUBLE) / count(*), 3), median(l_orderkey % 4) FROM lineitem")
+def describe_groups(spark, d):
+    """Summaries with exact medians of groups of even and odd sizes, and of a few values that all rows share."""
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "lineitem"))
+    rows = [docs.select(F.col("lang").alias("grp"), F.col("n_chars").cast("double").alias("v")), items.where("l_orderkey <> 1 or l_linenumber > 1").select(F.lit("odd").alias("grp"), F.col("l_extendedprice").cast("double").alias("v")), items.select(F.lit("even").alias("grp"), (F.col("l_orderkey") % 4).cast("double").alias("v"))]
+    return st.summaries(rows[0].unionByName(rows[1]).unionByName(rows[2]), "v", "grp")
+
+
 @query(f"WITH {Q_IMAGES} SELECT concat(width, 'x', height) AS resolution, count(*) AS count FROM images WHERE status = 'ok' AND width IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, min(path) LIMIT 12")
 def top_resolutions(spark, d):
     """The 12 most frequent sizes: a top-k report."""
@@ -435,9 +447,20 @@ def flag_counts(spark, d):
     return st.flag_counts(images(spark, d))
 
 
-def _components(spark, d) -> DataFrame:
-    own = images(spark, d)
-    return he.components(he.rates(own, members(spark, d)), st.balance(st.by_class(boxes(spark, d), declared(spark))))
+class _Audited:
+    """Images, their copies, boxes and classes, each written once and read by all that follows."""
+
+    def __init__(self, spark, d) -> None:
+        self.images, self.boxes = table(images(spark, d), "images"), table(boxes(spark, d), "boxes")
+        self.members, self.groups = copies(self.images)
+        self.classes = table(st.by_class(self.boxes, declared(spark)), "classes")
+
+    def components(self) -> DataFrame:
+        return he.components(he.rates(self.images, self.members), st.balance(self.classes))
+
+    def findings(self, issues: DataFrame) -> DataFrame:
+        log = issues.where(~F.col("code").isin("missing_label_file", "empty_label_file"))
+        return fi.build(self.images, log, self.members, self.groups, self.boxes, self.classes)
 
 
 _RATES = f"""WITH {Q_MEMBERS}{Q_FLAGGED}, {_CLASSES}, v AS (SELECT CAST(count(*) AS DOUBLE) AS n_all, CAST(count(*) FILTER (status = 'ok') AS DOUBLE) AS n, CAST(count(*) FILTER (status <> 'ok') AS DOUBLE) AS bad, CAST(CAST(sum(invalid_lines) AS BIGINT) AS DOUBLE) AS il, CAST(CAST(sum(total_lines) AS BIGINT) AS DOUBLE) AS tl,
@@ -453,13 +476,13 @@ s AS (SELECT *, 100 * (1 - least(1e0, CASE WHEN key = 'class_balance' THEN ln(me
 @query(f"{_RATES} SELECT place, key, metric, weight, zero_at, metric IS NOT NULL AS applicable, weight / 100e0 AS effective_weight, CAST(floor(score * 1000) AS BIGINT) AS score_milli FROM s")
 def health_components(spark, d):
     """The eight components of the health score."""
-    return _components(spark, d).select("place", "key", "metric", "weight", "zero_at", "applicable", "effective_weight", F.floor(F.col("score") * 1000).alias("score_milli"))
+    return _Audited(spark, d).components().select("place", "key", "metric", "weight", "zero_at", "applicable", "effective_weight", F.floor(F.col("score") * 1000).alias("score_milli"))
 
 
 @query(f"{_RATES} SELECT round(sum(weight * round(score, 2)) / 100, 1) AS overall, CASE WHEN round(sum(weight * round(score, 2)) / 100, 1) >= 90 THEN 'A' WHEN round(sum(weight * round(score, 2)) / 100, 1) >= 80 THEN 'B' WHEN round(sum(weight * round(score, 2)) / 100, 1) >= 70 THEN 'C' WHEN round(sum(weight * round(score, 2)) / 100, 1) >= 60 THEN 'D' ELSE 'F' END AS grade FROM s")
 def health_overall(spark, d):
     """The health score and its grade."""
-    return he.overall(_components(spark, d))
+    return he.overall(_Audited(spark, d).components())
 
 
 def _issues(spark, d) -> DataFrame:
@@ -470,13 +493,6 @@ def _issues(spark, d) -> DataFrame:
     return own.select("*", image_id(F.col("image_path")).alias("image_id"), F.regexp_replace("image_path", "documents", "labels").alias("label_path"), an.level(F.col("code")).alias("level"))
 
 
-def _findings(spark, d) -> DataFrame:
-    own = images(spark, d)
-    m, b = members(spark, d), boxes(spark, d)
-    log = _issues(spark, d).where(~F.col("code").isin("missing_label_file", "empty_label_file"))
-    return fi.build(own, log, m, groups(spark, d), b, st.by_class(b, declared(spark)))
-
-
 _CODES = ", ".join(f"({n}, '{c}')" for n, c in enumerate(an.LEVELS))
 _HIGH = ", ".join(f"'{c}'" for c in fi.ERRORS_HIGH)
 Q_FINDINGS = f"""{_RATES}, codes(k, code) AS (VALUES {_CODES}), f AS (
@@ -493,15 +509,16 @@ Q_FINDINGS = f"""{_RATES}, codes(k, code) AS (VALUES {_CODES}), f AS (
 @query(f"{Q_FINDINGS} SELECT id, severity, affected_count FROM f")
 def findings_rules(spark, d):
     """The findings of all rules."""
-    return _findings(spark, d).select("id", "severity", "affected_count")
+    return _Audited(spark, d).findings(_issues(spark, d)).select("id", "severity", "affected_count")
 
 
 @query(f"""{Q_FINDINGS} SELECT 'fail_on' AS rule, id AS subject, CAST(affected_count AS DOUBLE) AS value FROM f WHERE severity IN ('critical', 'high')
 UNION ALL SELECT 'max_corrupt_rate', key, round(metric, 6) FROM s WHERE key = 'integrity' AND round(metric, 6) > 0.01 UNION ALL SELECT 'max_leakage_rate', key, round(metric, 6) FROM s WHERE key = 'leakage' AND round(metric, 6) > 0.02""")
 def ci_gate(spark, d):
     """What makes the audit fail."""
-    c = _components(spark, d)
-    return ga.failures(c, he.overall(c), _findings(spark, d), Gate(fail_on="high", max_corrupt_rate=0.01, max_leakage_rate=0.02)).select("rule", "subject", "value")
+    a = _Audited(spark, d)
+    c = table(a.components(), "components")
+    return ga.failures(c, he.overall(c), a.findings(_issues(spark, d)), Gate(fail_on="high", max_corrupt_rate=0.01, max_leakage_rate=0.02)).select("rule", "subject", "value")
 
 
 @query(f"WITH {Q_IMAGES} SELECT id, path, width, blur_score FROM images WHERE split = 'train' AND contains(lower(path), 'src1') AND width >= 100 ORDER BY blur_score DESC NULLS FIRST, path DESC LIMIT 20 OFFSET 20")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config, Duplicates
 from plumbline.operators import duplicates as du
+from plumbline.plans import covering
 
 
 @pytest.mark.parametrize("distance", [0, 3, 7])
@@ -24,14 +25,25 @@ def test_pairs_are_those_of_all_comparisons(spark, distance):
     want = {(a, b, ((x ^ y) & mask).bit_count()) for a, x in hashes for b, y in hashes if a < b and ((x ^ y) & mask).bit_count() <= distance}
     rows = [tuple(r) for r in du.similar_pairs(df, "h", distance).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-    assert {tuple(r) for r in du.similar_pairs(df, "h", distance, max_bucket=10_000).collect()} == want
 
 
-@pytest.mark.parametrize(("distance", "rows", "parts"), [(0, 10**9, 1), (7, 2, 1), (7, 15_000, 2), (7, 10**6, 4), (7, 10**12, 5), (6, 10**6, 3)])
-def test_choices_of_parts_have_the_bits_that_rows_need(distance, rows, parts):
-    made = du.choices(distance, rows)
-    assert {len(c) for _, c in made} == {parts} and len({c for _, c in made}) == len(made)
-    assert all((m & ((1 << 64) - 1)).bit_count() >= 64 * parts // (distance + parts) - parts for m, _ in made)
+@pytest.mark.parametrize("radius", [0, 1, 4, 5, 6, 7])
+def test_masks_cover_every_choice_of_bits(radius):
+    """However the bits that differ lie, some mask keeps none of them; and every mask keeps about half the bits."""
+    made, r = [m & ((1 << 64) - 1) for m in covering.masks(radius)], random.Random(radius)
+    assert len(made) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in made) >= (28 if radius > 3 else 1)
+    for _ in range(3000):
+        x = sum(1 << b for b in r.sample(range(64), radius))
+        assert any(not x & m for m in made)
+
+
+def test_rows_are_copied_alike_at_every_size(spark):
+    df = spark.createDataFrame([("a", 5, 1), ("b", 6, 1), ("c", None, 1)], "id string, h long, s long")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    pairs = du.similar_pairs(df, "h", 7, second="s")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b", 2)]
+    assert covering.masked(df.where("h is not null"), "h", 7).count() == 2 * 255
 
 
 def test_a_crowded_part_loses_no_pair(spark):
