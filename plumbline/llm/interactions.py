@@ -6,7 +6,7 @@ set in each part, in 32 conditional counts, and as many of the good and the toxi
 are sums over those counts: the documents are never looked at again.
 
 Totals and distinct words come from a relational pipeline: words are exploded, counted by (document, word), and these
-counts by document. So a document of any length is spread over all tasks, and no list of its words is held after that.
+counts by document.
 """
 
 from __future__ import annotations
@@ -27,12 +27,15 @@ WORDS, DISTINCT, CAPITALS, MARKS = 50, 65, 5, "#$%&*|"
 def word_counts(rows: DataFrame) -> DataFrame:
     """(id, h, n_words, n_distinct) of rows (id, h, text) that have words; rows of one id and h are copies of one text.
 
-    Each row adds an empty string to its words, which no word is, and which so counts the copies.
+    Texts are dealt once, copies of a scanned part apart from those of others, so that both counts are made where a text is
+    and none of its words moves. Each row adds an empty string to its words, which no word is, and so counts the copies.
     """
-    words = rows.select("id", "h", F.explode(F.concat(F.array_remove(F.split("text", SPACE), ""), F.array(F.lit("")))).alias("word"))
-    each = words.groupBy("id", "h", "word").agg(F.count("*").alias("n"))
+    dealt = rows.select("id", "h", "text", F.spark_partition_id().alias("part")).repartition("id", "h", "part")
+    words = dealt.select("id", "h", "part", F.explode(F.concat(F.array_remove(F.split("text", SPACE), ""), F.array(F.lit("")))).alias("word"))
+    each = words.groupBy("id", "h", "part", "word").agg(F.count("*").alias("n"))
     own = F.col("word") != ""
-    return each.groupBy("id", "h").agg(F.try_divide(F.sum(F.when(own, F.col("n"))), F.sum(F.when(~own, F.col("n")))).cast("long").alias("n_words"), F.count_if(own).alias("n_distinct"))
+    counts = each.groupBy("id", "h", "part").agg(F.try_divide(F.sum(F.when(own, F.col("n"))), F.sum(F.when(~own, F.col("n")))).cast("long").alias("n_words"), F.count_if(own).alias("n_distinct"))
+    return counts.groupBy("id", "h").agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
