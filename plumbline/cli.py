@@ -37,8 +37,17 @@ def summary(audit: Audit) -> str:
 
 def _audit(args: argparse.Namespace, mode: str) -> Audit:
     own = args.config or find_config(args.dir)
-    tell = None if args.quiet else lambda stage, n, of: print(f"{n}/{of} {stage}", file=sys.stderr)
-    return AuditSession(spark_session(), load_config(own), f"file://{home() / 'cache'}").run(args.dir, mode, tell)
+    now = [""]
+
+    def tell(stage: str, n: int, of: int) -> None:
+        now[0] = f"{n}/{of} {stage}"
+        print(f"\r\033[K{now[0]}", file=sys.stderr)
+
+    def count(done: int, of: int) -> None:
+        print(f"\r\033[K{now[0]} {done}/{of} tasks", end="", file=sys.stderr, flush=True)
+
+    shown = {} if args.quiet else {"progress": tell} | ({"tasks": count} if sys.stderr.isatty() else {})
+    return AuditSession(spark_session(), load_config(own), f"file://{home() / 'cache'}").run(args.dir, mode, **shown)
 
 
 def _scan(args: argparse.Namespace) -> int:

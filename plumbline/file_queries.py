@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.config import Config
 from plumbline.operators import findings as fi
 from plumbline.operators import statistics as st
+from plumbline.plans.keyed import KeyedStore
 from plumbline.plans.store import shared_dir
 from plumbline.queries import Q_BOXES, Q_IMAGES, Q_MEMBERS, boxes, groups, images, members, query
 from plumbline.session import Audit, AuditSession
@@ -151,10 +152,10 @@ def file_stored(spark, d):
 def file_cache(spark, d):
     """Files measured twice with a cache: what it knew the second time, and what came out otherwise."""
     root, cache, cfg = Path(audit(spark, d).meta["root"]), f"file://{_place(spark, 'cache')}/measured", Config()
-    files, _, _ = yolo.discover(root).frames(spark)
-    once = im.cached(spark, root, files, cache, cfg)
-    known = spark.read.parquet(cache).select("path").distinct().withColumn("known", F.lit(True))
-    again = im.cached(spark, root, files, cache, cfg).select("path", "status", F.col("sha256").alias("sha"), F.col("brightness").alias("b"))
+    layout = yolo.discover(spark, root)
+    once = im.cached(layout.folder, layout.files, cache, cfg)
+    known = KeyedStore(spark, cache, ["folder", "path", "params"]).read().select("path").distinct().withColumn("known", F.lit(True))
+    again = im.cached(layout.folder, layout.files, cache, cfg).select("path", "status", F.col("sha256").alias("sha"), F.col("brightness").alias("b"))
     both = once.select("path", F.col("status").alias("s"), "sha256", "brightness").join(again, "path").join(known, "path", "left")
     differ = ~(F.col("s").eqNullSafe(F.col("status")) & F.col("sha").eqNullSafe(F.col("sha256")) & F.col("b").eqNullSafe(F.col("brightness")))
     return both.groupBy("status").agg(F.count("*").alias("files"), F.count("known").alias("known"), F.count_if(differ).alias("differ"))

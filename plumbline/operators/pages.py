@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import SEVERITIES
 from plumbline.errors import ConfigError
+from plumbline.plans.ranks import numbered
+from plumbline.plans.store import drop, note, shared_dir
 
 SORTS = {"path": "path", "size": "file_size", "width": "width", "height": "height", "blur": "blur_score", "brightness": "brightness", "annotations": "n_boxes"}
 MOST, MOST_GROUPS = 200, 100
+#: Rows of a stored order that stand in one range; rows up to which pages are cut from the front of a sort instead.
+RANGE, FRONT = 100_000, 1_000
 
 
 @dataclass
@@ -57,18 +62,62 @@ def images(rows: DataFrame, f: ImageFilter, boxes: DataFrame | None = None) -> D
     return rows.join(f.ids, "id", "left_semi") if f.ids is not None else rows
 
 
-def ordered(rows: DataFrame, sort: str = "path", descending: bool = False) -> DataFrame:
+def order_of(sort: str = "path", descending: bool = False) -> list[Column]:
     """By a key and then by path; descending turns both round, and nulls are last going up and first going down."""
     if sort not in SORTS:
         raise ConfigError(f"sort must be one of {', '.join(SORTS)}")
     key = F.col(SORTS[sort])
-    return rows.orderBy(key.desc_nulls_first(), F.desc("path")) if descending else rows.orderBy(key.asc_nulls_last(), "path")
+    return [key.desc_nulls_first(), F.desc("path")] if descending else [key.asc_nulls_last(), F.asc("path")]
 
 
-def page(rows: DataFrame, number: int = 1, size: int = 50, most: int = MOST) -> DataFrame:
-    """The rows of a page; its number is 1 or more and its size from 1 to ``most``, or else is made so."""
+def ordered(rows: DataFrame, sort: str = "path", descending: bool = False) -> DataFrame:
+    """Rows in the order of ``order_of``."""
+    return rows.orderBy(*order_of(sort, descending))
+
+
+def _bounds(number: int, size: int, most: int) -> tuple[int, int]:
+    """The first and the last place of a page, from 1; its number is 1 or more and its size from 1 to ``most``, or else is made so."""
     size = max(1, min(most, size))
-    return rows.offset((max(1, number) - 1) * size).limit(size)
+    last = max(1, number) * size
+    return last - size + 1, last
+
+
+def page(rows: DataFrame, number: int = 1, size: int = 50, most: int = MOST) -> DataFrame:
+    """The rows of a page near the front. All rows up to its last go through one task; ``Stored`` has pages of any depth."""
+    first, last = _bounds(number, size, most)
+    return rows.offset(first - 1).limit(last - first + 1)
+
+
+class Stored:
+    """Rows in an order that is made once and written in ranges of places, of which a page reads one or two.
+
+    ``total`` is how many there are. Rows that the order doesn't tell apart keep the places they got when it was made.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[Column], per: int = RANGE) -> None:
+        self.spark, self.schema, self.per = rows.sparkSession, rows.schema, per
+        place = F.col("place__")
+        dealt = numbered(rows, "place__", *order).withColumn("range__", F.expr(f"(place__ - 1) div {per}"))
+        self.path = f"{shared_dir(self.spark)}/plumbline/order-{uuid.uuid4().hex}"
+        note(self.path)
+        dealt.sortWithinPartitions("range__", "place__").write.partitionBy("range__").parquet(self.path)
+        self._with_place = dealt.drop("range__").schema
+        self.total = self._read([]).agg(F.coalesce(F.max(place), F.lit(0))).first()[0]
+
+    def _read(self, ranges: list[int]) -> DataFrame:
+        return self.spark.read.schema(self._with_place).parquet(*[f"{self.path}/range__={r}" for r in ranges] or [self.path])
+
+    def page(self, number: int = 1, size: int = 50, most: int = MOST) -> DataFrame:
+        """The rows of a page, in order; none beyond the end."""
+        first, last = _bounds(number, size, most)
+        last = min(last, self.total)
+        if first > last:
+            return self.spark.createDataFrame([], self.schema)
+        own = self._read(list(range((first - 1) // self.per, (last - 1) // self.per + 1)))
+        return own.where(F.col("place__").between(first, last)).orderBy("place__").drop("place__")
+
+    def drop(self) -> None:
+        drop(self.spark, self.path)
 
 
 def issues(rows: DataFrame, code: str | None = None, level: str | None = None, split: str | None = None, q: str | None = None) -> DataFrame:

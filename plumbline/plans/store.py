@@ -37,12 +37,17 @@ def _filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def note(path: str) -> None:
+    """Puts a path on the list of the innermost open ``scope`` of this thread."""
+    if open_ := getattr(_scopes, "open", None):
+        open_[-1].append(path)
+
+
 def materialize(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder; returns the table read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    if open_ := getattr(_scopes, "open", None):
-        open_[-1].append(path)
+    note(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

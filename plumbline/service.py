@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import find_config, load_config
@@ -22,7 +22,8 @@ from plumbline.sinks.store import AuditStore
 from plumbline.sinks.thumbnails import thumbnail
 from plumbline.sources.paths import dataset_path, extract, remove_tree
 
-LOADED = 3
+#: Audits that stay loaded, and orders that stay stored.
+LOADED, ORDERS = 3, 8
 
 
 @dataclass
@@ -35,6 +36,8 @@ class Job:
     stage: str = ""
     done: int = 0
     total: int = 0
+    tasks_done: int = 0
+    tasks_total: int = 0
     error: str | None = None
     audit_id: str | None = None
     created_at: str = field(default_factory=lambda: datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"))
@@ -42,7 +45,9 @@ class Job:
 
     @property
     def progress(self) -> float:
-        return 1.0 if self.status == "done" else self.done / self.total if self.total else 0.0
+        """From 0 to 1: stages that are done, and of the one that runs the share of its tasks just now."""
+        within = self.tasks_done / self.tasks_total if self.tasks_total else 0.0
+        return 1.0 if self.status == "done" else (self.done + within) / self.total if self.total else 0.0
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -59,6 +64,7 @@ class AuditService:
         self._jobs: dict[str, Job] = {}
         self._cancelled: set[str] = set()
         self._loaded: OrderedDict[str, Audit] = OrderedDict()
+        self._orders: OrderedDict[tuple, pg.Stored] = OrderedDict()
         self._lock, self._pool = threading.Lock(), ThreadPoolExecutor(1)
 
     # Jobs.
@@ -82,12 +88,15 @@ class AuditService:
 
     def _work(self, job: Job, root: Path, config: dict | None) -> None:
         def tell(stage: str, n: int, of: int) -> None:
-            job.stage, job.done, job.total = stage, n - 1, of
+            job.stage, job.done, job.total, job.tasks_done, job.tasks_total = stage, n - 1, of, 0, 0
+
+        def count(done: int, of: int) -> None:
+            job.tasks_done, job.tasks_total = done, of
 
         try:
             job.status = "running"
             session = AuditSession(self.spark, load_config(find_config(root), config), f"file://{(self.home / 'cache').resolve()}")
-            audit = session.run(root, job.mode, tell, lambda: job.id in self._cancelled)
+            audit = session.run(root, job.mode, tell, lambda: job.id in self._cancelled, count)
             audit.meta["source"] = job.source
             self.store.save(audit)
             job.status, job.audit_id = "done", audit.id
@@ -139,6 +148,9 @@ class AuditService:
         """Deletes an audit, its previews, and what was unpacked for it; never a dataset in its own place."""
         meta = self.store.load(id).meta
         self._loaded.pop(id, None)
+        with self._lock:
+            for key in [k for k in self._orders if k[0] == id]:
+                self._orders.pop(key).drop()
         self.store.delete(id)
         remove_tree(self.home / "thumbnails" / id, self.home / "thumbnails")
         if meta.get("source") == "upload":
@@ -160,10 +172,23 @@ class AuditService:
                 raise NotFound(f"no finding {finding!r}")
             f.ids = own.select(F.explode("ids").alias("id")).distinct()
         found = pg.images(a["images"], f, a["boxes"])
-        tags = [r.tag for r in a["images"].select(F.explode("tags").alias("tag")).distinct().orderBy("tag").limit(100).collect()]
-        shown = pg.page(pg.ordered(found, sort, order == "desc"), page, size)
+        tags = [r.tag for r in a["images"].select(F.explode("tags").alias("tag")).distinct().orderBy("tag").collect()]  # of a fixed list of names
+        shown, total = self._page((id, repr(f), finding, sort, order), found, pg.order_of(sort, order == "desc"), page, size)
         items = rows(shown.select("id", "path", "split", "status", "width", "height", "file_size", F.round("blur_score", 2).alias("blur_score"), F.round("brightness", 2).alias("brightness"), "n_boxes", "tags", (F.col("status") == "ok").alias("has_preview")))
-        return {"total": found.count(), "page": max(1, page), "items": items, "available_tags": tags}
+        return {"total": total, "page": max(1, page), "items": items, "available_tags": tags}
+
+    def _page(self, key: tuple, found: DataFrame, order: list[Column], page: int, size: int, most: int = pg.MOST) -> tuple[DataFrame, int]:
+        """A page of rows in an order, and how many there are. Pages beyond the front are read from an order that is stored once."""
+        with self._lock:
+            own = self._orders.get(key)
+            if own is None and max(1, page) * max(1, min(most, size)) > pg.FRONT:
+                own = self._orders[key] = pg.Stored(found, order)
+                while len(self._orders) > ORDERS:
+                    self._orders.popitem(last=False)[1].drop()
+            if own is not None:
+                self._orders.move_to_end(key)
+                return own.page(page, size, most), own.total
+        return pg.page(found.orderBy(*order), page, size, most), found.count()
 
     def image(self, id: str, image_id: str) -> dict:
         a = self.load(id)
@@ -182,7 +207,8 @@ class AuditService:
 
     def issues_page(self, id: str, page: int = 1, size: int = 50, **f) -> dict:
         found = pg.issues(self.load(id)["issues"], **f)
-        return {"total": found.count(), "items": rows(pg.page(found.orderBy("seq"), page, size))}
+        shown, total = self._page((id, "issues", repr(sorted(f.items()))), found, [F.asc("seq")], page, size)
+        return {"total": total, "items": rows(shown)}
 
     def duplicates_page(self, id: str, page: int = 1, size: int = 20, **f) -> dict:
         a = self.load(id)

@@ -20,7 +20,8 @@ from plumbline.operators import duplicates as du
 from plumbline.operators import findings as fi
 from plumbline.operators import health as he
 from plumbline.operators import statistics as st
-from plumbline.plans.store import table
+from plumbline.plans.jobs import watched
+from plumbline.plans.store import scope, table
 from plumbline.sources import images as im
 from plumbline.sources import yolo
 from plumbline.sources.paths import dataset_path
@@ -58,11 +59,19 @@ class AuditSession:
     def __init__(self, spark: SparkSession, config: Config | None = None, cache: str | None = None) -> None:
         self.spark, self.config, self.cache = spark, (config or Config()).check(), cache
 
-    def run(self, root: str | Path, mode: str = "scan", progress: Callable[[str, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> Audit:
+    def run(self, root: str | Path, mode: str = "scan", progress: Callable[[str, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None, tasks: Callable[[int, int], None] | None = None) -> Audit:
         """Audits a folder. ``validate`` reads no pixels and looks for no duplicates, and says nothing about either.
 
-        progress is called with each stage's name, number and how many there are; cancelled is asked before each.
+        progress is called with each stage's name, number and how many there are, tasks with how many of the tasks that
+        Spark runs just now are done, and of how many. Once cancelled says so, also while a stage runs, running jobs are
+        stopped and the audit ends with ``Cancelled``. What an audit that fails has written on its way is deleted.
         """
+        with watched(self.spark, cancelled, tasks), scope(self.spark) as written:
+            audit = self._run(root, mode, progress, cancelled)
+            written.clear()
+            return audit
+
+    def _run(self, root: str | Path, mode: str, progress: Callable[[str, int, int], None] | None, cancelled: Callable[[], bool] | None) -> Audit:
         began, cfg, spark = time.monotonic(), self.config, self.spark
         full = mode == "scan"
 
@@ -73,18 +82,19 @@ class AuditSession:
                 progress(name, STAGES.index(name) + 1, len(STAGES))
 
         stage("discover")
-        layout = yolo.discover(dataset_path(str(root)))
-        files, labels, declared = layout.frames(spark)
+        layout = yolo.discover(spark, dataset_path(str(root)))
+        labels, declared = layout.labels, layout.declared()
         stage("images")
-        measured = table(im.described(im.cached(spark, layout.root, files, self.cache, cfg, full), cfg), "images")
+        measured = table(im.described(im.cached(layout.folder, layout.files, self.cache, cfg, full), cfg), "images")
         stage("annotations")
-        texts = yolo.label_texts(spark, layout.root, labels, cfg.annotations.max_label_bytes)
-        has_labels = bool(layout.labels)
+        texts = yolo.label_texts(layout.folder, labels, cfg.annotations.max_label_bytes)
+        has_labels = not labels.isEmpty()
         states, boxes, issues = an.validate(measured.select("id", "path", "split", "label_path"), texts, len(layout.classes), cfg.annotations)
         if not has_labels:
             states, issues = states.withColumn("label_status", F.lit("n/a")), issues.where("false")
         boxes, issues = table(boxes, "boxes"), table(an.numbered(issues), "issues")
         images = measured.join(states, "id").join(boxes.groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("n_boxes")), "id", "left").na.fill({"n_boxes": 0})
+        images = table(images, "labelled")
         t: dict[str, DataFrame] = {"boxes": boxes, "issues": issues}
         stage("duplicates")
         notes = list(layout.notes)

@@ -6,23 +6,29 @@ read. A measurement doesn't depend on thresholds, so it is kept in a table and f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions import pixels
 from plumbline.functions.columns import image_id, quality_flags, to_hex
+from plumbline.plans.keyed import KeyedStore
 from plumbline.plans.store import table
+from plumbline.sources.listing import Folder
+from plumbline.sources.yolo import relative
 
 VERSION = "1"
 _HEADER = "path string, sha256 string, format string, w int, h int, channels int, turned boolean, problem string"
 _PIXELS = "path string, blur_score double, brightness double, contrast double, phash_l long, dhash_l long, flat boolean"
 KEY = ["path", "file_size", "mtime_ns", "params"]
+#: Files that are named to the reader one by one; more are read with all that is in their folder.
+FEW = 1_000
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +56,24 @@ def params(cfg: Config, full: bool) -> str:
     return f"{VERSION}:{cfg.quality.analysis_max_side}:{cfg.max_pixels}:{cfg.max_file_bytes}:{int(full)}"
 
 
-def measure(spark: SparkSession, root: Path, files: DataFrame, cfg: Config | None = None, full: bool = True) -> DataFrame:
+def _reader(folder: Folder, able: DataFrame):
+    """Reads a format's rows: of the files themselves where they are few, as after a small change, of the whole folder else."""
+    few = [r.path for r in able.limit(FEW + 1).collect()]
+    paths = [f"{folder.qualified}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in few] if len(few) <= FEW else [folder.qualified]
+
+    def load(kind: str, **options: str) -> DataFrame:
+        source = folder.spark.read.format(kind).options(**options)
+        if not few:
+            return source.option("recursiveFileLookup", "true").load(folder.qualified).where("false")
+        try:
+            return source.load(paths) if len(few) <= FEW else source.option("recursiveFileLookup", "true").load(paths)
+        except AnalysisException:  # a file has gone since it was listed
+            return source.option("recursiveFileLookup", "true").load(folder.qualified)
+
+    return load
+
+
+def measure(folder: Folder, files: DataFrame, cfg: Config | None = None, full: bool = True) -> DataFrame:
     """files with (status, error, format, width, height, channels, is_grayscale, sha256, phash_l, dhash_l, blur_score, brightness, contrast).
 
     The first that holds: no size known is corrupted, a suffix of another format unsupported, no bytes zero_byte, too many
@@ -59,15 +82,15 @@ def measure(spark: SparkSession, root: Path, files: DataFrame, cfg: Config | Non
     Only a full measurement has pixel measures.
     """
     cfg = cfg or Config()
-    prefix = len(f"file:{root}/")
-    relative = lambda c: F.substring(c, prefix + 1, 1 << 20)
     able = files.where(~F.col("unsupported") & (F.col("file_size") > 0) & (F.col("file_size") <= cfg.max_file_bytes)).select("path")
-    bytes_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).where(F.col("length") <= cfg.max_file_bytes)
-    bytes_ = bytes_.select(relative(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"), "content").join(able, "path", "left_semi")
+    load = _reader(folder, able)
+    bytes_ = load("binaryFile").where(F.col("length") <= cfg.max_file_bytes)
+    bytes_ = bytes_.select(relative(folder, F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"), "content").join(able, "path", "left_semi")
     head = table(bytes_.mapInArrow(_headers, _HEADER), "headers")
     decodable = head.where(F.col("problem").isNull() & F.col("format").isin("JPEG", "PNG", "BMP", "TIFF") & (F.col("w").cast("long") * F.col("h") <= cfg.max_pixels)).select("path")
-    read = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(str(root)).select("image.*")
-    read = read.select(relative(F.regexp_replace("origin", "^file:/+", "file:/")).alias("path"), "height", "width", "nChannels", "data").join(decodable, "path", "left_semi")
+    # This source names files as URIs.
+    read = load("image", dropInvalid="true").select("image.*")
+    read = read.select(relative(folder, F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))).alias("path"), "height", "width", "nChannels", "data").join(decodable, "path", "left_semi")
     seen = read.mapInArrow(_measured(cfg.quality.analysis_max_side), _PIXELS) if full else read.select("path", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _PIXELS.split(", ")[1:-1]], (F.col("nChannels") == 1).alias("flat"))
     m = files.join(head, "path", "left").join(seen.withColumn("decoded", F.lit(True)), "path", "left")
     many = F.col("w").cast("long") * F.col("h") > cfg.max_pixels
@@ -82,33 +105,29 @@ def measure(spark: SparkSession, root: Path, files: DataFrame, cfg: Config | Non
     return m.select(*files.columns, status.alias("status"), error.alias("error"), "format", side("w", "h").alias("width"), side("h", "w").alias("height"), "channels", gray.alias("is_grayscale"), "sha256", "phash_l", "dhash_l", "blur_score", "brightness", "contrast")
 
 
-def cached(spark: SparkSession, root: Path, files: DataFrame, cache: str | None, cfg: Config | None = None, full: bool = True) -> DataFrame:
-    """``measure``, with what a cache table has for the same path, size, time and parameters; what it lacks is appended."""
+def cached(folder: Folder, files: DataFrame, cache: str | None, cfg: Config | None = None, full: bool = True) -> DataFrame:
+    """``measure``, with what a cache has for the same path, size, time and parameters; what it lacks is merged into it.
+
+    The cache has the latest measurement of each path and parameters, so it grows with the files and not with the audits.
+    """
     cfg = cfg or Config()
     if cache is None or not cfg.use_cache:
-        return measure(spark, root, files, cfg, full)
-    own = files.withColumn("params", F.lit(params(cfg, full)))
-    known = _cache(spark, cache)
+        return measure(folder, files, cfg, full)
+    mark = F.lit(params(cfg, full)).alias("params")
+    where = F.sha1(F.lit(folder.qualified)).alias("folder")
+    store = KeyedStore(folder.spark, cache, ["folder", "path", "params"])
+    known = store.read()
     if known is None:
-        fresh = table(measure(spark, root, files, cfg, full).withColumn("params", F.lit(params(cfg, full))), "measured")
-        out = fresh
+        fresh = out = table(measure(folder, files, cfg, full), "measured")
     else:
-        drop = [c for c in files.columns if c not in KEY]
-        hit = own.join(known.drop(*drop), KEY)
-        fresh = table(measure(spark, root, own.join(known.select(*KEY), KEY, "left_anti").drop("params"), cfg, full).withColumn("params", F.lit(params(cfg, full))), "measured")
+        # Whatever a file's split is now is taken from the listing.
+        had = known.drop(*[c for c in files.columns if c not in KEY])
+        hit = files.select("*", mark, where).join(had, ["folder", *KEY])
+        fresh = table(measure(folder, files.join(hit.select("path"), "path", "left_anti"), cfg, full), "measured")
         out = table(hit.select(*fresh.columns).unionByName(fresh), "measurements")
-    if not fresh.isEmpty():
-        fresh.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(cache)
-    return out.drop("params")
-
-
-def _cache(spark: SparkSession, cache: str) -> DataFrame | None:
-    """The latest row of each key in a cache table; None if there is no such table."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    latest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("stored_at")))
-    return spark.read.parquet(cache).withColumn("_n", latest).where("_n = 1").drop("_n", "stored_at")
+    # Without a size there is nothing to find a measurement by.
+    store.put(fresh.where("file_size is not null and mtime_ns is not null").select(where, mark, "*"))
+    return out
 
 
 def described(measured: DataFrame, cfg: Config | None = None) -> DataFrame:

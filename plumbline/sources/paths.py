@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import stat
 import zipfile
@@ -26,10 +27,15 @@ def joined(root: Path, relative: str) -> Path:
     return path
 
 
-def dataset_path(path: str, allowed: list[str] | None = None) -> Path:
-    """An existing folder, within one of the allowed ones if there are any."""
+def dataset_path(path: str, allowed: list[str] | None = None) -> Path | str:
+    """An existing folder, within one of the allowed ones if there are any; a URI of another file system is only held against these."""
     if not path or "\0" in path:
         raise SecurityError("the path is empty or has a null character")
+    if "://" in path and not path.startswith("file:"):
+        if ".." in path.split("/") or allowed and not any(path.startswith(f"{a.rstrip('/')}/") for a in allowed):
+            raise SecurityError(f"{path} isn't in an allowed folder")
+        return path
+    path = re.sub(r"^file:/+", "/", path)
     found = Path(path).expanduser()
     if not found.exists():
         raise SecurityError(f"there is no {path}")

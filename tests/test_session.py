@@ -156,32 +156,32 @@ def test_archives_over_limits(tmp_path):
         paths.extract(tmp_path / "n.zip", tmp_path / "out")
 
 
-def test_layouts(tmp_path):
+def test_layouts(spark, tmp_path):
     for split in ("train", "valid"):
         for kind, name, data in (("images", "a.png", demo.png(demo.scene(1))), ("labels", "a.txt", b"")):
             (tmp_path / split / kind).mkdir(parents=True, exist_ok=True)
             (tmp_path / split / kind / name).write_bytes(data)
-    found = yolo.discover(tmp_path)
-    assert found.splits == ["train", "val"] and found.labels == [("train/labels/a.txt", 0), ("valid/labels/a.txt", 0)]
+    found = yolo.discover(spark, tmp_path)
+    assert found.splits == ["train", "val"] and sorted(map(tuple, found.labels.collect())) == [("train/labels/a.txt", 0), ("valid/labels/a.txt", 0)]
     (tmp_path / "data.yaml").write_text("names: {0: x, 2: z}\ntrain: ../../etc\nval: valid/images\n")
-    found = yolo.discover(tmp_path)
+    found = yolo.discover(spark, tmp_path)
     assert found.classes == ["x", "class_1", "z"] and found.splits == ["val"] and len(found.notes) == 1
     with pytest.raises(DatasetError):
-        yolo.discover(tmp_path / "train" / "labels")
+        yolo.discover(spark, tmp_path / "train" / "labels")
 
 
-def test_splits_by_any_name_and_files_of_other_kinds(tmp_path):
+def test_splits_by_any_name_and_files_of_other_kinds(spark, tmp_path):
     image = demo.png(demo.scene(1))
     for name in ("images/Train/a.png", "images/VALIDATION/b.PNG", "images/extra/c.png", "images/Train/d.gif", "images/Train/e.xyz", "images/Train/f.json", "images/Train/.g.png", "images/Train/Thumbs.db", "images/Train/sub/h.jpg"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(image)
     (tmp_path / "labels").mkdir()
-    found = yolo.discover(tmp_path)
-    assert [(f[0], f[1], f[3]) for f in found.files] == [("images/Train/a.png", "train", False), ("images/Train/d.gif", "train", True), ("images/Train/e.xyz", "train", True), ("images/Train/sub/h.jpg", "train", False), ("images/VALIDATION/b.PNG", "val", False)]
-    assert found.files[0][2] == "labels/Train/a.txt" and found.files[0][4] == len(image)
+    found = yolo.discover(spark, tmp_path)
+    assert [(f[0], f[1], f[3]) for f in found.files.orderBy("path").collect()] == [("images/Train/a.png", "train", False), ("images/Train/d.gif", "train", True), ("images/Train/e.xyz", "train", True), ("images/Train/sub/h.jpg", "train", False), ("images/VALIDATION/b.PNG", "val", False)]
+    assert found.files.orderBy("path").first()[2] == "labels/Train/a.txt" and found.files.orderBy("path").first()[4] == len(image)
 
 
-def test_lists_of_images_and_entries_above_the_root(tmp_path):
+def test_lists_of_images_and_entries_above_the_root(spark, tmp_path):
     root, outside = tmp_path / "set", tmp_path / "x.png"
     outside.write_bytes(b"x")
     for n in range(3):
@@ -192,9 +192,9 @@ def test_lists_of_images_and_entries_above_the_root(tmp_path):
     (root / "lists").mkdir()
     (root / "lists" / "train.txt").write_text(f"../images/0.png\nimages/1.png\n\n{root}/images/2.png\n{outside}\nimages/none.png\n")
     (root / "data.yaml").write_text("names: [a]\ntrain: lists/train.txt\nval: ../images\ntest: ['..\\images', data.yaml]\n")
-    found = yolo.discover(root)
-    assert [f[:2] for f in found.files] == [(f"images/{n}.png", "train") for n in range(3)]
-    assert found.labels == [(f"labels/{n}.txt", 17) for n in range(3)] and found.notes == []
+    found = yolo.discover(spark, root)
+    assert [f[:2] for f in found.files.orderBy("path").collect()] == [(f"images/{n}.png", "train") for n in range(3)]
+    assert sorted(map(tuple, found.labels.collect())) == [(f"labels/{n}.txt", 17) for n in range(3)] and found.notes == []
 
 
 def test_pixels():
