@@ -1,17 +1,21 @@
 """Label lines: parsing, validation and duplicate boxes.
 
 A label text becomes rows of lines, a line becomes codes of what is wrong with it and, if nothing is, a box. Everything
-is a Column expression; duplicate boxes are an equi-join on image and class with the overlap as the residual.
+is a Column expression; duplicate boxes are an equi-join on image and class, and in crowded images on cells of a grid, with
+the overlap as the residual.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Annotations
 from plumbline.functions.columns import iou
 from plumbline.plans import ranks
+from plumbline.plans.store import table
 
 #: Line ends and white space (fixed values: those of Unicode text lines).
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
@@ -101,17 +105,44 @@ def parsed(rows: DataFrame, class_count: int, cfg: Annotations | None = None) ->
     return rows.withColumn("flags", flags).drop("_v", "_well", "_poly", "_cls")
 
 
+def _in_cells(values: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(on, a, b): pairs of rows (on, box, first), as structs, among which are all whose boxes overlap by the threshold.
+
+    Such boxes have sides in a ratio of 1 to 1 / threshold at most, and edges that are apart by (1 - threshold) of the longer
+    side at most. So sizes are binned by that ratio and edges laid on a grid as fine as the bin allows; one box goes to its own
+    cell and the other to the cells around its own, for its bin and the two beside it, on either axis.
+    """
+    t = min(threshold, 0.99)
+    base = (1 + 1e-6) / t
+    k = lambda side: F.floor(F.ln(F.col(f"box.{side}")) / math.log(base)).cast("int")
+    cell = lambda c, side, k: F.floor((F.col(f"box.{c}") - F.col(f"box.{side}") / 2) / ((1 - t) * F.pow(F.lit(base), k + 2))).cast("long")
+    one = lambda c, side: F.struct(k(side).alias("k"), cell(c, side, k(side)).alias("i"))
+    three = F.array(*map(F.lit, (-1, 0, 1)))
+    around = lambda c, side: F.flatten(F.transform(three, lambda d: F.transform(three, lambda e: F.struct((k(side) + d).alias("k"), (cell(c, side, k(side) + d) + e).alias("i")))))
+    own = values.select(*on, F.struct("box", "first").alias("a"), one("cx", "w").alias("x"), one("cy", "h").alias("y"))
+    near = values.select(*on, F.struct("box", "first").alias("b"), F.explode(around("cx", "w")).alias("x"), around("cy", "h").alias("ys")).select(*on, "b", "x", F.explode("ys").alias("y"))
+    return own.join(near, [*on, "x", "y"]).select(*on, "a", "b")
+
+
 def duplicate_boxes(boxes: DataFrame, cfg: Annotations | None = None, image: str = "image_id", order: list[str] | None = None) -> DataFrame:
     """(image, class_id, line, of_line, iou): boxes that repeat an earlier box of their class, with the first one.
 
-    Images with over ``max_boxes_for_iou`` boxes are left out. ``line`` tells a box's place in its image.
+    ``line`` tells a box's place in its image. Equal boxes are compared once. In images with up to ``max_boxes_for_iou``
+    boxes all of a class are compared, in others those that a grid brings together: the result is the same.
     """
     cfg = cfg or Annotations()
+    on, t = [image, "class_id"], cfg.duplicate_iou
+    own = boxes.select(*on, "line", F.struct("cx", "cy", "w", "h").alias("box"))
     many = boxes.groupBy(image).count().where(F.col("count") > cfg.max_boxes_for_iou).select(image)
-    b = boxes.join(many, image, "left_anti").select(image, "class_id", "line", F.struct("cx", "cy", "w", "h").alias("box"))
-    pairs = b.alias("a").join(b.alias("b"), [image, "class_id"]).where(F.col("a.line") < F.col("b.line"))
-    pairs = pairs.select(image, "class_id", F.col("b.line").alias("line"), F.col("a.line").alias("of_line"), iou(F.col("a.box"), F.col("b.box")).alias("iou")).where(F.col("iou") >= cfg.duplicate_iou)
-    return pairs.groupBy(image, "class_id", "line").agg(F.min("of_line").alias("of_line"), F.min_by("iou", "of_line").alias("iou"))
+    values = own.groupBy(*on, "box").agg(F.min("line").alias("first"))
+    few, rest = (values, None) if t < 0.1 else (values.join(many, image, "left_anti"), values.join(many, image, "left_semi"))
+    side = lambda df, name: df.select(*on, F.struct("box", "first").alias(name))
+    met = side(few, "a").join(side(few, "b"), on)
+    if rest is not None:
+        met = met.unionByName(_in_cells(rest, on, t))
+    near = met.where(F.col("a.first") <= F.col("b.first")).select(*on, F.col("b.box").alias("box"), F.col("a.first").alias("of_line"), iou(F.col("a.box"), F.col("b.box")).alias("iou")).where(F.col("iou") >= t)
+    first = near.groupBy(*on, "box").agg(F.min("of_line").alias("of_line"), F.min_by("iou", "of_line").alias("iou"))
+    return own.join(first, [*on, "box"]).where(F.col("of_line") < F.col("line")).select(*on, "line", "of_line", "iou")
 
 
 FLAG_CODES = {"out_of_bounds": "box_out_of_bounds", "tiny": "tiny_box", "large": "large_box"}
@@ -133,8 +164,10 @@ def validate(files: DataFrame, labels: DataFrame, class_count: int, cfg: Annotat
     readable = tied.where("state is null")
     key = F.struct(*context).alias("key")
     rows = parsed(lines(readable.select(key, "text"), "key"), class_count, cfg).select("key.*", "line", "raw", "codes", "class_id", "cx", "cy", "w", "h", "area", "flags")
+    # Read by everything below.
+    rows = table(rows, "lines")
     boxes = rows.where(F.size("codes") == 0).select(*context, "line", "raw", "class_id", "cx", "cy", "w", "h", "area", "flags")
-    again = duplicate_boxes(boxes, cfg).select("image_id", "class_id", "line", "of_line")
+    again = table(duplicate_boxes(boxes, cfg).select("image_id", "class_id", "line", "of_line"), "repeats")
     boxes = boxes.join(again, ["image_id", "class_id", "line"], "left").withColumn("flags", F.when(F.col("of_line").isNotNull(), F.array_append("flags", F.lit("duplicate"))).otherwise(F.col("flags")))
     counts = rows.groupBy("image_id", "label_path").agg(F.count("*").alias("total"), F.count_if(F.size("codes") > 0).alias("invalid"))
     images = tied.select("image_id", "label_path", "state").join(counts, ["image_id", "label_path"], "left")

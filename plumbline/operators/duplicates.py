@@ -72,7 +72,7 @@ def members(images: DataFrame, cfg: Duplicates | None = None) -> tuple[DataFrame
         # Images of the same hashes are linked to the first of them, which alone is compared with others.
         one = able.groupBy("phash_l", "dhash_l").agg(F.min("id").alias("one"))
         same = able.select("id", "phash_l", "dhash_l").join(one, ["phash_l", "dhash_l"]).where("id != one").select(F.col("one").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-        edges = similar_pairs(one, "phash_l", cfg.phash_max_distance, "one", "dhash_l", cfg.dhash_max_distance).unionByName(same)
+        edges = table(similar_pairs(one, "phash_l", cfg.phash_max_distance, "one", "dhash_l", cfg.dhash_max_distance).unionByName(same), "edges")
     roots = connected_components(star.unionByName(edges.select("a", "b")))
     found = own.select("id", "path", "split", "sha256").join(roots.withColumnRenamed("node", "id").withColumnRenamed("component", "root"), "id")
     return found.select("root", "id", "path", "split", "sha256"), edges
