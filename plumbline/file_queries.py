@@ -132,11 +132,13 @@ def file_csv(spark, d):
     return back.select("code", "label_path", F.col("line").cast("int").alias("line"), "raw")
 
 
-@query(f"WITH {Q_FILES} SELECT 'issues' AS name, count(*) AS rows FROM codes UNION ALL SELECT 'images', count(*) FROM files UNION ALL SELECT 'boxes', CAST(sum(n_boxes) AS BIGINT) FROM files UNION ALL SELECT 'classes', 4 UNION ALL SELECT 'totals', 1")
+@query(f"WITH {Q_FILES} SELECT 'issues' AS name, code AS a, label_path AS b, CAST(line AS BIGINT) AS n FROM codes UNION ALL SELECT 'images', path, status, n_boxes FROM files UNION ALL SELECT 'classes', name, '', k FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS name, unnest(range(4)) AS k) UNION ALL SELECT 'totals', '', '', count(*) FROM files")
 def file_json(spark, d):
-    """The JSON report: whole tables."""
+    """The JSON report, read again: what its tables hold."""
     found = json.loads(reports.to_json(audit(spark, d), include_images=True))
-    return spark.createDataFrame([(n, len(found[n])) for n in ("issues", "images", "boxes", "classes", "totals")], "name string, rows long")
+    columns = {"issues": ("code", "label_path", "line"), "images": ("path", "status", "n_boxes"), "classes": ("name", None, "class_id"), "totals": (None, None, "images")}
+    rows = [(name, *[x[c] if c else "" for c in of]) for name, of in columns.items() for x in found[name]]
+    return spark.createDataFrame(rows, "name string, a string, b string, n long")
 
 
 @query(f"WITH {Q_FILES} SELECT path, status, split FROM files")

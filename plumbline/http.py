@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -28,7 +29,7 @@ def _number(q: dict, name: str, default: int | None = None) -> int | None:
 
 
 def route(service: AuditService, method: str, path: str, q: dict, body: bytes) -> tuple[int, object, str]:
-    """(status, content, type) of a request; content is JSON unless it is bytes."""
+    """(status, content, type) of a request; content is JSON unless it is bytes or an iterator of them."""
     one = lambda n: q[n][0] if n in q else None
     given = lambda *names: {n: q[n][0] for n in names if n in q}
     paging = lambda size: {"page": _number(q, "page", 1), "size": _number(q, "page_size", size)}
@@ -96,14 +97,18 @@ def handler(service: AuditService, max_body: int = 2048 * 1024 * 1024) -> type[B
             except Exception as e:  # whatever goes wrong is answered
                 status, code = next((v for k, v in ERRORS.items() if isinstance(e, k)), (500, "internal_error"))
                 content, kind = {"error": {"code": code, "message": str(e) if status < 500 else f"{type(e).__name__}"}}, "application/json"
-            data = content if isinstance(content, bytes) else json.dumps(content, default=str).encode()
+            chunks = content if isinstance(content, Iterator) else iter([content if isinstance(content, bytes) else json.dumps(content, default=str).encode()])
+            first = next(chunks, b"")
             self.send_response(status)
             self.send_header("Content-Type", kind)
-            self.send_header("Content-Length", str(len(data)))
+            if not isinstance(content, Iterator):
+                self.send_header("Content-Length", str(len(first)))
             if kind.startswith("text/html"):
                 self.send_header("Content-Security-Policy", "default-src 'none'; style-src 'unsafe-inline'; img-src data:")
             self.end_headers()
-            self.wfile.write(data)
+            # A stream's end is the connection's.
+            self.wfile.write(first)
+            self.wfile.writelines(chunks)
 
         do_GET = do_POST = do_DELETE = _answer
 

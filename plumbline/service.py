@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import shutil
 import threading
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -20,7 +22,8 @@ from plumbline.session import Audit, AuditSession
 from plumbline.sinks import reports
 from plumbline.sinks.store import AuditStore
 from plumbline.sinks.thumbnails import thumbnail
-from plumbline.sources.paths import dataset_path, extract, remove_tree
+from plumbline.sources.archives import extract
+from plumbline.sources.paths import dataset_path, remove_tree
 
 #: Audits that stay loaded, and orders that stay stored.
 LOADED, ORDERS = 3, 8
@@ -77,7 +80,15 @@ class AuditService:
 
     def submit_archive(self, archive: str, mode: str = "scan", config: dict | None = None) -> Job:
         """Unpacks a ZIP file and audits what is in it; it is deleted with the audit."""
-        root = extract(archive, self.home / "uploads" / uuid.uuid4().hex)
+        folder = self.home / "uploads" / uuid.uuid4().hex
+        folder.parent.mkdir(parents=True, exist_ok=True)
+        # Executors see the home, and not where an upload came in.
+        own = folder.with_suffix(".zip")
+        shutil.copyfile(archive, own)
+        try:
+            root = extract(self.spark, own.resolve(), folder.resolve())
+        finally:
+            own.unlink()
         return self._start(root, mode, config, "upload")
 
     def _start(self, root: Path, mode: str, config: dict | None, source: str) -> Job:
@@ -226,8 +237,9 @@ class AuditService:
         found = pg.findings(self.load(id)["findings"], **f)
         return rows(found.withColumn("ids_total", F.size("ids")).withColumn("ids", F.slice("ids", 1, most)))
 
-    def report(self, id: str, fmt: str, csv_kind: str = "images", include_images: bool = False) -> tuple[str, bytes]:
-        return reports.generate(self.load(id), fmt, csv_kind, include_images)
+    def report(self, id: str, fmt: str, csv_kind: str = "images", include_images: bool = False) -> tuple[str, Iterator[bytes]]:
+        """(file name, chunks) of a report."""
+        return reports.stream(self.load(id), fmt, csv_kind, include_images)
 
 
 def as_dict(job: Job) -> dict:

@@ -1,4 +1,4 @@
-"""Reports of an audit: CSV and JSON of whole tables by Spark; HTML and PDF of bounded parts by the driver."""
+"""Reports of an audit: CSV and JSON of whole tables, written by Spark and streamed; HTML and PDF of bounded parts by the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import html
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import ConfigError
 from plumbline.functions.columns import guarded
 from plumbline.session import Audit
+from plumbline.sinks import parts
 
 FORMATS = ("json", "csv", "html", "pdf")
 CSV_KINDS = ("images", "findings", "issues", "duplicates")
@@ -45,40 +47,48 @@ def csv_rows(audit: Audit, kind: str) -> DataFrame:
 
 
 def write_csv(audit: Audit, kind: str, path: str) -> None:
-    """A folder of CSV files; ``to_csv`` gives one text."""
+    """A folder of CSV files; ``stream_csv`` gives one text."""
     csv_rows(audit, kind).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def to_csv(audit: Audit, kind: str) -> str:
-    """One CSV text, put together on the driver row by row."""
-    import csv
-    import io
-
-    out = io.StringIO()
+def stream_csv(audit: Audit, kind: str) -> Iterator[bytes]:
+    """One CSV text, in chunks."""
     df = csv_rows(audit, kind)
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(df.columns)
-    for row in df.toLocalIterator():
-        w.writerow(["" if x is None else x for x in row])
-    return out.getvalue()
+    yield (",".join(df.columns) + "\n").encode()
+    yield from parts.stream(df.select(parts.csv_line(df).alias("value")))
 
 
-def to_json(audit: Audit, include_images: bool = False) -> str:
-    """One JSON text: the summary and the whole tables, those of images and boxes only if asked for."""
+def stream_json(audit: Audit, include_images: bool = False) -> Iterator[bytes]:
+    """One JSON text, in chunks: the summary and the whole tables, those of images and boxes only if asked for."""
     skip = set() if include_images else {"images", "boxes"}
-    tables = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()] for name, df in audit.tables.items() if name not in skip}
-    return json.dumps({"audit": audit.meta, **tables}, indent=2, ensure_ascii=False)
+    yield b'{"audit": ' + json.dumps(audit.meta, ensure_ascii=False).encode()
+    for name, df in audit.tables.items():
+        if name not in skip:
+            yield b",\n" + json.dumps(name).encode() + b": [\n"
+            yield from parts.joined(parts.stream(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))), b",\n")
+            yield b"\n]"
+    yield b"}\n"
+
+
+def to_csv(audit: Audit, kind: str) -> str:
+    """One CSV text as a whole."""
+    return b"".join(stream_csv(audit, kind)).decode()
+
+
+def to_json(audit: Audit, include_images: bool = False) -> str:
+    """One JSON text as a whole."""
+    return b"".join(stream_json(audit, include_images)).decode()
 
 
 def svg_bars(rows: list[tuple[str, float]], width: int = 480) -> str:
     """Horizontal bars of the first rows; labels are cut to 18 characters."""
     rows = rows[:BARS]
     top = max([v for _, v in rows], default=0) or 1
-    parts = []
+    bars = []
     for n, (label, v) in enumerate(rows):
         y, w = 22 * n, (width - 220) * v / top
-        parts.append(f'<text x="0" y="{y + 14}">{html.escape(str(label)[:18])}</text><rect x="150" y="{y + 3}" width="{w:.1f}" height="14" rx="2" fill="#4a6fa5"/><text x="{155 + w:.1f}" y="{y + 14}">{v:g}</text>')
-    return f'<svg role="img" viewBox="0 0 {width} {22 * len(rows)}" width="{width}" font-size="12" font-family="sans-serif">{"".join(parts)}</svg>'
+        bars.append(f'<text x="0" y="{y + 14}">{html.escape(str(label)[:18])}</text><rect x="150" y="{y + 3}" width="{w:.1f}" height="14" rx="2" fill="#4a6fa5"/><text x="{155 + w:.1f}" y="{y + 14}">{v:g}</text>')
+    return f'<svg role="img" viewBox="0 0 {width} {22 * len(rows)}" width="{width}" font-size="12" font-family="sans-serif">{"".join(bars)}</svg>'
 
 
 def svg_ring(score: float | None) -> str:
@@ -157,27 +167,36 @@ def to_pdf(audit: Audit) -> bytes:
     return _pdf([lines[n : n + 62] for n in range(0, len(lines), 62)])
 
 
-def generate(audit: Audit, fmt: str, csv_kind: str = "images", include_images: bool = False) -> tuple[str, bytes]:
-    """(file name, content) of a report."""
+def stream(audit: Audit, fmt: str, csv_kind: str = "images", include_images: bool = False) -> tuple[str, Iterator[bytes]]:
+    """(file name, chunks) of a report; HTML and PDF are bounded and come whole."""
     base = file_name(f"{audit.meta['dataset']}-{audit.id}")
     if fmt == "json":
-        return f"{base}.json", to_json(audit, include_images).encode()
+        return f"{base}.json", stream_json(audit, include_images)
     if fmt == "csv":
-        return f"{base}-{csv_kind}.csv", to_csv(audit, csv_kind).encode()
+        if csv_kind not in CSV_KINDS:
+            raise ConfigError(f"CSV kinds are {', '.join(CSV_KINDS)}")
+        return f"{base}-{csv_kind}.csv", stream_csv(audit, csv_kind)
     if fmt == "html":
-        return f"{base}.html", to_html(audit).encode()
+        return f"{base}.html", iter([to_html(audit).encode()])
     if fmt == "pdf":
-        return f"{base}.pdf", to_pdf(audit)
+        return f"{base}.pdf", iter([to_pdf(audit)])
     raise ConfigError(f"formats are {', '.join(FORMATS)}")
 
 
+def generate(audit: Audit, fmt: str, csv_kind: str = "images", include_images: bool = False) -> tuple[str, bytes]:
+    """(file name, content) of a report as a whole."""
+    name, chunks = stream(audit, fmt, csv_kind, include_images)
+    return name, b"".join(chunks)
+
+
 def write(audit: Audit, folder: str | Path, formats: list[str] | None = None) -> list[Path]:
     """All reports, with a CSV file for each kind, into a folder."""
     out = []
     Path(folder).mkdir(parents=True, exist_ok=True)
     for fmt in formats or FORMATS:
         for kind in CSV_KINDS if fmt == "csv" else ("images",):
-            name, content = generate(audit, fmt, kind)
-            (path := Path(folder, name)).write_bytes(content)
+            name, chunks = stream(audit, fmt, kind)
+            with (path := Path(folder, name)).open("wb") as f:
+                f.writelines(chunks)
             out.append(path)
     return out

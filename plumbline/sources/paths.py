@@ -1,12 +1,10 @@
-"""Paths that must stay in their place, and archives that must stay within limits."""
+"""Paths that must stay in their place."""
 
 from __future__ import annotations
 
 import os
 import re
 import shutil
-import stat
-import zipfile
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
 
@@ -55,50 +53,14 @@ class ZipLimits:
     ratio: int = 200
 
 
-def _member(name: str) -> PurePosixPath:
+def member(name: str) -> PurePosixPath:
+    """The path of an archive's member; raises if it leads out."""
     path = PurePosixPath(name.replace("\\", "/"))
     if not name or "\0" in name or path.is_absolute() or ".." in path.parts or (len(name) > 1 and name[1] == ":"):
         raise SecurityError(f"the archive has a member {name!r}")
     return path
 
 
-def extract(archive: str | Path, target: str | Path, limits: ZipLimits | None = None) -> Path:
-    """Unpacks a ZIP file and returns the folder of the dataset in it.
-
-    Members that lead out, are links or encrypted, or exceed a limit stop it; limits hold for the bytes that come out,
-    whatever the archive says. What was unpacked is removed then.
-    """
-    limits, target, total = limits or ZipLimits(), Path(target), 0
-    target.mkdir(parents=True, exist_ok=True)
-    try:
-        with zipfile.ZipFile(archive) as z:
-            members = z.infolist()
-            if len(members) > limits.files:
-                raise SecurityError(f"the archive has {len(members)} members, over {limits.files}")
-            for m in members:
-                to = target / _member(m.filename)
-                if m.flag_bits & 1 or stat.S_ISLNK(m.external_attr >> 16):
-                    raise SecurityError(f"{m.filename!r} is encrypted or a link")
-                if m.is_dir():
-                    to.mkdir(parents=True, exist_ok=True)
-                    continue
-                to.parent.mkdir(parents=True, exist_ok=True)
-                size = 0
-                with z.open(m) as source, to.open("wb") as out:
-                    while part := source.read(1 << 20):
-                        size, total = size + len(part), total + len(part)
-                        if size > limits.member_bytes or total > limits.total_bytes or size > limits.ratio * max(m.compress_size, 1024):
-                            raise SecurityError(f"{m.filename!r} is larger than the limits allow")
-                        out.write(part)
-    except zipfile.BadZipFile as e:
-        shutil.rmtree(target, ignore_errors=True)
-        raise SecurityError(f"{archive} is no ZIP file") from e
-    except SecurityError:
-        shutil.rmtree(target, ignore_errors=True)
-        raise
-    return unwrapped(target)
-
-
 def unwrapped(root: Path, most: int = 4) -> Path:
     """The folder below up to four that hold nothing but one folder."""
     for _ in range(most):
