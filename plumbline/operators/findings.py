@@ -6,6 +6,8 @@ a table of texts gives them words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,12 @@ def severity_rank(severity: Column) -> Column:
 
 
 def _evidence(rows: DataFrame, key: str, id: str | None, example: Column, extra: list[Column] | None = None) -> DataFrame:
-    """(key, n, ids, examples, ...) by key; of what is affected, the first ``IDS`` by example are ranked before they are gathered."""
-    own = rows.groupBy(key).agg(F.count("*").alias("n"), *(extra or []))
+    """(key, n, ids_total, ids, examples, ...) by key; of what is affected, the first ``IDS`` by example are ranked before they are gathered.
+
+    ids_total counts all of them; ``affected`` has them as rows.
+    """
+    total = F.countDistinct(id) if id else F.lit(0)
+    own = rows.groupBy(key).agg(F.count("*").alias("n"), total.alias("ids_total"), *(extra or []))
     each = rows.select(key, example.alias("e"), (F.col(id) if id else F.lit(None).cast("string")).alias("i")).distinct()
     first = each.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("e", "i"))).where(F.col("k") <= IDS)
     lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "e", "i"))).alias("l"))
@@ -61,16 +67,42 @@ def _evidence(rows: DataFrame, key: str, id: str | None, example: Column, extra:
     return own.join(lists, key)
 
 
+ABOUT_IMAGES = ["missing_label_file", "empty_label_file"]
+
+
+def _issues(images: DataFrame, issues: DataFrame) -> DataFrame:
+    """The issues that findings are made of: of those about images as such, the ones of valid images."""
+    valid = images.where("status = 'ok'").select(F.col("id").alias("image_id"))
+    about = F.col("code").isin(ABOUT_IMAGES)
+    return issues.where(~about).unionByName(issues.where(about).join(valid, "image_id", "left_semi"))
+
+
+def _group(scope: Column, kind: Column) -> Column:
+    return F.concat(F.when(scope == "cross_split", "leakage_").otherwise("duplicates_"), kind)
+
+
+def affected(images: DataFrame, issues: DataFrame, members: DataFrame | None) -> DataFrame:
+    """(finding, id): every image that a finding of ``build`` is about, each once."""
+    rows = [
+        images.where("status != 'ok'").select(F.concat(F.lit("integrity_"), F.col("status")).alias("finding"), "id"),
+        images.where("status = 'ok'").select(F.explode("flags").alias("flag"), "id").select(F.concat(F.lit("quality_"), F.col("flag")).alias("finding"), "id"),
+        _issues(images, issues).where("image_id is not null").select(F.concat(F.lit("annotations_"), F.col("code")).alias("finding"), F.col("image_id").alias("id")),
+    ]
+    if members is not None:
+        rows.append(members.select(_group(F.col("scope"), F.col("kind")).alias("finding"), "id"))
+    return reduce(DataFrame.unionByName, rows).distinct()
+
+
 def build(images: DataFrame, issues: DataFrame, members: DataFrame | None, groups: DataFrame | None, boxes: DataFrame, classes: DataFrame, notes: list[str] | None = None, cfg: Config | None = None) -> DataFrame:
-    """(place, id, severity, category, title, recommendation, affected_count, rate, ids, examples), worst first.
+    """(place, id, severity, category, title, recommendation, affected_count, rate, ids_total, ids, examples), worst first.
 
     images as for ``health.rates`` with id and path; issues (code, image_id, label_path, line); classes as by ``by_class``.
     """
     spark = images.sparkSession
-    kind = "id string, severity string, affected_count long, rate double, ids array<string>, examples array<string>"
+    kind = "id string, severity string, affected_count long, rate double, ids_total long, ids array<string>, examples array<string>"
     pick = lambda id, severity, n, rate=None, ids=None, examples=None: [
         (id if isinstance(id, Column) else F.lit(id)).alias("id"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), n.cast("long").alias("affected_count"),
-        (rate if rate is not None else F.lit(None)).cast("double").alias("rate"), (ids if ids is not None else F.array()).cast("array<string>").alias("ids"), (examples if examples is not None else F.array()).cast("array<string>").alias("examples"),
+        (rate if rate is not None else F.lit(None)).cast("double").alias("rate"), (F.lit(0) if ids is None else F.col("ids_total")).cast("long").alias("ids_total"), (ids if ids is not None else F.array()).cast("array<string>").alias("ids"), (examples if examples is not None else F.array()).cast("array<string>").alias("examples"),
     ]
     valid = F.col("status") == "ok"
     is_ = lambda s: F.col("split") == s
@@ -86,7 +118,7 @@ def build(images: DataFrame, issues: DataFrame, members: DataFrame | None, group
         size.where("n_gray > 0 and n_gray < n_valid").select(*pick("quality_mixed_grayscale", "low", F.col("n_gray"), per_valid(F.col("n_gray")))),
     ]
     if notes:
-        parts.append(spark.createDataFrame([("layout_note", "low", 0, None, [], [x]) for x in notes], kind))
+        parts.append(spark.createDataFrame([("layout_note", "low", 0, None, 0, [], [x]) for x in notes], kind))
 
     bad = with_size(_evidence(images.where(~valid), "status", "id", F.col("path")))
     worst = F.when(F.col("status") == "corrupted", F.when(per_all(n) >= 0.05, "critical").otherwise("high")).when(F.col("status") == "zero_byte", "high").otherwise("medium")
@@ -98,18 +130,14 @@ def build(images: DataFrame, issues: DataFrame, members: DataFrame | None, group
         cross, exact = F.col("g.scope") == "cross_split", F.col("g.kind") == "exact"
         rate = per_valid(n - F.col("n_groups"))
         how = F.when(cross & exact, "critical").when(cross, "high").when(exact, F.when(rate >= 0.10, "high").otherwise("medium")).otherwise("low")
-        id = F.concat(F.when(cross, "leakage_").otherwise("duplicates_"), F.col("g.kind"))
+        id = _group(F.col("g.scope"), F.col("g.kind"))
         parts.append(found.select(*pick(id, how, F.when(cross, F.col("n_ids")).otherwise(n), rate, F.col("ids"), F.col("examples"))))
 
     place = F.concat_ws(":", F.col("label_path"), F.col("line").cast("string"))
-    valid_ids = images.where(valid).select(F.col("id").alias("image_id"))
-    about_images = ["missing_label_file", "empty_label_file"]
-    lines = issues.where(~F.col("code").isin(about_images))
-    files = issues.where(F.col("code").isin(about_images)).join(valid_ids, "image_id", "left_semi")
-    by_code = with_size(_evidence(lines.unionByName(files), "code", "image_id", place))
+    by_code = with_size(_evidence(_issues(images, issues), "code", "image_id", place))
     code, rate = F.col("code"), per_valid(n)
     how = F.when(code.isin(ERRORS_HIGH), "high").when(code.isin("label_file_too_large", "duplicate_annotation", "orphan_label"), "medium").when(code == "missing_label_file", F.when(rate >= 0.10, "high").otherwise("medium")).when(code == "empty_label_file", F.when(rate > 0.5, "low").otherwise("info")).otherwise("low")
-    parts.append(by_code.select(*pick(F.concat(F.lit("annotations_"), code), how, n, F.when(code.isin(about_images), rate), F.col("ids"), F.col("examples"))))
+    parts.append(by_code.select(*pick(F.concat(F.lit("annotations_"), code), how, n, F.when(code.isin(ABOUT_IMAGES), rate), F.col("ids"), F.col("examples"))))
 
     names = F.array_sort(F.collect_list("name"))
     unused = classes.where("count = 0").agg(F.count("*").alias("n"), names.alias("names")).where("n > 0")
@@ -130,4 +158,4 @@ def build(images: DataFrame, issues: DataFrame, members: DataFrame | None, group
         out = out.unionByName(p)
     words = spark.createDataFrame([(k, *v) for k, v in RULES.items()], "id string, category string, title string, recommendation string")
     out = out.join(F.broadcast(words), "id")  # a row for each rule
-    return out.withColumn("place", severity_rank(F.col("severity"))).orderBy("place", F.desc("affected_count"), "id").select("place", "id", "severity", "category", "title", "recommendation", "affected_count", "rate", "ids", "examples")
+    return out.withColumn("place", severity_rank(F.col("severity"))).orderBy("place", F.desc("affected_count"), "id").select("place", "id", "severity", "category", "title", "recommendation", "affected_count", "rate", "ids_total", "ids", "examples")

@@ -559,4 +559,4 @@ def labelled_by_split(spark, d):
     return docs.join(labels, "doc_id", "left_semi").groupBy(F.expr(SPLIT).alias("split"), F.col("lang").alias("class_id")).agg(F.count("*").alias("n"))
 
 
-from plumbline import file_queries  # noqa: E402, F401  it registers its queries here
+from plumbline import file_queries, view_queries  # noqa: E402, F401  they register their queries here

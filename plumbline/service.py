@@ -152,7 +152,7 @@ class AuditService:
 
     def overview(self, id: str) -> dict:
         a = self.load(id)
-        shown = a["findings"].withColumn("ids_total", F.size("ids")).drop("ids")
+        shown = a["findings"].drop("ids")
         return {"audit": a.meta, **{n: rows(a[n]) for n in ("totals", "splits", "balance", "health_components", "health_overall", "leakage_totals", "leakage_pairs", "histograms")}, "classes": rows(a["classes"].limit(1000)), "findings": rows(shown)}
 
     def delete(self, id: str) -> None:
@@ -178,10 +178,9 @@ class AuditService:
                 raise ConfigError(f"no class {class_name!r}")
             f.class_id = names.index(class_name)
         if finding is not None:
-            own = a["findings"].where(F.col("id") == finding)
-            if own.isEmpty():
+            if a["findings"].where(F.col("id") == finding).isEmpty():
                 raise NotFound(f"no finding {finding!r}")
-            f.ids = own.select(F.explode("ids").alias("id")).distinct()
+            f.ids = a["affected"].where(F.col("finding") == finding).select("id")
         found = pg.images(a["images"], f, a["boxes"])
         tags = [r.tag for r in a["images"].select(F.explode("tags").alias("tag")).distinct().orderBy("tag").collect()]  # of a fixed list of names
         shown, total = self._page((id, repr(f), finding, sort, order), found, pg.order_of(sort, order == "desc"), page, size)
@@ -235,7 +234,7 @@ class AuditService:
 
     def findings(self, id: str, most: int = 50, **f) -> list[dict]:
         found = pg.findings(self.load(id)["findings"], **f)
-        return rows(found.withColumn("ids_total", F.size("ids")).withColumn("ids", F.slice("ids", 1, most)))
+        return rows(found.withColumn("ids", F.slice("ids", 1, most)))
 
     def report(self, id: str, fmt: str, csv_kind: str = "images", include_images: bool = False) -> tuple[str, Iterator[bytes]]:
         """(file name, chunks) of a report."""

@@ -28,7 +28,7 @@ from plumbline.sources.paths import dataset_path
 
 STAGES = ("discover", "images", "annotations", "duplicates", "leakage", "statistics", "scoring", "findings")
 #: The tables of an audit, each a Parquet folder where it is stored.
-TABLES = ("images", "boxes", "issues", "classes", "dup_members", "dup_groups", "leakage_pairs", "leakage_totals", "totals", "splits", "balance", "histograms", "described", "counted", "health_components", "health_overall", "findings")
+TABLES = ("images", "boxes", "issues", "classes", "dup_members", "dup_groups", "leakage_pairs", "leakage_totals", "totals", "splits", "balance", "histograms", "described", "counted", "health_components", "health_overall", "findings", "affected")
 AUDIT_ID = re.compile(r"^[A-Za-z0-9_-]{4,64}$")
 
 
@@ -124,6 +124,7 @@ class AuditSession:
         t["health_overall"] = he.overall(t["health_components"])
         stage("findings")
         t["findings"] = fi.build(images, issues, members if full else None, groups if full else None, boxes, classes, notes, cfg)
+        t["affected"] = fi.affected(images, issues, members if full else None)
         t = {name: table(t[name], name) if name in ("findings", "health_components", "health_overall", "totals") else t[name] for name in TABLES}
         now = datetime.datetime.now(datetime.UTC)
         meta = {

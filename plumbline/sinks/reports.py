@@ -59,8 +59,8 @@ def stream_csv(audit: Audit, kind: str) -> Iterator[bytes]:
 
 
 def stream_json(audit: Audit, include_images: bool = False) -> Iterator[bytes]:
-    """One JSON text, in chunks: the summary and the whole tables, those of images and boxes only if asked for."""
-    skip = set() if include_images else {"images", "boxes"}
+    """One JSON text, in chunks: the summary and the whole tables, those of images, their boxes and findings only if asked for."""
+    skip = set() if include_images else {"images", "boxes", "affected"}
     yield b'{"audit": ' + json.dumps(audit.meta, ensure_ascii=False).encode()
     for name, df in audit.tables.items():
         if name not in skip:

@@ -8,6 +8,7 @@ import shutil
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.errors import NotFound
 from plumbline.session import AUDIT_ID, TABLES, Audit
@@ -48,7 +49,11 @@ class AuditStore:
         place = self._place(id)
         if not self.exists(id):
             raise NotFound(f"no audit {id!r}")
-        tables = {name: self.spark.read.parquet(f"file://{place.resolve()}/{name}") for name in TABLES}
+        tables = {name: self.spark.read.parquet(f"file://{place.resolve()}/{name}") for name in TABLES if (place / name).is_dir()}
+        if "affected" not in tables:  # audits stored before there was such a table
+            tables["affected"] = tables["findings"].select(F.col("id").alias("finding"), F.explode("ids").alias("id"))
+        if "ids_total" not in tables["findings"].columns:
+            tables["findings"] = tables["findings"].withColumn("ids_total", F.size("ids").cast("long"))
         return Audit(id, tables, json.loads((place / META).read_text("utf-8")))
 
     def list(self) -> list[dict]:
