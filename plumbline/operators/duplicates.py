@@ -1,8 +1,7 @@
 """Exact and near duplicates, and their leakage across splits.
 
 Near duplicates come from covering masks: two hashes that differ in at most 7 bits agree under one of 255 masks, so an
-equi-join by mask and masked hash finds every pair, at any size and with the same copies of a row. A pair that meets under
-several masks counts under its first one, which needs no further shuffle. Content is made distinct first, and so are hashes.
+equi-join by mask and masked hash finds every pair, at any size and with the same copies of a row. Content is made distinct first, and so are hashes.
 """
 
 from __future__ import annotations
@@ -45,8 +44,9 @@ def similar_pairs(rows: DataFrame, hash: str, distance: int, key: str = "id", se
     near = (F.col("a.k") < F.col("b.k")) & (F.bit_count(x) <= distance)
     if second:
         near &= F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))) <= second_distance
+    # A pair meets under several masks; tasks bring it down to one row before it is shuffled.
     pairs = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.value") == F.col("b.value")) & near)
-    return pairs.where(covering.first_meeting(x, distance) == F.col("a.v")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(x).alias("distance"))
+    return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(x).alias("distance")).distinct()
 
 
 def skipped_buckets(rows: DataFrame, hash: str, max_bucket: int) -> DataFrame:
