@@ -36,7 +36,7 @@ def written(spark) -> set[str]:
 def test_tasks_are_told_within_a_job(spark):
     seen: list[tuple[int, int]] = []
     with watched(spark, None, lambda done, of: seen.append((done, of))):
-        assert slow(spark, 0.5).count() == 8
+        assert slow(spark, 1.5, 12).count() == 12
     assert any(0 < d < n for d, n in seen) and all(d <= n for d, n in seen)
     n = len(seen)
     slow(spark, 0.3, 2).count()
