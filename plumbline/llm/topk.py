@@ -15,6 +15,7 @@ Equal vectors count as one with its k + 1 smallest ids, as no query can want mor
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from plumbline.plans.store import table
 #: Rows of a block of cells and of queries; the least bits that cells leave out.
 BLOCK, QUERY_BLOCK = 8_192, 1_024
 SHIFT = 0
+#: The least and the largest number of 64 bits.
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def integers(vector: Column, scale: int = 64) -> Column:
@@ -43,7 +46,7 @@ def cells(v: Column, shift: int = SHIFT) -> tuple[Column, Column]:
 
 def bounds(q: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(low, up): bounds of each query's inner product with each vector of cells; exact integers, whatever their type."""
-    most = max(1, int(np.abs(q).max(initial=0))) * 256 * c.shape[1]
+    most = max(1, int(q.max(initial=0)), -int(q.min(initial=0))) * 256 * c.shape[1]
     kind = np.float32 if most < 1 << 24 else np.float64
     if most << int(t.max(initial=0)) >= 1 << 52:
         kind = object
@@ -61,6 +64,8 @@ def survivors(q: np.ndarray, own: np.ndarray, least: np.ndarray, c: np.ndarray,
     is a bound that the k-th best score is known to reach.
     """
     low, up = bounds(q, c, t)
+    if low.dtype == object:
+        low, up = (np.minimum(np.maximum(x, _LONG[0]), _LONG[1]) for x in (low, up))
     out = []
     for n in range(len(q)):
         other = np.flatnonzero(ids != own[n])
@@ -74,7 +79,21 @@ def survivors(q: np.ndarray, own: np.ndarray, least: np.ndarray, c: np.ndarray,
     return out
 
 
-_LONG = (-(1 << 63), (1 << 63) - 1)
+def product(v: Column, w: Column) -> Column:
+    """The inner product of two vectors of 64-bit integers; what lies beyond 64 bits is the least or the largest of them.
+
+    Sums that leave 64 bits on their way are made anew in 38 decimal digits. What leaves these too counts by its sign,
+    which a sum of doubles tells.
+    """
+
+    def total(kind: str, plus, times) -> Column:
+        return F.aggregate(F.zip_with(v, w, lambda a, b: times(a.cast(kind), b.cast(kind))), F.lit(0).cast("decimal(38,0)" if kind.startswith("decimal") else kind), plus)
+
+    short = total("long", F.try_add, F.try_multiply)
+    exact = total("decimal(19,0)", lambda s, x: F.try_add(s, x).cast("decimal(38,0)"), F.try_multiply)
+    clipped = F.greatest(F.lit(Decimal(_LONG[0])), F.least(F.lit(Decimal(_LONG[1])), exact)).cast("long")
+    sign = total("double", lambda s, x: s + x, lambda a, b: a * b) > 0
+    return F.when(short.isNotNull(), short).when(exact.isNotNull(), clipped).when(sign, F.lit(_LONG[1])).otherwise(F.lit(_LONG[0]))
 
 
 def _scan(k: int):
@@ -105,7 +124,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     have its id; with fewer than k it gets all. Rows with a null id, a null vector or a component that is null or not
     finite take no part, nor do empty vectors; only vectors of the query's length are candidates. Where several rows
     have a query's id, its smallest vector is the query; as candidates such rows all stand. Other columns aren't read.
-    An empty table gives an empty result. Scores beyond 64 bits are an error.
+    An empty table gives an empty result. Components and scores beyond 64 bits
+    count as the least or the largest number of 64 bits, and the other scores stay exact.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("id is not null and v is not null and size(v) > 0")
     # A row for each id and vector, with its number of copies; of equal vectors the smallest ids alone can be wanted.
@@ -138,8 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     seen = table(scanned(first, right, every(blocks)), "survivors")
 
     exact, query = file.select("row", F.col("id").alias("vec_id"), "v", "copies"), asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w"))
-    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    scored = lambda df: df.join(exact, "row").join(query, "q").select("q", "query_id", "vec_id", "copies", product.alias("score"))
+    scored = lambda df: df.join(exact, "row").join(query, "q").select("q", "query_id", "vec_id", "copies", product(F.col("v"), F.col("w")).alias("score"))
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("up"), F.desc("low"), "row"))
     reached = kth(seen, "low")
     seen = seen.join(reached, "q").where("least is null or up >= least").drop("least").withColumn("n", order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -47,6 +48,20 @@ def test_a_vector_that_most_rows_have_and_repeated_rows(spark):
     assert got == [(20, 1, 3, 64 * 64 * 9)] + [(20, n, 1 if n < 7 else 2, 64 * 64) for n in range(2, 21)]
 
 
+def test_scores_beyond_64_bits_stay_with_their_rows(spark):
+    """Large vectors are clipped where they don't fit, and no other score changes."""
+    most = (1 << 63) - 1
+    rows = [(20, [1.0, 2.0]), (40, [1e300, 1.0]), (1, [3.0, 1.0]), (2, [1e300, 1e300]), (3, [-1e300, 5.0]), (4, [1e16, -1e16]), (60, [1e16, 1e16])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [max(-most - 1, min(most, math.floor(64 * x))) for x in v] for i, v in rows}
+    score = lambda a, b: max(-most - 1, min(most, sum(x * y for x, y in zip(ints[a], ints[b], strict=True))))
+    want = set()
+    for q in (20, 40, 60):
+        best = sorted((-score(q, i), i) for i in ints if i != q)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
 def test_cells_bound_the_products():
     r = random.Random(6)
     for size in (1, 200, 5000, 1 << 40):
