@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
     met = table(index.groupBy("k").agg(F.min(mark).alias("x"), F.max(mark).alias("y"), F.count("*").alias("n")).where("x != y").select("k", "n"), "met")
     # Both sides of the joins on texts are read from tables, so that Spark can split a text with many copies.
     found = table(index.join(met.select("k"), "k").groupBy("t").agg(F.collect_set(F.struct("k", "pos", "s1", "s2")).alias("at")), "found")
-    contexts = table(long.join(found.hint("shuffle_hash"), "t").mapInArrow(_contexts(size), "k long, t binary, pos int, s1 int, s2 int, data binary"), "contexts")
+    contexts = table(long.join(found.hint("merge"), "t").mapInArrow(_contexts(size), "k long, t binary, pos int, s1 int, s2 int, data binary"), "contexts")
     places, hot = contexts.where("k is not null"), met.where(F.col("n") > group)
     if hot.isEmpty():
         spans = None
