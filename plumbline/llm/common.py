@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -34,6 +35,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(BYTES))
 
 
+@contextmanager
+def batches_for_a_while(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` for what runs within; afterwards the session has its own settings again."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    own = [spark.conf.get(n) for n in names]
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, own, strict=True):
+            spark.conf.set(name, value)
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """A column name like ``name`` that none of the frames has, in any case of its letters."""
     taken = {c.lower() for df in frames for c in df.columns}

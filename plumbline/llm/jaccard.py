@@ -9,8 +9,9 @@ than shingles do; neither ever drops a pair that is similar enough. Exact Jaccar
 
 The work is on distinct sets. A bucket in which all sets are in one component is done. One over ``SMALL`` first gives a
 tree of links, a member's at most, and where these, once confirmed, leave several components, all pairs across; those over
-``BLOCK`` are compared block by block in tasks of their own. Sets count as equal if their 64-bit hashes are, and so do
-shingles.
+``BLOCK`` are compared block by block in tasks of their own. In one over ``SPLIT`` sets meet at two shingles instead: the
+first two that two sets have in common are both among their first n - ceil(s n) + 2. Sets count as equal if their 64-bit
+hashes are, and so do shingles.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import groups, small_batches
+from plumbline.llm.common import batches_for_a_while, groups
 from plumbline.llm.simhash import links as covering_links
 from plumbline.llm.simhash import majority
 from plumbline.plans.components import connected_components
 from plumbline.plans.store import drop, materialize, table
 
-#: Members of a bucket of which all pairs are confirmed at once, members of a block.
-SMALL, BLOCK = 16, 4096
-#: One text of so many tells which shingles are common: those in OFTEN of the sample, COMMON at most.
-SAMPLED, OFTEN, COMMON = 16, 8, 50_000
+#: Members of a bucket of which all pairs are confirmed at once, members of a block, members that one shingle brings together.
+SMALL, BLOCK, SPLIT = 16, 4096, 1 << 15
+#: One text of SAMPLED tells which shingles are common, or of more, so that some SAMPLE texts do: those in OFTEN of the
+#: sample, COMMON at most. They only decide the order of shingles, and so what is compared, not what is found.
+SAMPLED, SAMPLE, OFTEN, COMMON = 16, 1_000_000, 8, 1 << 18
 #: Parity bits of a set at least and at most; bits of the marks by which texts are passed over that no pair can want.
 PARITY, MOST, MARKS = 1 << 10, 1 << 20, 1 << 22
 
@@ -66,21 +68,25 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _common(texts: DataFrame, size: int) -> np.ndarray:
-    """Shingles that many texts of a sample have, the rarest first."""
+    """Shingles that many texts of a sample have, the rarest first. The sample doesn't grow beyond some SAMPLE rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), size).view(np.int64))], ["s"])
 
-    some = texts.where(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(SAMPLED)) == 0).select("text").distinct()
+    one_of = max(SAMPLED, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64(F.lit("common"), "t"), F.lit(one_of)) == 0).select("text").distinct()
     often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     got = often.orderBy(F.desc("n"), "s").limit(COMMON).toArrow().column("s").to_numpy()
     return got[::-1].copy().view(np.uint64)
 
 
 def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, t, h, fp, n, bits, prefix) of every row: t stands for the text, h for its set of n shingles, fp is its fingerprint."""
+    """(id, t, h, fp, n, bits, p, prefix) of every row: t stands for the text, h for its set of n shingles, fp is its fingerprint.
+
+    The first p of ``prefix`` are those of which similar sets share one; one more follows, so that they share two.
+    """
     order = np.argsort(common)
     sent = texts.sparkSession.sparkContext.broadcast((common[order], order))
 
@@ -89,7 +95,7 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray
             yield sketched(whole, *sent.value)
 
     def sketched(batch: pa.RecordBatch, known: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
-        h, fp, n, bits, prefix = [], [], [], [], []
+        h, fp, n, bits, p, prefix = [], [], [], [], [], []
         for x in batch.column(2):
             s = shingles(x.as_py(), size)
             at = np.searchsorted(known, s)
@@ -101,11 +107,12 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray
             fp.append(majority(s))
             n.append(len(s))
             bits.append(parity(s))
-            prefix.append(np.concatenate([s[~late], last])[:first].view(np.int64))
-        made = [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, fp)], pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "fp", "n", "bits", "prefix"])
+            p.append(first)
+            prefix.append(np.concatenate([s[~late], last])[: first + 1].view(np.int64))
+        made = [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, fp)], pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(p, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "t", "h", "fp", "n", "bits", "p", "prefix"])
 
-    return texts.select("id", "t", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, t long, h long, fp long, n int, bits binary, prefix array<long>")
+    return texts.select("id", "t", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, t long, h long, fp long, n int, bits binary, p int, prefix array<long>")
 
 
 class _Cell:
@@ -228,31 +235,62 @@ def _placed(info: DataFrame, links: DataFrame) -> DataFrame:
     return info.join(known, "h", "left").withColumn("component", F.coalesce("component", "h"))
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """(members, token, a, b): tokens of ``keys`` (token, h, component) that sets of several components have, a and b among them.
+
+    Tokens at which the same sets meet are as good as one of them; those of one component need no comparison.
+    """
+    met = keys.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    return table(met.where("c != d").groupBy("members", "x", "y").agg(F.min("token").alias("token"), F.min("a").alias("a"), F.min("b").alias("b")), "met")
+
+
+def _members(keys: DataFrame, met: DataFrame) -> DataFrame:
+    """(token, members, h): the sets that have the tokens of ``met``."""
+    two = met.where("members = 2").select("token", "members", F.explode(F.array("a", "b")).alias("h"))
+    return two.unionByName(keys.join(met.where("members > 2").select("token", "members"), "token").select("token", "members", "h"))
+
+
+def _buckets(placed: DataFrame, similarity: float) -> DataFrame:
+    """(token, members, h): where sets meet of which no component is known that joins them.
+
+    Two sets that share a token of their prefixes meet there, and at their first two common tokens where the first has
+    over ``SPLIT`` sets. From a similarity of more than a half on, different sets that are similar have two in common.
+    """
+    own = placed.select("h", "component", "prefix", F.posexplode(F.slice("prefix", 1, F.col("p"))).alias("at", "token"))
+    keys = own.select("h", "component", "token")
+    met = _met(keys)
+    hot = met.where(F.col("members") > SPLIT).select("token")
+    if similarity <= 0.5 or hot.isEmpty():
+        return _members(keys, met)
+    later = F.explode(F.slice("prefix", F.col("at") + 2, F.size("prefix")))
+    twice = own.join(hot, "token").select("h", "component", "token", later.alias("next")).select("h", "component", F.xxhash64("token", "next").alias("token"))
+    return _members(keys, met.where(F.col("members") <= SPLIT)).unionByName(_members(twice, _met(twice)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """Each row's fingerprint and the component of its near-duplicates.
 
     Returns (id_col, fingerprint, component_id) as ``simhash.near_duplicates`` does; links are all pairs of a Jaccard
     similarity of ``similarity`` or more, and a fingerprint is that of the text's distinct shingles. ``radius`` only
-    decides how many links covering LSH finds before prefixes do. Texts without words are alike, and like no other.
+    decides how many links covering LSH finds before prefixes do. Texts without words are alike, and like no other. Null
+    texts have no words; ids may be null or repeat; an empty table gives an empty result; other columns aren't read.
     """
+    with batches_for_a_while(docs.sparkSession):
+        return _near_duplicates(docs, shingle, similarity, id_col, text_col, radius)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str, radius: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     seen, path = materialize(_sketches(texts, shingle, similarity, _common(texts, shingle)), "sketches")
     ids = table(seen.select("id", "h", "fp"), "ids")
-    info = table(seen.groupBy("h").agg(F.min("id").alias("first"), F.first(F.struct("t", "fp", "n", "bits", "prefix")).alias("s")).select("h", "first", "s.*"), "distinct")
+    info = table(seen.groupBy("h").agg(F.min("id").alias("first"), F.first(F.struct("t", "fp", "n", "bits", "p", "prefix")).alias("s")).select("h", "first", "s.*"), "distinct")
     drop(spark, path)
 
     pairs = table(_close(info, radius), "pairs")
     links = _confirmed(pairs, texts, info, shingle, similarity)
     placed, path = materialize(_placed(info.drop("first", "t", "fp"), links), "placed")
-    keys = placed.select("h", "component", F.explode("prefix").alias("token"))
-    # Shingles at which the same sets meet are as good as one of them; those of one component need no comparison.
-    met = keys.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
-    met = table(met.where("c != d").groupBy("members", "x", "y").agg(F.min("token").alias("token"), F.min("a").alias("a"), F.min("b").alias("b")), "met")
-    two = met.where("members = 2").select("token", "members", F.explode(F.array("a", "b")).alias("h"))
-    more = keys.join(met.where("members > 2").select("token", "members"), "token").select("token", "members", "h")
-    members = table(two.unionByName(more), "members")
+    members = table(_buckets(placed, similarity), "members")
 
     known = placed.select("h", "n", "bits", "component")
     pairs = pairs.unionByName(table(_candidates(members.join(known, "h"), similarity, True).join(pairs, ["a", "b"], "left_anti"), "pairs"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches
+from plumbline.llm.common import batches_for_a_while, small_batches
 from plumbline.llm.linear import logistic, packed, sigmoid
 
 #: Rows to train the scorer on, its features, characters of a text that are looked at once.
@@ -137,9 +137,14 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE, size: int
 
     The rates come from the votes on all rows, of which the driver gets one count for each of at most 3**9 joint votes.
     The scorer is trained on at most ``rows`` distinct texts, chosen by hash: the bound of its sample. Its share of the
-    table follows from a sketch of how many distinct texts there are, so copies don't thin it out.
+    table follows from a sketch of how many distinct texts there are, so copies don't thin it out. Null texts are empty
+    ones; an empty table gives None.
     """
-    small_batches(docs.sparkSession)
+    with batches_for_a_while(docs.sparkSession):
+        return _trained(docs, text_col, rows, size)
+
+
+def _trained(docs: DataFrame, text_col: str, rows: int, size: int) -> tuple[float, np.ndarray, np.ndarray] | None:
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = text.mapInArrow(_votes, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toArrow()
     if not got.num_rows:
@@ -200,7 +205,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def kept(docs: DataFrame, model: tuple | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text the model keeps."""
+    """The rows of docs, with all their columns, whose text the model keeps.
+
+    Null texts and those without a word go; without a model, which an empty table gives, nothing is kept.
+    """
     small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

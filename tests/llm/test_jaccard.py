@@ -50,18 +50,19 @@ def test_the_stage_keeps_the_first_of_all_pairs_of_similar_shingles(spark, small
     assert len(got) < len({c for _, c in brute.op1(texts, pipeline.SHINGLE, pipeline.RADIUS).values()})
 
 
-@pytest.mark.parametrize(("limits", "groups", "copies"), [((64, 4096), 40, 8), ((3, 5), 12, 20)])
+@pytest.mark.parametrize(("limits", "groups", "copies"), [((64, 4096, 1 << 15), 40, 8), ((3, 5, 1 << 15), 12, 20), ((3, 4, 2), 12, 20), ((16, 4096, 6), 12, 20)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, limits, groups, copies):
-    for name, value in zip(("SMALL", "BLOCK"), limits, strict=True):
+    for name, value in zip(("SMALL", "BLOCK", "SPLIT"), limits, strict=True):
         monkeypatch.setattr(jaccard, name, value)
     rows = edited(groups, groups, copies)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == firsts(rows)
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_a_large_group_of_near_copies_and_what_shares_only_a_passage_with_it(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "split"), [(2, 1 << 15), (16, 1 << 15), (2, 5)])
+def test_a_large_group_of_near_copies_and_what_shares_only_a_passage_with_it(spark, monkeypatch, small, split):
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     r = random.Random(5)
     base = [f"b{n}" for n in range(120)]
     texts = []
@@ -76,6 +77,34 @@ def test_a_large_group_of_near_copies_and_what_shares_only_a_passage_with_it(spa
     assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs).collect()} == firsts(rows)
 
 
+def test_a_shingle_of_too_many_sets_is_split_by_the_next_one_without_loss(spark, monkeypatch):
+    """All texts begin alike, so they meet at one shingle; few of them share the next ones, and only those are similar."""
+    monkeypatch.setattr(jaccard, "SPLIT", 10)
+    r = random.Random(9)
+    rows = []
+    for n in range(60):
+        rest = [f"v{n}-{k}" for k in range(14)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(["all", "of", "them", "begin", "so", *rest, f"end{r.randrange(10**6)}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select("doc_id", "text").selectExpr("doc_id as id", "text", "xxhash64(text) as t")
+    seen = jaccard._sketches(texts, 5, 0.8, jaccard._common(texts, 5)).selectExpr("h", "h as component", "p", "prefix")
+    largest = jaccard._buckets(seen, 0.8).agg({"members": "max"}).first()[0]
+    assert largest is None or largest <= 10
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs).collect()} == firsts(rows)
+
+
+def test_settings_of_the_session_stay(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "5000")
+        jaccard.near_duplicates(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+        assert spark.conf.get(names[0]) == "5000" and spark.conf.get(names[1]) == before[1]
+    finally:
+        spark.conf.set(names[0], before[0])
+
+
 def test_odd_rows(odd, none):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(odd).collect()}
     assert got[2] == got[3] == got[4] == 2 and got[12] == 1 and got[6] == got[7] == got[8] == 6 and got[None] in (2, 6)
