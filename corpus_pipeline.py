@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard, mixing, pii, quality, simhash
-from plumbline.llm.common import read
+from plumbline.llm.common import batches_for_a_while, read
 from plumbline.plans.store import materialize, scope
 
 #: Words of a shingle, bits that fingerprints of links by covering LSH differ in at most, least Jaccard similarity.
@@ -57,10 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder. What a stage wrote on its way goes when it is done, and its input too."""
+    """All stages over the documents of a folder. What a stage wrote on its way goes when it is done, and its input too.
+
+    Nulls, empty texts and an empty table are as each stage's operator defines them; the session's settings stay.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        with scope(spark) as written:
+        with batches_for_a_while(spark), scope(spark) as written:
             docs, path = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
             written.remove(path)
             if before:
