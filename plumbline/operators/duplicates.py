@@ -44,8 +44,9 @@ def similar_pairs(rows: DataFrame, hash: str, distance: int, key: str = "id", se
     near = (F.col("a.k") < F.col("b.k")) & (F.bit_count(x) <= distance)
     if second:
         near &= F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))) <= second_distance
+    # The masks' copies aren't counted where Spark guesses sizes, so it would take a side for small and gather it in the driver.
     # A pair meets under several masks; tasks bring it down to one row before it is shuffled.
-    pairs = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.value") == F.col("b.value")) & near)
+    pairs = a.join(b.hint("merge"), (F.col("a.v") == F.col("b.v")) & (F.col("a.value") == F.col("b.value")) & near)
     return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(x).alias("distance")).distinct()
 
 

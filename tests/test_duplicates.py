@@ -109,3 +109,10 @@ def test_no_images(spark):
     members, groups = du.with_groups(*du.members(spark.createDataFrame([], IMAGE)))
     assert members.count() == groups.count() == 0
     assert du.summary(members, groups).first().redundant_within_split == 0
+
+
+def test_copies_for_the_masks_are_never_gathered_in_the_driver(spark):
+    """However small the hashes are as a table, neither side of the join is broadcast."""
+    df = spark.range(50).select("id", F.col("id").alias("h"))
+    plan = du.similar_pairs(df, "h", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
