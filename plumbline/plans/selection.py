@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.ranks import running
+from plumbline.plans.store import table
 
 #: A sketch is off by one in so many ranks at most.
 ACCURACY = 10_000
@@ -29,7 +30,9 @@ def described(rows: DataFrame, value: str, by: str, fraction: float = 0.5, accur
     x, off = F.col("x"), 2 / accuracy
     own = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("x")).where(x.isNotNull())
     wanted = [max(0.0, fraction - off), min(1.0, fraction + off)]
+    # Sketches differ by the order in which they are merged, so a second run may give other bounds: each is made once and read by all below.
     seen = own.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.percentile_approx("x", F.array(*map(F.lit, wanted)), accuracy).alias("p"))
+    seen = table(seen, "sketches")
     position = (F.col("n") - 1) * F.lit(fraction)
     ranks = seen.select("*", F.floor(position).alias("a"), F.ceil(position).alias("b"), position.alias("position"))
     near = lambda left, right: left.join(F.broadcast(right.withColumnRenamed("g", "_g")), F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
@@ -42,5 +45,7 @@ def described(rows: DataFrame, value: str, by: str, fraction: float = 0.5, accur
     first = lambda rank: F.min(F.when(F.col("upto") + F.col("below") > F.col(rank), x))
     out = placed.groupBy("g", "n", "min", "max", "mean", "position", "a").agg(first("a").alias("low"), first("b").alias("high"))
     share = F.col("position") - F.col("a")
-    at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - share) + F.col("high") * share)
+    # Rounded once after the product with the lower value, as DuckDB does it.
+    between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("low"), 1 - share, F.col("high") * share).cast("double")
+    at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between)
     return out.select(F.col("g").alias(by), "n", "min", "max", "mean", at.alias("at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import statistics
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,19 @@ def test_running_totals_and_numbers(spark):
     assert {tuple(x) for x in running(df, "upto", F.col("k"), "n", by=["g"]).collect()} == want
     assert sorted(x.place for x in numbered(df, "place", F.desc("n")).collect()) == list(range(1, 501))
     assert {x.n + x.place for x in numbered(df, "place", F.desc("n")).collect()} == {500}
+
+
+def test_bounds_are_sketched_once(spark):
+    """A sketch is made anew wherever a plan holds it, and its bounds may then differ between the steps."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = selection.described(df, "v", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
+def test_values_between_two_are_rounded_as_the_sql_rounds_them(spark):
+    r = random.Random(3)
+    rows = [(f"g{n}", r.randrange(130_000)) for n in range(40) for _ in range(r.randrange(2, 90))]
+    got = {x.g: x["at"] for x in selection.described(spark.createDataFrame(rows, "g string, v long"), "v", "g", 0.9).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t AS SELECT unnest(?) AS g, unnest(?::BIGINT[]) AS v", [list(x) for x in zip(*rows, strict=True)])
+    assert got == dict(c.execute("SELECT g, quantile_cont(v, 0.9) FROM t GROUP BY g").fetchall())
