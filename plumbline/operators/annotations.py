@@ -1,16 +1,22 @@
 """Label lines: parsing, validation and duplicate boxes.
 
 A label text becomes rows of lines, a line becomes codes of what is wrong with it and, if nothing is, a box. Everything
-is a Column expression; duplicate boxes are an equi-join on image and class, and in crowded images on cells of a grid, with
-the overlap as the residual.
+is a Column expression; duplicate boxes are found in the lists of an image's classes, and in crowded images in cells of a grid,
+whose boxes are compared in Arrow batches.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.config import Annotations
 from plumbline.functions.columns import iou
@@ -23,6 +29,8 @@ BLANK = r"(?U)[\s\x1c-\x1f]+"
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 RAW = 200
+#: Boxes of a cell of crowded images that a task holds.
+PART = 50_000
 
 #: What each code means for the level of an issue.
 LEVELS = {
@@ -105,44 +113,112 @@ def parsed(rows: DataFrame, class_count: int, cfg: Annotations | None = None) ->
     return rows.withColumn("flags", flags).drop("_v", "_well", "_poly", "_cls")
 
 
-def _in_cells(values: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """(on, a, b): pairs of rows (on, box, first), as structs, among which are all whose boxes overlap by the threshold.
+def _in_cells(values: DataFrame, on: list[str], threshold: float, most: int) -> DataFrame:
+    """(on, box, of_line, iou): for rows (on, box, first) the matches, by one cell and part of it at a time, with the earliest box before or at theirs.
 
-    Such boxes have sides in a ratio of 1 to 1 / threshold at most, and edges that are apart by (1 - threshold) of the longer
-    side at most. So sizes are binned by that ratio and edges laid on a grid as fine as the bin allows; one box goes to its own
-    cell and the other to the cells around its own, for its bin and the two beside it, on either axis.
+    Such boxes have widths in a ratio of 1 to 1 / threshold at most, and left edges that are apart by (1 - threshold) of the
+    larger width at most. So widths are binned by that ratio and edges laid on a grid as fine as the bin allows; one box goes to
+    its own cell and the other to the cells around its own, for its bin and the two beside it. The boxes of a cell are cut
+    into parts of ``most`` in their order, which is what a task holds, and each part meets those that come later in turn.
     """
     t = min(threshold, 0.99)
     base = (1 + 1e-6) / t
-    k = lambda side: F.floor(F.ln(F.col(f"box.{side}")) / math.log(base)).cast("int")
-    cell = lambda c, side, k: F.floor((F.col(f"box.{c}") - F.col(f"box.{side}") / 2) / ((1 - t) * F.pow(F.lit(base), k + 2))).cast("long")
-    one = lambda c, side: F.struct(k(side).alias("k"), cell(c, side, k(side)).alias("i"))
+    k = F.floor(F.ln("box.w") / math.log(base)).cast("int")
+    cell = lambda k: F.floor((F.col("box.cx") - F.col("box.w") / 2) / ((1 - t) * F.pow(F.lit(base), k + 2))).cast("long")
     three = F.array(*map(F.lit, (-1, 0, 1)))
-    around = lambda c, side: F.flatten(F.transform(three, lambda d: F.transform(three, lambda e: F.struct((k(side) + d).alias("k"), (cell(c, side, k(side) + d) + e).alias("i")))))
-    own = values.select(*on, F.struct("box", "first").alias("a"), one("cx", "w").alias("x"), one("cy", "h").alias("y"))
-    near = values.select(*on, F.struct("box", "first").alias("b"), F.explode(around("cx", "w")).alias("x"), around("cy", "h").alias("ys")).select(*on, "b", "x", F.explode("ys").alias("y"))
-    return own.join(near, [*on, "x", "y"]).select(*on, "a", "b")
+    around = F.flatten(F.transform(three, lambda d: F.transform(three, lambda e: F.struct((k + d).alias("k"), (cell(k + d) + e).alias("i")))))
+    own = values.select(*on, "box", "first", F.lit(0).alias("later"), F.struct(k.alias("k"), cell(k).alias("i")).alias("x"))
+    rows = own.unionByName(values.select(*on, "box", "first", F.lit(1).alias("later"), F.explode(around).alias("x")))
+    where = [*on, "x.k", "x.i"]
+    before = F.count_if(F.col("later") == 0).over(Window.partitionBy(*where).orderBy("first", "later").rowsBetween(Window.unboundedPreceding, 0))
+    part = F.floor((before - 1) / most).cast("int")
+    cut = rows.withColumn("_part", part).where("_part >= 0").withColumn("_part", F.explode(F.when(F.col("later") == 0, F.array("_part")).otherwise(F.sequence(F.lit(0), "_part"))))
+    kinds = values.schema
+    flat = cut.select(*on, "x.k", "x.i", "_part", "later", "first", "box.*").repartition(*on, "k", "i").sortWithinPartitions(*on, "k", "i", "_part", "later", "first")
+    fields = [*[kinds[c] for c in on], T.StructField("row", flat.select("cx", "cy", "w", "h").schema), kinds["first"], T.StructField("of_line", kinds["first"].dataType), T.StructField("iou", T.DoubleType())]
+    met = flat.mapInArrow(_matches(on, threshold), T.StructType(fields))
+    return met.select(*on, F.col("row").alias("box"), "of_line", "iou")
+
+
+def _matches(on: list[str], threshold: float, step: int = 128, rows: int = 1_024):
+    """Over rows sorted by cell, part, ``later`` and ``first``: each later box with the first of its part that it matches."""
+    names, sides = [*on, "k", "i", "_part"], ["cx", "cy", "w", "h"]
+
+    def best(a: np.ndarray, first: np.ndarray, b: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, value, left = np.full(len(line), -1), np.zeros(len(line)), np.arange(len(line))
+        for s in range(0, len(first), step):
+            left = left[line[left] >= first[s]]
+            if not len(left):
+                break
+            cx, cy, w, h = a[:, None, s : s + step]
+            x, y, v, u = b[:, left, None]
+            over = np.maximum(0.0, np.minimum(cx + w / 2, x + v / 2) - np.maximum(cx - w / 2, x - v / 2)) * np.maximum(0.0, np.minimum(cy + h / 2, y + u / 2) - np.maximum(cy - h / 2, y - u / 2))
+            union = w * h + v * u - over
+            iou = np.divide(over, union, out=np.zeros_like(over), where=union > 0)
+            good = (iou >= threshold) & (first[s : s + step] <= line[left, None])
+            found = good.any(axis=1)
+            n = good[found].argmax(axis=1)
+            at[left[found]], value[left[found]] = s + n, iou[found, n]
+            left = left[~found]
+        return at, value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fresh = np.zeros(n, bool)
+            for c in names if n > 1 else []:
+                fresh[1:] |= pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(fresh).tolist(), n]
+            box, line, later = np.array([batch.column(c).to_numpy() for c in sides]), batch.column("first").to_numpy(), batch.column("later").to_numpy()
+            at, of, value = np.zeros(n, bool), np.zeros(n, line.dtype), np.zeros(n)
+            for x, y in itertools.pairwise(cuts):
+                own = [batch.column(c)[x] for c in names]
+                if own != key:
+                    key, held = own, []
+                z = x + int(np.searchsorted(later[x:y], 1))
+                if z > x:
+                    held.append((box[:, x:z], line[x:z]))
+                if z < y and held:
+                    held = [(np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held]))]
+                    for s in range(z, y, rows):
+                        e = min(y, s + rows)
+                        n_th, v = best(*held[0], box[:, s:e], line[s:e])
+                        at[s:e], of[s:e], value[s:e] = n_th >= 0, held[0][1][n_th], v
+            some = pa.array(np.flatnonzero(at))
+            taken = lambda c: batch.column(c).take(some)  # noqa: E731, B023
+            whole = pa.StructArray.from_arrays([taken(c) for c in sides], sides)
+            yield pa.RecordBatch.from_arrays([*map(taken, on), whole, taken("first"), pa.array(of[at]), pa.array(value[at])], [*on, "row", "first", "of_line", "iou"])
+
+    return run
 
 
 def duplicate_boxes(boxes: DataFrame, cfg: Annotations | None = None, image: str = "image_id", order: list[str] | None = None) -> DataFrame:
     """(image, class_id, line, of_line, iou): boxes that repeat an earlier box of their class, with the first one.
 
-    ``line`` tells a box's place in its image. Equal boxes are compared once. In images with up to ``max_boxes_for_iou``
-    boxes all of a class are compared, in others those that a grid brings together: the result is the same.
+    ``line`` tells a box's place in its image. In images with up to ``max_boxes_for_iou`` boxes all of a class are compared
+    in a list of them, in others those that a grid brings together, equal ones once: the result is the same.
     """
     cfg = cfg or Annotations()
     on, t = [image, "class_id"], cfg.duplicate_iou
-    own = boxes.select(*on, "line", F.struct("cx", "cy", "w", "h").alias("box"))
-    many = boxes.groupBy(image).count().where(F.col("count") > cfg.max_boxes_for_iou).select(image)
-    values = own.groupBy(*on, "box").agg(F.min("line").alias("first"))
-    few, rest = (values, None) if t < 0.1 else (values.join(many, image, "left_anti"), values.join(many, image, "left_semi"))
-    side = lambda df, name: df.select(*on, F.struct("box", "first").alias(name))
-    met = side(few, "a").join(side(few, "b"), on)
-    if rest is not None:
-        met = met.unionByName(_in_cells(rest, on, t))
-    near = met.where(F.col("a.first") <= F.col("b.first")).select(*on, F.col("b.box").alias("box"), F.col("a.first").alias("of_line"), iou(F.col("a.box"), F.col("b.box")).alias("iou")).where(F.col("iou") >= t)
-    first = near.groupBy(*on, "box").agg(F.min("of_line").alias("of_line"), F.min_by("iou", "of_line").alias("iou"))
-    return own.join(first, [*on, "box"]).where(F.col("of_line") < F.col("line")).select(*on, "line", "of_line", "iou")
+    own = boxes.select(*on, "line", F.struct(*[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")]).alias("box"))
+    # An image's rows are dealt once: what follows for its classes stays where they are.
+    counted = own.withColumn("_all", F.count("*").over(Window.partitionBy(image)))
+    crowded = F.col("_all") > cfg.max_boxes_for_iou if t >= 0.1 else F.lit(False)
+    several = counted.where(~crowded).withColumn("_n", F.count("*").over(Window.partitionBy(*on))).where("_n > 1")
+    lists = several.groupBy(*on).agg(F.collect_list(F.struct("line", "box")).alias("l"))
+    earlier = lambda b: F.filter("l", lambda a: (a["line"] < b["line"]) & (iou(a["box"], b["box"]) >= t))
+    firsts = F.transform("l", lambda b: F.struct(b["line"].alias("line"), F.array_min(F.transform(earlier(b), lambda a: F.struct(a["line"].alias("of_line"), iou(a["box"], b["box"]).alias("iou")))).alias("f")))
+    found = lists.select(*on, F.explode(firsts).alias("b")).where("b.f is not null").select(*on, "b.line", "b.f.of_line", "b.f.iou")
+    if t < 0.1:
+        return found
+    rest = counted.where(crowded & F.col(image).isNotNull() & F.col("class_id").isNotNull())
+    values = rest.groupBy(*on, "box").agg(F.min("line").alias("first"))
+    first = _in_cells(values, on, t, PART).groupBy(*on, "box").agg(F.min("of_line").alias("of_line"), F.min_by("iou", "of_line").alias("iou"))
+    again = rest.select(*on, "line", "box").join(first, [*on, "box"]).where(F.col("of_line") < F.col("line")).select(*on, "line", "of_line", "iou")
+    return found.unionByName(again)
 
 
 FLAG_CODES = {"out_of_bounds": "box_out_of_bounds", "tiny": "tiny_box", "large": "large_box"}

@@ -140,3 +140,21 @@ def test_crowded_images_are_searched_like_others(spark, threshold):
     assert results[0] == results[1] and len(want) > 10
     # A threshold of 1 hangs on the last bit of a division.
     assert results[0] == want or threshold == 1.0
+
+
+def test_boxes_of_images_that_are_not_crowded_meet_without_a_join(spark):
+    """The one join left is that of crowded images' equal boxes."""
+    df = spark.createDataFrame([("a", n, 0, 0.5, 0.5, 0.2, 0.2) for n in range(4)], "image_id string, line int, class_id int, cx double, cy double, w double, h double")
+    plan = an.duplicate_boxes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") <= 1
+
+
+def test_cells_are_searched_in_parts(spark, monkeypatch):
+    """A cell's boxes are held a few at a time, and all rows of a later box find the first of any part."""
+    r = random.Random(7)
+    rows = [("a", n, 0, 0.5 + r.uniform(-0.02, 0.02), 0.5, 0.2, r.uniform(0.1, 0.2)) for n in range(300)]
+    df = spark.createDataFrame(rows, "image_id string, line int, class_id int, cx double, cy double, w double, h double")
+    found = lambda most: sorted(tuple(x) for x in an.duplicate_boxes(df, Annotations(duplicate_iou=0.8, max_boxes_for_iou=most)).collect())
+    want = found(1000)
+    monkeypatch.setattr(an, "PART", 7)
+    assert found(0) == want and len(want) > 100
