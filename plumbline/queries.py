@@ -451,9 +451,10 @@ class _Audited:
     """Images, their copies, boxes and classes, each written once and read by all that follows."""
 
     def __init__(self, spark, d) -> None:
-        self.images, self.boxes = table(images(spark, d), "images"), table(boxes(spark, d), "boxes")
+        # Of boxes only what is read below is asked for: their numbers, which need an order of all lines, aren't.
+        self.images, self.boxes = table(images(spark, d), "images"), table(boxes(spark, d).select("image_id", "class_id", "split"), "boxes")
         self.members, self.groups = copies(self.images)
-        self.classes = table(st.by_class(self.boxes, declared(spark)), "classes")
+        self.classes = table(st.by_class(self.boxes, declared(spark)).drop("images"), "classes")
 
     def components(self) -> DataFrame:
         return he.components(he.rates(self.images, self.members), st.balance(self.classes))
