@@ -209,3 +209,13 @@ def test_odd_rows_of_repeats(odd, none):
     assert got[6][0].n_removed == got[6][0].n_bytes and got[7][0].n_removed > 400 and got[2][0].n_bytes == 0
     assert got[10][0].n_removed == 60000 and got[12][0].n_removed == 0
     assert suffix.remove_repeats(none).count() == 0
+
+
+def test_bytes_that_are_no_utf8_stay_as_they_are(spark):
+    """Such texts come from files of other encodings; they are counted, compared and kept byte by byte."""
+    data = [(1, b"\xff\xfe" * 300 + b"abc" * 200), (2, b"\xff\xfe" * 300 + b"q"), (3, b"\xf0\x9f" * 150), (4, b"\xc3\xa9" * 100 + b"\xff" * 500)]
+    docs = spark.createDataFrame([(i, bytearray(b)) for i, b in data], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(docs).collect()}
+    none = hashlib.sha256().hexdigest()
+    kept = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {1: (1200, 1200, 1, none), 2: (601, 600, 1, kept(b"q")), 3: (300, 0, 0, kept(data[2][1])), 4: (700, 500, 1, kept(b"\xc3\xa9" * 100))}
