@@ -219,3 +219,23 @@ def test_bytes_that_are_no_utf8_stay_as_they_are(spark):
     none = hashlib.sha256().hexdigest()
     kept = lambda b: hashlib.sha256(b).hexdigest()
     assert got == {1: (1200, 1200, 1, none), 2: (601, 600, 1, kept(b"q")), 3: (300, 0, 0, kept(data[2][1])), 4: (700, 500, 1, kept(b"\xc3\xa9" * 100))}
+
+
+def test_a_window_with_many_places_is_split(spark):
+    """One digest with most of the windows doesn't stay in one task, and all its places are found."""
+    own = {
+        "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        w = F.when(F.col("id") % 4 > 0, F.lit("same")).otherwise(F.col("id").cast("string")).cast("binary")
+        found = suffix.shared_windows(spark.range(0, 20_000, 1, 16).select(w.alias("w"), F.col("id").cast("string").cast("binary").alias("t"), F.lit(3).alias("s")), 400)
+        rows = found.collect()
+        assert {(int(x.t), x.a, x.b) for x in rows} == {(n, 3, 403) for n in range(20_000) if n % 4} and len(rows) == 15_000
+        assert "SortMergeJoin(skew=true)" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
