@@ -30,7 +30,9 @@ INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 RAW = 200
 #: Boxes of a cell of crowded images that a task holds.
-PART = 50_000
+PART = 500_000
+#: How many times as wide cells are as boxes reach.
+SPAN = 4
 
 #: What each code means for the level of an issue.
 LEVELS = {
@@ -116,54 +118,145 @@ def parsed(rows: DataFrame, class_count: int, cfg: Annotations | None = None) ->
 def _in_cells(values: DataFrame, on: list[str], threshold: float, most: int) -> DataFrame:
     """(on, box, of_line, iou): for rows (on, box, first) the matches, by one cell and part of it at a time, with the earliest box before or at theirs.
 
-    Such boxes have widths in a ratio of 1 to 1 / threshold at most, and left edges that are apart by (1 - threshold) of the
-    larger width at most. So widths are binned by that ratio and edges laid on a grid as fine as the bin allows; one box goes to
-    its own cell and the other to the cells around its own, for its bin and the two beside it. The boxes of a cell are cut
-    into parts of ``most`` in their order, which is what a task holds, and each part meets those that come later in turn.
+    Such boxes have heights in a ratio of 1 to 1 / threshold at most, and upper edges that are apart by (1 - threshold) of the
+    larger height at most. So heights are binned, by SPAN times that ratio, and edges laid on a grid of SPAN times what the bin
+    allows. A box goes to its own cell, where it is found and searches, and searches in those cells beside it that are within
+    reach, which few are. The boxes of a cell are cut into parts of ``most`` in their order, which is what a task holds, and
+    each part is searched by its own and by all that come later.
     """
     t = min(threshold, 0.99)
     base = (1 + 1e-6) / t
-    k = F.floor(F.ln("box.w") / math.log(base)).cast("int")
-    cell = lambda k: F.floor((F.col("box.cx") - F.col("box.w") / 2) / ((1 - t) * F.pow(F.lit(base), k + 2))).cast("long")
-    three = F.array(*map(F.lit, (-1, 0, 1)))
-    around = F.flatten(F.transform(three, lambda d: F.transform(three, lambda e: F.struct((k + d).alias("k"), (cell(k + d) + e).alias("i")))))
-    own = values.select(*on, "box", "first", F.lit(0).alias("later"), F.struct(k.alias("k"), cell(k).alias("i")).alias("x"))
-    rows = own.unionByName(values.select(*on, "box", "first", F.lit(1).alias("later"), F.explode(around).alias("x")))
-    where = [*on, "x.k", "x.i"]
-    before = F.count_if(F.col("later") == 0).over(Window.partitionBy(*where).orderBy("first", "later").rowsBetween(Window.unboundedPreceding, 0))
-    part = F.floor((before - 1) / most).cast("int")
-    cut = rows.withColumn("_part", part).where("_part >= 0").withColumn("_part", F.explode(F.when(F.col("later") == 0, F.array("_part")).otherwise(F.sequence(F.lit(0), "_part"))))
+    bin_ = F.ln("box.h") / (SPAN * math.log(base))
+    reach = lambda k: (1 - t) * F.pow(F.lit(base), SPAN * (k + 1) + 1)
+    row = lambda k: (F.col("box.cy") - F.col("box.h") / 2) / (SPAN * reach(k))
+    around = lambda x: F.array_distinct(F.array(*[F.floor(x + d / SPAN).cast("long") for d in (-1, 0, 1)]))
+    # Boxes without a size, or beyond numbers, match nothing.
+    sized = values.where((F.col("box.w") > 0) & (F.col("box.h") > 0)).where(" and ".join(f"abs(box.{c}) < double('inf')" for c in ("cx", "cy", "w", "h")))
+    rows = sized.select(*on, "box", "first", F.explode(around(bin_)).alias("k")).select("*", F.explode(around(row(F.col("k")))).alias("i"))
+    rows = rows.withColumn("later", F.when((F.col("k") == F.floor(bin_)) & (F.col("i") == F.floor(row(F.col("k")))), 0).otherwise(1))
+    # Rows are dealt once: those of a cell stay together in what follows.
+    before = F.count_if(F.col("later") == 0).over(Window.partitionBy(*on, "k", "i").orderBy("first", "later").rowsBetween(Window.unboundedPreceding, 0))
+    cut = rows.withColumn("_last", F.floor((before - 1) / most).cast("int")).where("_last >= 0").withColumn("_part", F.explode(F.sequence(F.lit(0), "_last")))
+    cut = cut.withColumn("later", F.when(F.col("_part") == F.col("_last"), F.col("later")).otherwise(1))
+    flat = cut.select(*on, "k", "i", "_part", "later", "first", "box.*").sortWithinPartitions(*on, "k", "i", "_part", "later", "first")
     kinds = values.schema
-    flat = cut.select(*on, "x.k", "x.i", "_part", "later", "first", "box.*").repartition(*on, "k", "i").sortWithinPartitions(*on, "k", "i", "_part", "later", "first")
     fields = [*[kinds[c] for c in on], T.StructField("row", flat.select("cx", "cy", "w", "h").schema), kinds["first"], T.StructField("of_line", kinds["first"].dataType), T.StructField("iou", T.DoubleType())]
     met = flat.mapInArrow(_matches(on, threshold), T.StructType(fields))
     return met.select(*on, F.col("row").alias("box"), "of_line", "iou")
 
 
-def _matches(on: list[str], threshold: float, step: int = 128, rows: int = 1_024):
-    """Over rows sorted by cell, part, ``later`` and ``first``: each later box with the first of its part that it matches."""
-    names, sides = [*on, "k", "i", "_part"], ["cx", "cy", "w", "h"]
+def _firsts(box: np.ndarray, first: np.ndarray, threshold: float, step: int = 256, rows: int = 256, level: int = 4_096):
+    """A search among boxes (cx, cy, w, h) sorted by ``first``: (boxes, lines) to the place of the first that each matches, or -1, and their IoU.
+
+    The earliest ``level`` boxes are looked at first, then eight times as many and so on, by those that have found none. A
+    level is sorted by bins of width, rows of upper edges and left edges, so that searching boxes of one bin and row and about
+    one left edge meet slices of nine such lists.
+    """
+    t = min(threshold, 0.99)
+    base = (1 + 1e-6) / t
+    bins = lambda w: np.floor(np.log(w) / math.log(base))
 
-    def best(a: np.ndarray, first: np.ndarray, b: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sides(b: np.ndarray) -> np.ndarray:
+        cx, cy, w, h = b
+        return np.array([cx - w / 2, cx + w / 2, cy - h / 2, cy + h / 2, w * h])
+
+    def best(n_th: np.ndarray, b: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, value, left = np.full(len(line), -1), np.zeros(len(line)), np.arange(len(line))
-        for s in range(0, len(first), step):
-            left = left[line[left] >= first[s]]
+        for s in range(0, len(n_th), step):
+            some = n_th[s : s + step]
+            left = left[line[left] >= first[some[0]]]
             if not len(left):
                 break
-            cx, cy, w, h = a[:, None, s : s + step]
-            x, y, v, u = b[:, left, None]
-            over = np.maximum(0.0, np.minimum(cx + w / 2, x + v / 2) - np.maximum(cx - w / 2, x - v / 2)) * np.maximum(0.0, np.minimum(cy + h / 2, y + u / 2) - np.maximum(cy - h / 2, y - u / 2))
-            union = w * h + v * u - over
-            iou = np.divide(over, union, out=np.zeros_like(over), where=union > 0)
-            good = (iou >= threshold) & (first[s : s + step] <= line[left, None])
+            x1, x2, y1, y2, area = own[:, None, some]
+            u1, u2, v1, v2, size = b[:, left, None]
+            shape = len(left), len(some)
+            over, high, less = (r[: shape[0] * shape[1]].reshape(shape) for r in room)
+            np.subtract(np.minimum(x2, u2, out=over), np.maximum(x1, u1, out=less), out=over)
+            np.subtract(np.minimum(y2, v2, out=high), np.maximum(y1, v1, out=less), out=high)
+            np.multiply(np.maximum(over, 0.0, out=over), np.maximum(high, 0.0, out=high), out=over)
+            union = np.subtract(np.add(area, size, out=high), over, out=high)
+            # A union of no size has no overlap either, and is divided by 1.
+            union[union <= 0] = 1.0
+            iou = np.divide(over, union, out=over)
+            good = iou >= threshold
+            if first[some[-1]] > line[left].min():
+                good &= first[some] <= line[left, None]
             found = good.any(axis=1)
             n = good[found].argmax(axis=1)
-            at[left[found]], value[left[found]] = s + n, iou[found, n]
+            at[left[found]], value[left[found]] = some[n], iou[found, n]
             left = left[~found]
         return at, value
 
+    def lists(*keys: np.ndarray) -> list[tuple[int, int]]:
+        """Where lists of equal keys begin and end."""
+        cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in keys], axis=0)) + 1
+        return list(itertools.pairwise([0, *cuts.tolist(), len(keys[0])])) if len(keys[0]) else []
+
+    # The one of a pair that is further left, or up, is apart by (1 - t) of its own side at most.
+    far, tall = (lambda n: (1 - t) * base ** (n + 1)), (1 - t) * base * box[3].max()
+    own, k, levels, lo = sides(box), bins(box[2]), [], 0
+    y_th, room = np.floor(own[2] / tall), np.empty((3, step * rows))
+    while lo < len(first):
+        hi = min(len(first), lo + level * 8 ** len(levels))
+        order = lo + np.lexsort((own[0, lo:hi], y_th[lo:hi], k[lo:hi]))
+        levels.append((lo, order, {(k[order[x]], y_th[order[x]]): (own[0, order[x:y]], order[x:y]) for x, y in lists(k[order], y_th[order])}))
+        lo = hi
+
+    def search(box: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b, m = sides(box), bins(box[2])
+        z_th = np.floor(b[2] / tall)
+        at, value, left = np.full(len(line), -1), np.zeros(len(line)), np.lexsort((b[0], z_th, m))
+        for lo, order, held in levels:
+            left = left[(at[left] < 0) & (line[left] >= first[lo])]
+            if len(order) <= 2 * step:
+                pieces = [(left[s : s + rows], np.sort(order)) for s in range(0, len(left), rows)]
+            else:
+                pieces = ((left[s : min(s + rows, y)], None) for x, y in lists(m[left], z_th[left]) for s in range(x, y, rows))
+            for some, n_th in pieces:
+                if n_th is None:
+                    n, z, x, y = m[some[0]], z_th[some[0]], b[0, some[0]], b[0, some[-1]] + far(m[some[0]])
+                    near = [(i, *held[i, j]) for i in (n - 1, n, n + 1) for j in (z - 1, z, z + 1) if (i, j) in held]
+                    if not near:
+                        continue
+                    n_th = np.sort(np.concatenate([th[np.searchsorted(edges, x - far(i), "left") : np.searchsorted(edges, y, "right")] for i, edges, th in near]))
+                at[some], value[some] = best(n_th, b[:, some], line[some])
+        return at, value
+
+    return search
+
+
+def _matches(on: list[str], threshold: float, most: int = 65_536):
+    """Over rows sorted by cell, part, ``later`` and ``first``: each box with the first of its part that it matches.
+
+    Those of ``later`` 0 are held, and then search as the others do, up to ``most`` of them at once.
+    """
+    names, sides = [*on, "k", "i", "_part"], ["cx", "cy", "w", "h"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, waiting, search, ready = None, [], [], None, []
+        joined = lambda pieces: (np.concatenate([p[0] for p in pieces], axis=1), np.concatenate([p[1] for p in pieces]))
+
+        def found() -> None:
+            """What is held and waits is searched for, and goes to ``ready``."""
+            nonlocal search, held, waiting
+            if held:
+                own, held = joined(held), []
+                search = (_firsts(*own, threshold), own[1])
+                waiting = [(own[0][:, s : s + most], own[1][s : s + most]) for s in range(0, len(own[1]), most)] + ([joined(waiting)] if waiting else [])
+            elif waiting:
+                waiting = [joined(waiting)]
+            for box, line in waiting if search else []:
+                at, value = search[0](box, line)
+                some = np.flatnonzero(at >= 0)
+                whole = pa.StructArray.from_arrays([pa.array(c) for c in box[:, some]], sides)
+                ready.append(pa.RecordBatch.from_arrays([*[pa.repeat(v, len(some)) for v in key[: len(on)]], whole, pa.array(line[some]), pa.array(search[1][at[some]]), pa.array(value[some])], [*on, "row", "first", "of_line", "iou"]))
+            waiting = []
+
+        def whole(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(r.num_rows for r in ready) >= least:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches(max_chunksize=10_000)
+                ready.clear()
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -173,24 +266,21 @@ def _matches(on: list[str], threshold: float, step: int = 128, rows: int = 1_024
                 fresh[1:] |= pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
             cuts = [0, *np.flatnonzero(fresh).tolist(), n]
             box, line, later = np.array([batch.column(c).to_numpy() for c in sides]), batch.column("first").to_numpy(), batch.column("later").to_numpy()
-            at, of, value = np.zeros(n, bool), np.zeros(n, line.dtype), np.zeros(n)
             for x, y in itertools.pairwise(cuts):
                 own = [batch.column(c)[x] for c in names]
                 if own != key:
-                    key, held = own, []
+                    found()
+                    key, search = own, None
                 z = x + int(np.searchsorted(later[x:y], 1))
                 if z > x:
                     held.append((box[:, x:z], line[x:z]))
-                if z < y and held:
-                    held = [(np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held]))]
-                    for s in range(z, y, rows):
-                        e = min(y, s + rows)
-                        n_th, v = best(*held[0], box[:, s:e], line[s:e])
-                        at[s:e], of[s:e], value[s:e] = n_th >= 0, held[0][1][n_th], v
-            some = pa.array(np.flatnonzero(at))
-            taken = lambda c: batch.column(c).take(some)  # noqa: E731, B023
-            whole = pa.StructArray.from_arrays([taken(c) for c in sides], sides)
-            yield pa.RecordBatch.from_arrays([*map(taken, on), whole, taken("first"), pa.array(of[at]), pa.array(value[at])], [*on, "row", "first", "of_line", "iou"])
+                if z < y:
+                    waiting.append((box[:, z:y], line[z:y]))
+                    if sum(len(w[1]) for w in waiting) >= most:
+                        found()
+                yield from whole(10_000)
+        found()
+        yield from whole(1)
 
     return run
 
@@ -199,26 +289,39 @@ def duplicate_boxes(boxes: DataFrame, cfg: Annotations | None = None, image: str
     """(image, class_id, line, of_line, iou): boxes that repeat an earlier box of their class, with the first one.
 
     ``line`` tells a box's place in its image. In images with up to ``max_boxes_for_iou`` boxes all of a class are compared
-    in a list of them, in others those that a grid brings together, equal ones once: the result is the same.
+    in a list of them, in others those that a grid brings together, equal ones once: the result is the same. Images are
+    counted beforehand, so that a crowded one's boxes are never dealt to one task.
     """
     cfg = cfg or Annotations()
     on, t = [image, "class_id"], cfg.duplicate_iou
-    own = boxes.select(*on, "line", F.struct(*[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")]).alias("box"))
+    own = boxes.select(*on, "line", F.struct(*[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")]).alias("box")).where(F.col(image).isNotNull() & F.col("class_id").isNotNull())
+    if t < 0.1:
+        return _in_lists(own, on, t)
+    counts, many = own.groupBy(image).count(), F.col("count") > cfg.max_boxes_for_iou
+    few, crowded = counts.agg(F.count_if(~many), F.count_if(many)).first()
+    if not crowded:
+        return _in_lists(own, on, t)
+    if not few:
+        return _in_grid(own, on, t)
+    names = table(counts.where(many).select(image), "crowded")
+    return _in_lists(own.join(names, image, "left_anti"), on, t).unionByName(_in_grid(own.join(names, image, "left_semi"), on, t))
+
+
+def _in_lists(own: DataFrame, on: list[str], t: float) -> DataFrame:
+    """``duplicate_boxes`` of (on, line, box), all boxes of ``on`` in a list."""
     # An image's rows are dealt once: what follows for its classes stays where they are.
-    counted = own.withColumn("_all", F.count("*").over(Window.partitionBy(image)))
-    crowded = F.col("_all") > cfg.max_boxes_for_iou if t >= 0.1 else F.lit(False)
-    several = counted.where(~crowded).withColumn("_n", F.count("*").over(Window.partitionBy(*on))).where("_n > 1")
+    several = own.withColumn("_n", F.count("*").over(Window.partitionBy(*on))).where("_n > 1")
     lists = several.groupBy(*on).agg(F.collect_list(F.struct("line", "box")).alias("l"))
     earlier = lambda b: F.filter("l", lambda a: (a["line"] < b["line"]) & (iou(a["box"], b["box"]) >= t))
     firsts = F.transform("l", lambda b: F.struct(b["line"].alias("line"), F.array_min(F.transform(earlier(b), lambda a: F.struct(a["line"].alias("of_line"), iou(a["box"], b["box"]).alias("iou")))).alias("f")))
-    found = lists.select(*on, F.explode(firsts).alias("b")).where("b.f is not null").select(*on, "b.line", "b.f.of_line", "b.f.iou")
-    if t < 0.1:
-        return found
-    rest = counted.where(crowded & F.col(image).isNotNull() & F.col("class_id").isNotNull())
-    values = rest.groupBy(*on, "box").agg(F.min("line").alias("first"))
+    return lists.select(*on, F.explode(firsts).alias("b")).where("b.f is not null").select(*on, "b.line", "b.f.of_line", "b.f.iou")
+
+
+def _in_grid(own: DataFrame, on: list[str], t: float) -> DataFrame:
+    """``duplicate_boxes`` of (on, line, box), equal boxes once, by cells of a grid."""
+    values = own.groupBy(*on, "box").agg(F.min("line").alias("first"))
     first = _in_cells(values, on, t, PART).groupBy(*on, "box").agg(F.min("of_line").alias("of_line"), F.min_by("iou", "of_line").alias("iou"))
-    again = rest.select(*on, "line", "box").join(first, [*on, "box"]).where(F.col("of_line") < F.col("line")).select(*on, "line", "of_line", "iou")
-    return found.unionByName(again)
+    return own.join(first, [*on, "box"]).where(F.col("of_line") < F.col("line")).select(*on, "line", "of_line", "iou")
 
 
 FLAG_CODES = {"out_of_bounds": "box_out_of_bounds", "tiny": "tiny_box", "large": "large_box"}

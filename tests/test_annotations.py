@@ -6,6 +6,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,62 @@ def test_cells_are_searched_in_parts(spark, monkeypatch):
     want = found(1000)
     monkeypatch.setattr(an, "PART", 7)
     assert found(0) == want and len(want) > 100
+
+
+def test_a_crowded_image_is_not_dealt_to_one_task(spark):
+    """Images of up to, and of over, the number of boxes: no step has all boxes of an image in one task."""
+    rows = [("a" if n % 4 else f"b{n}", n, n % 2, 0.5, 0.5, 0.2, 0.2) for n in range(40)]
+    df = spark.createDataFrame(rows, "image_id string, line int, class_id int, cx double, cy double, w double, h double")
+    for most in (0, 3):
+        found = an.duplicate_boxes(df, Annotations(max_boxes_for_iou=most))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(image_id#\d+, \d+\)", plan)
+        assert sorted((r.image_id, r.line, r.of_line) for r in found.collect()) == [("a", n, 2 if n % 2 == 0 else 1) for n in range(3, 40) if n % 4]
+
+
+def test_boxes_go_to_few_cells(spark, monkeypatch):
+    """A box is where it is found, and where it searches beside that: some two rows, not ten."""
+    r = random.Random(5)
+    rows = [("a", 0, (r.random(), r.random(), r.uniform(0.01, 1), r.uniform(0.01, 1)), n) for n in range(2_000)]
+    values = spark.createDataFrame(rows, "image_id string, class_id int, box struct<cx double, cy double, w double, h double>, first int")
+
+    def each(on, threshold):
+        def run(batches):
+            for b in batches:
+                row = pa.StructArray.from_arrays([b.column(c) for c in ("cx", "cy", "w", "h")], ["cx", "cy", "w", "h"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in on], row, b.column("first"), b.column("first"), b.column("cx")], [*on, "row", "first", "of_line", "iou"])
+
+        return run
+
+    monkeypatch.setattr(an, "_matches", each)
+    assert 2_000 <= an._in_cells(values, ["image_id", "class_id"], 0.8, 50_000).count() < 3 * 2_000
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 1.0])
+def test_levels_find_what_all_pairs_find(threshold):
+    """Few boxes to a level and a slice, boxes of equal sides and those of none near: the first of all before them."""
+    r = np.random.default_rng(int(threshold * 10))
+    box = np.array([r.integers(0, 20, 900) / 20, r.integers(0, 10, 900) / 10, r.integers(1, 9, 900) / 8, r.integers(300, 900, 900) / 1000])
+    box[:, 400:] *= r.uniform(0.97, 1.03, (4, 500))
+    first = np.sort(r.integers(0, 3_000, 900))
+    cx, cy, w, h = box[:, :, None]
+    x, y, v, u = box[:, None, :]
+    side = lambda a, s, b, z: np.maximum(0, np.minimum(a + s / 2, b + z / 2) - np.maximum(a - s / 2, b - z / 2))
+    over = side(cx, w, x, v) * side(cy, h, y, u)
+    iou = over / (w * h + v * u - over)
+    good = (iou >= threshold) & (first[:, None] <= first[None])
+    want = np.where(good.any(axis=0), first[good.argmax(axis=0)], -1)
+    for few in ({}, {"step": 4, "rows": 8, "level": 16}):
+        at, value = an._firsts(box, first, threshold, **few)(box, first)
+        assert (np.where(at >= 0, first[at], -1) == want).all()
+        assert (value[at >= 0] == iou[at[at >= 0], np.flatnonzero(at >= 0)]).all()
+    assert (want < first).sum() > 50 or threshold == 1.0
+
+
+def test_boxes_without_size_or_numbers_match_nothing_in_a_crowded_image(spark):
+    none, inf = None, float("inf")
+    odd = [(0.5, 0.5, 0.0, 0.2), (0.5, 0.5, 0.2, -0.1), (none, 0.5, 0.2, 0.2), (0.5, 0.5, inf, 0.2), (0.5, inf, 0.2, 0.2), (0.5, 0.5, 0.2, none), (1e300, -1e300, 1e-300, 1e300)]
+    rows = [("a", n, 0, *b) for n, b in enumerate(odd * 2)] + [(none, 1, 0, 0.5, 0.5, 0.2, 0.2), (none, 2, 0, 0.5, 0.5, 0.2, 0.2), ("a", 20, 0, 0.5, 0.5, 0.2, 0.2), ("a", 21, 0, 0.5, 0.5, 0.2, 0.2)]
+    df = spark.createDataFrame(rows, "image_id string, line int, class_id int, cx double, cy double, w double, h double")
+    got = an.duplicate_boxes(df, Annotations(duplicate_iou=0.8, max_boxes_for_iou=0)).collect()
+    assert [(r.image_id, r.line, r.of_line) for r in got] == [("a", 21, 20)]
