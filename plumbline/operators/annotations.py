@@ -240,11 +240,11 @@ def _matches(on: list[str], threshold: float, most: int = 65_536):
             """What is held and waits is searched for, and goes to ``ready``."""
             nonlocal search, held, waiting
             if held:
-                own, held = joined(held), []
-                search = (_firsts(*own, threshold), own[1])
-                waiting = [(own[0][:, s : s + most], own[1][s : s + most]) for s in range(0, len(own[1]), most)] + ([joined(waiting)] if waiting else [])
-            elif waiting:
-                waiting = [joined(waiting)]
+                own = joined(held)
+                search, waiting, held = (_firsts(*own, threshold), own[1]), [own, *waiting], []
+            if waiting:
+                box, line = joined(waiting)
+                waiting = [(box[:, s : s + most], line[s : s + most]) for s in range(0, len(line), most)]
             for box, line in waiting if search else []:
                 at, value = search[0](box, line)
                 some = np.flatnonzero(at >= 0)
